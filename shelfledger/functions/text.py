@@ -9,19 +9,20 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from shelfledger import fixed_values as V
 
 UNICODE = "(?iU)"  # case and word classes over all letters, on every JDK
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Compose accents.  Used once, at ingest; Spark SQL has no normalisation function."""
     return text.map(lambda value: unicodedata.normalize("NFC", value), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(text: pd.Series) -> pd.Series:
     """Resolve character references; the standard library holds the full table."""
     return text.map(html.unescape, na_action="ignore")
@@ -56,14 +57,19 @@ def money_text(amount: Column, unit: str = "đ") -> Column:
     return F.concat(F.translate(F.format_number(amount, 0), ",", "."), F.lit(unit))
 
 
+def _hundredths_text(hundredths: Column) -> Column:
+    return F.concat(F.floor(hundredths / 100), F.lit("."), F.lpad((hundredths % 100).cast("string"), 2, "0"))
+
+
 def millions_text(amount: Column) -> Column:
-    """Two decimals at most, decimal comma, trailing zeros dropped."""
-    fixed = F.format_string("%.2f", amount / F.lit(1_000_000.0))
+    """Two decimals at most, rounded half up in whole numbers, decimal comma, trailing zeros dropped."""
+    fixed = _hundredths_text(F.floor((amount + 5000) / 10_000))
     return F.concat(F.translate(F.regexp_replace(fixed, r"\.?0+$", ""), ".", ","), F.lit(" tr"))
 
 
 def percent_text(part: Column, whole: Column) -> Column:
-    return F.format_string("%.2f", part * 100 / whole)
+    """``part`` of ``whole`` in percent, two decimals, rounded half up in whole numbers."""
+    return _hundredths_text(F.floor((part.cast("bigint") * 20_000 + whole) / (whole * 2)))
 
 
 def first_match(text: Column, classes: list[tuple[str, str]], default: Column) -> Column:

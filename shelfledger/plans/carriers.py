@@ -6,11 +6,9 @@ tables; no row is left out.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from shelfledger import fixed_values as V
-from shelfledger.functions import calendar as cal
 
 EVENT_CHAIN = {"click": "TGDD", "view": "CellphoneS", "purchase": "FPT Shop", "signup": "Viettel Store",
                "error": "Phong Vũ"}
@@ -30,7 +28,7 @@ def _prefix(model: str) -> tuple[str, str]:
     return "Laptop", V.LAPTOP
 
 
-NAMES = [f"{_prefix(m)[0]} {m}" for m in V.MODEL_NAMES] + OTHER_NAMES
+NAMES = [f"{_prefix(m)[0]} {m}" + (" 16GB" if m.startswith("MacBook") else "") for m in V.MODEL_NAMES] + OTHER_NAMES
 MODELS = V.MODEL_NAMES + OTHER_MODELS
 NAME_CATEGORIES = [_prefix(m)[1] for m in V.MODEL_NAMES] + [V.PHONE] * 4
 NAME_BRANDS = ["Apple"] * 36 + ["Samsung", "Xiaomi", "Apple", "Nokia"]
@@ -54,21 +52,15 @@ def sql_list(values: list) -> str:
     return "[" + ", ".join(_sql(v) for v in values) + "]"
 
 
-def pick(values: list[str], index: Column) -> Column:
-    return F.element_at(F.array(*(F.lit(v) for v in values)), (index + 1).cast("int"))
+def pick(values: list[str], index: str) -> str:
+    """Spark SQL text that takes the ``index``-th value."""
+    return f"element_at(array({', '.join(_sql(v) for v in values)}), cast({index} AS int) + 1)"
 
 
 def pick_sql(values: list[str], index: str) -> str:
     return f"{sql_list(values)}[({index}) + 1]"
 
 
-def _by_chain(field: str, chain: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for c in V.CHAINS:
-        out = F.when(chain == c.name, F.lit(getattr(c, field))).otherwise(out)
-    return out
-
-
 def by_chain_sql(field: str, chain: str = "chain") -> str:
     whens = " ".join(f"WHEN {_sql(c.name)} THEN {_sql(getattr(c, field))}" for c in V.CHAINS)
     return f"CASE {chain} {whens} END"
@@ -82,48 +74,38 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def observations(spark: SparkSession, sf: str) -> DataFrame:
-    """OBS: one row per event; series key chain + sku."""
-    k, u, e = F.col("k"), F.col("user_id"), F.col("event_id")
-    chain = F.lit(None).cast("string")
-    for event, name in EVENT_CHAIN.items():
-        chain = F.when(F.col("event_type") == event, F.lit(name)).otherwise(chain)
-    base = (table(spark, sf, "events")
-            .withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
-            .withColumn("chain", chain).withColumn("i", u % 40))
-    price = F.when(k % 17 != 0, F.round(F.col("value") * 100).cast("bigint") * 1000)
-    original = (F.when((k % 17 == 0) | (k % 3 == 0), None).when(k % 41 == 0, F.col("promo_price") - 10000)
-                .otherwise(F.col("promo_price") + (k % 7) * 10000))
-    text = (F.when(k % 34 == 0, "Hết hàng").when(k % 17 == 0, V.STATUS_PREFIX + "Hết hàng\nLiên hệ cửa hàng")
-            .when(k % 10 == 0, F.concat(F.lit("Tặng  VOUCHER "), k % 30)).when(k % 5 == 0,
-                                                                              F.concat(F.lit("tặng voucher "), k % 30))
-            .otherwise(""))
-    scheme = F.when(e % 29 == 0, "http://").otherwise("https://")
-    site = F.when(e % 31 == 0, "shop.example").otherwise(_by_chain("domain", F.col("chain")))
-    color = F.when(k % 25 == 0, "Đen").otherwise(pick(COLORS, u % 3))
-    wanted = pick(TRACKED_COLORS, F.col("i"))
-    proof = F.struct(
-        F.when(k % 19 == 0, "other").otherwise(F.col("model")).alias("model"),
-        F.when(k % 13 == 0, "khác").otherwise(wanted).alias("canonical_color"),
-        F.when(k % 11 == 0, "x").otherwise(u.cast("string")).alias("product_code"),
-        F.when(k % 23 != 0, u.cast("string")).alias("website_color_id"),
-        F.when(k % 29 != 0, F.col("observed_at").cast("string")).alias("verified_at"))
-    return (base.select(
-        e.alias("seq"), "chain", "k", "i", u.alias("u"),
-        _by_chain("slug", F.col("chain")).alias("slug"),
-        F.concat(_by_chain("code", F.col("chain")), F.lit("-"), u).alias("sku"),
-        u.cast("string").alias("variant_id"),
-        pick(MODELS, F.col("i")).alias("model"), pick(STORAGES, u % 4).alias("storage"),
-        pick(["", "WiFi", "GPS"], u % 3).alias("display_variant"), color.alias("color"),
-        pick(NAME_BRANDS, F.col("i")).alias("brand"), pick(NAME_CATEGORIES, F.col("i")).alias("category"),
-        F.concat(pick(NAMES, F.col("i")), F.lit(" "), pick(STORAGES, u % 4)).alias("product_name"),
-        F.col("ts").alias("observed_at"), cal.business_date(F.col("ts")).alias("business_date"),
-        price.alias("promo_price"), text.alias("promo_text"),
-        F.when(e % 23 == 0, F.col("ts")).alias("stale_since"),
-        F.concat(scheme, site, F.lit("/p/"), u).alias("source_url"),
-        (k % 6 != 0).alias("promotion_complete"))
-        .withColumn("original_price", original)
-        .withColumn("week_start", cal.monday(F.col("business_date")))
-        .withColumn("color_evidence", proof))
+    """OBS: one row per event; series key chain + sku.  Written as SQL text: it is a view, not a job."""
+    events = " ".join(f"WHEN {_sql(a)} THEN {_sql(b)}" for a, b in EVENT_CHAIN.items())
+    base = table(spark, sf, "events").selectExpr(
+        "event_id AS seq", "user_id AS u", "user_id % 40 AS i", f"CASE event_type {events} END AS chain", "value",
+        "cast(get_json_object(props, '$.k') AS bigint) AS k", "ts AS observed_at",
+        f"to_date(convert_timezone('UTC', '{V.BUSINESS_ZONE}', ts)) AS business_date")
+    rows = base.selectExpr(
+        "seq", "chain", "k", "i", "u", f"{by_chain_sql('slug')} AS slug", f"{by_chain_sql('code')} || '-' || u AS sku",
+        "cast(u AS string) AS variant_id", f"{pick(MODELS, 'i')} AS model", f"{pick(STORAGES, 'u % 4')} AS storage",
+        f"{pick(['', 'WiFi', 'GPS'], 'u % 3')} AS display_variant",
+        f"CASE WHEN k % 25 = 0 THEN 'Đen' ELSE {pick(COLORS, 'u % 3')} END AS color",
+        f"{pick(NAME_BRANDS, 'i')} AS brand", f"{pick(NAME_CATEGORIES, 'i')} AS category",
+        f"{pick(NAMES, 'i')} || ' ' || {pick(STORAGES, 'u % 4')} AS product_name", "observed_at", "business_date",
+        "CASE WHEN k % 17 <> 0 THEN cast(round(value * 100) AS bigint) * 1000 END AS promo_price",
+        f"""CASE WHEN k % 34 = 0 THEN 'Hết hàng' WHEN k % 17 = 0
+         THEN '{V.STATUS_PREFIX}Hết hàng' || chr(10) || 'Liên hệ cửa hàng'
+         WHEN k % 10 = 0 THEN 'Tặng  VOUCHER ' || (k % 30) WHEN k % 5 = 0 THEN 'tặng voucher ' || (k % 30) ELSE '' END
+         AS promo_text""",
+        "CASE WHEN seq % 23 = 0 THEN observed_at END AS stale_since",
+        f"""CASE WHEN seq % 29 = 0 THEN 'http://' ELSE 'https://' END || CASE WHEN seq % 31 = 0 THEN 'shop.example'
+         ELSE {by_chain_sql('domain')} END || '/p/' || u AS source_url""",
+        "k % 6 <> 0 AS promotion_complete", f"{pick(TRACKED_COLORS, 'i')} AS wanted")
+    return rows.selectExpr(
+        "* except (wanted)",
+        """CASE WHEN k % 17 = 0 OR k % 3 = 0 THEN NULL WHEN k % 41 = 0 THEN promo_price - 10000
+         ELSE promo_price + (k % 7) * 10000 END AS original_price""",
+        "date_sub(business_date, weekday(business_date)) AS week_start",
+        """named_struct('model', CASE WHEN k % 19 = 0 THEN 'other' ELSE model END,
+         'canonical_color', CASE WHEN k % 13 = 0 THEN 'khác' ELSE wanted END,
+         'product_code', CASE WHEN k % 11 = 0 THEN 'x' ELSE variant_id END,
+         'website_color_id', CASE WHEN k % 23 <> 0 THEN variant_id END,
+         'verified_at', CASE WHEN k % 29 <> 0 THEN cast(observed_at AS string) END) AS color_evidence""")
 
 
 OBS_SQL = f"""obs0 AS (
@@ -161,26 +143,25 @@ obs AS (
 
 def catalog(spark: SparkSession, sf: str) -> DataFrame:
     """CAT: one candidate link per order; a third of the link pairs share (chain, sku)."""
-    o, c = F.col("o_orderkey"), F.col("o_custkey")
-    key = F.when(F.floor(c / 10) % 3 == 0, c - 5 * F.floor((c % 10) / 5)).otherwise(c)
-    domain = _by_chain("domain", F.col("chain"))
-    return (table(spark, sf, "orders")
-            .withColumn("chain", pick(V.CHAIN_NAMES, c % 5)).withColumn("key", key).withColumn("i", c % 40)
-            .select(
-        o.alias("seq"), c.alias("c"), "i", "key", "chain", _by_chain("slug", F.col("chain")).alias("slug"),
-        F.concat(F.lit("https://"), domain, F.lit("/san-pham-"), c).alias("source_url"),
-        F.concat(F.when(o % 37 == 0, "http://").otherwise("https://"), domain, F.lit("/san-pham-"), c).alias("raw_url"),
-        F.concat(_by_chain("code", F.col("chain")), F.lit("-"), F.col("key")).alias("sku"),
-        F.col("key").cast("string").alias("variant_id"),
-        F.when((F.col("o_orderstatus") == "P") | (c % 7 == 0), "review").otherwise("ready").alias("status"),
-        pick(REASONS, o % 14).alias("reason"), (o % 86).alias("input_row"),
-        F.concat(F.lit("https://"), domain, F.lit("/list/"), F.col("o_orderpriority")).alias("listing_url"),
-        F.when(o % 11 != 0, F.col("o_totalprice").cast("bigint")).alias("listing_price"),
-        (o % 3).alias("stock"), F.col("o_orderdate").alias("discovered_at"), F.col("o_orderpriority").alias("priority"),
-        F.concat(pick(NAMES, F.col("i")), F.lit(" "), pick(STORAGES, c % 4)).alias("product_name"),
-        pick(NAME_BRANDS, F.col("i")).alias("brand"), pick(NAME_CATEGORIES, F.col("i")).alias("category"),
-        pick(MODELS, F.col("i")).alias("model"), pick(STORAGES, c % 4).alias("storage"),
-        pick(COLORS, c % 3).alias("color"), F.col("o_totalprice").alias("total")))
+    site = by_chain_sql("domain")
+    base = table(spark, sf, "orders").selectExpr(
+        "*", "o_orderkey AS seq", "o_custkey AS c", "o_custkey % 40 AS i",
+        f"{pick(V.CHAIN_NAMES, 'o_custkey % 5')} AS chain",
+        """CASE WHEN (o_custkey div 10) % 3 = 0 THEN o_custkey - 5 * ((o_custkey % 10) div 5) ELSE o_custkey END AS key""")
+    return base.selectExpr(
+        "seq", "c", "i", "key", "chain", f"{by_chain_sql('slug')} AS slug",
+        f"'https://' || {site} || '/san-pham-' || c AS source_url",
+        f"CASE WHEN seq % 37 = 0 THEN 'http://' ELSE 'https://' END || {site} || '/san-pham-' || c AS raw_url",
+        f"{by_chain_sql('code')} || '-' || key AS sku", "cast(key AS string) AS variant_id",
+        "CASE WHEN o_orderstatus = 'P' OR c % 7 = 0 THEN 'review' ELSE 'ready' END AS status",
+        f"{pick(REASONS, 'seq % 14')} AS reason", "seq % 86 AS input_row",
+        f"'https://' || {site} || '/list/' || o_orderpriority AS listing_url",
+        "CASE WHEN seq % 11 <> 0 THEN cast(o_totalprice AS bigint) END AS listing_price", "seq % 3 AS stock",
+        "o_orderdate AS discovered_at", "o_orderpriority AS priority",
+        f"{pick(NAMES, 'i')} || ' ' || {pick(STORAGES, 'c % 4')} AS product_name",
+        f"{pick(NAME_BRANDS, 'i')} AS brand", f"{pick(NAME_CATEGORIES, 'i')} AS category",
+        f"{pick(MODELS, 'i')} AS model", f"{pick(STORAGES, 'c % 4')} AS storage", f"{pick(COLORS, 'c % 3')} AS color",
+        "o_totalprice AS total")
 
 
 CAT_SQL = f"""cat0 AS (
@@ -207,19 +188,16 @@ cat AS (
 
 
 def run_headers(spark: SparkSession, sf: str) -> DataFrame:
-    day = F.to_date("o_orderdate")
-    return (table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("run_id"), pick(V.CHAIN_NAMES, F.col("o_custkey") % 5).alias("chain"),
-        F.col("o_orderdate").alias("completed_at"), (F.col("o_orderkey") % 7).alias("product_count"),
-        cal.iso_year(day).alias("year"), cal.iso_week(day).alias("week"), F.col("o_custkey").alias("c"),
-        F.col("o_orderstatus").alias("state")))
+    return table(spark, sf, "orders").selectExpr(
+        "o_orderkey AS run_id", f"{pick(V.CHAIN_NAMES, 'o_custkey % 5')} AS chain", "o_orderdate AS completed_at",
+        "o_orderkey % 7 AS product_count", "cast(extract(YEAROFWEEK FROM o_orderdate) AS bigint) AS year",
+        "cast(weekofyear(o_orderdate) AS bigint) AS week", "o_custkey AS c", "o_orderstatus AS state")
 
 
 def run_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("run_id"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"),
-        F.col("l_linenumber").alias("line"), F.col("l_extendedprice").cast("bigint").alias("price"),
-        F.col("l_returnflag").alias("flag"))
+    return table(spark, sf, "lineitem").selectExpr(
+        "l_orderkey AS run_id", "l_partkey AS part", "l_suppkey AS supplier", "l_linenumber AS line",
+        "cast(l_extendedprice AS bigint) AS price", "l_returnflag AS flag")
 
 
 RUN_SQL = f"""runs AS (
