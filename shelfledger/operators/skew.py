@@ -1,4 +1,11 @@
-"""Attach per-key facts to rows when one key may hold a third of them."""
+"""Attach per-key facts to rows when one key may hold a third of them.
+
+Facts are always aggregated map-side first and are unique per key.  The row side is then split in one of two ways:
+
+* by default the adaptive skew join splits a hot partition by map output and repeats only that key's single fact row;
+* with ``hot`` (from :func:`hot_keys`) rows of those keys are salted explicitly, which also works where the adaptive
+  planner must keep the output partitioning.
+"""
 
 from __future__ import annotations
 
@@ -11,26 +18,33 @@ HOT_SHARE = 1000  # a key is hot when it holds at least 1/1000 of all rows, so t
 SALTS = 64
 
 
-def salted_join(rows: DataFrame, facts: DataFrame, keys: Sequence[str], spread: str, how: str = "left",
-                counts: DataFrame | None = None) -> DataFrame:
-    """Join ``facts`` (one row per key) to ``rows``; rows of hot keys are spread over ``SALTS`` tasks.
+def hot_keys(rows: DataFrame, keys: Sequence[str], share: int = HOT_SHARE) -> DataFrame:
+    """Keys that hold at least ``1/share`` of all rows, as a local table of at most ``share`` rows.
 
-    Hot keys come from a map-side count.  By their definition there are at most ``HOT_SHARE`` of them, which bounds the
-    broadcast list and the copies of ``facts``.  ``spread`` is any row column that varies within a key.
+    One counting pass with map-side combine.  The result is bounded by its definition, so taking it to the driver and
+    broadcasting it later is safe at any data size.
     """
-    sizes = counts if counts is not None else rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total = sizes.agg(F.sum("_n")).scalar()
-    hot = (sizes.filter((F.col("_n") > SALTS) & (F.col("_n") * HOT_SHARE >= total))
-           .select(*keys, F.lit(True).alias("_hot")))
-    salted_rows = (rows.join(F.broadcast(hot), list(keys), "left")
-                   .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(0)))
+    found = sizes.filter((F.col("_n") > SALTS) & (F.col("_n") * share >= total)).select(*keys)
+    return rows.sparkSession.createDataFrame(found.collect(), found.schema).withColumn("_hot", F.lit(True))
+
+
+def attach(rows: DataFrame, facts: DataFrame, keys: Sequence[str], spread: str, how: str = "left",
+           hot: DataFrame | None = None) -> DataFrame:
+    """Join ``facts`` (one row per key) to ``rows``; ``spread`` is a row column that varies within a key."""
+    if hot is None:
+        return rows.join(facts, list(keys), how)
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(0).cast("bigint")
     salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salted_rows = rows.join(F.broadcast(hot), list(keys), "left").withColumn("_salt", salt).drop("_hot")
     salted_facts = (facts.join(F.broadcast(hot), list(keys), "left")
-                    .withColumn("_salt", F.explode(salts).cast("long")).drop("_hot"))
-    return salted_rows.drop("_hot").join(salted_facts, [*keys, "_salt"], how).drop("_salt")
+                    .withColumn("_salt", F.explode(salts.cast("array<bigint>"))).drop("_hot"))
+    return salted_rows.join(salted_facts, [*keys, "_salt"], how).drop("_salt")
 
 
-def with_group_facts(rows: DataFrame, keys: Sequence[str], spread: str, **facts: Column) -> DataFrame:
-    """``facts`` aggregated per key (map-side first) and attached to every row of the key."""
-    grouped = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *(c.alias(n) for n, c in facts.items()))
-    return salted_join(rows, grouped.drop("_n"), keys, spread, "inner", counts=grouped.select(*keys, "_n"))
+def with_group_facts(rows: DataFrame, keys: Sequence[str], spread: str, hot: DataFrame | None = None,
+                     **facts: Column) -> DataFrame:
+    """``facts`` aggregated per key and attached to every row of the key.  Keys must not be NULL."""
+    grouped = rows.groupBy(*keys).agg(*(c.alias(n) for n, c in facts.items()))
+    return attach(rows, grouped, keys, spread, "inner", hot)

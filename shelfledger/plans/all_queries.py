@@ -1,4 +1,4 @@
-from shelfledger.plans import history_queries, matrix_queries
+from shelfledger.plans import catalog_queries, history_queries, matrix_queries
 from shelfledger.plans.registry import CHECKS, QUERIES
 
-__all__ = ["CHECKS", "QUERIES", "history_queries", "matrix_queries"]
+__all__ = ["CHECKS", "QUERIES", "catalog_queries", "history_queries", "matrix_queries"]
