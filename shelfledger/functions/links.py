@@ -72,6 +72,11 @@ def _pairs(url: Column) -> Column:
     return F.filter(F.split(query(url), "&"), lambda p: p != "")
 
 
+def _named(url: Column, name: str) -> Column:
+    """``name=value`` parameters with a value."""
+    return F.filter(_pairs(url), lambda p: (F.substring_index(p, "=", 1) == name) & p.rlike("^[^=]*=."))
+
+
 def canonical(url: Column) -> Column:
     """Without fragment and known trackers; parameters that choose a variant stay, in order."""
     def kept(pair: Column) -> Column:
@@ -96,8 +101,7 @@ def channel_link(channel: Column, url: Column) -> tuple[Column, Column]:
     route = F.when(route == "", "/").otherwise(route)
     link, reason = F.lit(None).cast("string"), F.lit("channel")
     for spec in V.LINK_CHANNELS:
-        wanted = F.filter(_pairs(url), lambda p, s=spec: (F.substring_index(p, "=", 1) == F.lit(s.query or ""))
-                          & (F.length(F.substr(p, F.length(F.substring_index(p, "=", 1)) + 2)) > 0))
+        wanted = _named(url, spec.query or "")
         digits = F.forall(wanted, lambda p: p.rlike(r"^[^=]*=\d{1,20}$"))
         why = (F.when(F.length(url) > 500, "length")
                .when((scheme(url) != "https") | has_login(url) | authority(url).rlike(r":\d+$"), "scheme")
