@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfledger import fixed_values as V
@@ -72,11 +72,6 @@ def _pairs(url: Column) -> Column:
     return F.filter(F.split(query(url), "&"), lambda p: p != "")
 
 
-def _named(url: Column, name: str) -> Column:
-    """``name=value`` parameters with a value."""
-    return F.filter(_pairs(url), lambda p: (F.substring_index(p, "=", 1) == name) & p.rlike("^[^=]*=."))
-
-
 def canonical(url: Column) -> Column:
     """Without fragment and known trackers; parameters that choose a variant stay, in order."""
     def kept(pair: Column) -> Column:
@@ -88,32 +83,31 @@ def canonical(url: Column) -> Column:
     return F.when(F.size(normal) > 0, F.concat(base, F.lit("?"), F.array_join(normal, "&"))).otherwise(base)
 
 
-def channel_of(url: Column) -> Column:
-    name = host(url)
-    return reduce(lambda rest, c: F.when(name.isin(c.hosts), F.lit(c.slug)).otherwise(rest),
-                  reversed(V.LINK_CHANNELS), F.lit(None).cast("string"))
+def channel_hosts(spark: SparkSession) -> DataFrame:
+    """Allowed hosts with their channel: one row per fixed host name."""
+    rows = [(h, c.slug, c.hosts[0], c.query or "") for c in V.LINK_CHANNELS for h in c.hosts]
+    return spark.createDataFrame(rows, "_host string, channel string, _site string, _name string")
 
 
-def channel_link(channel: Column, url: Column) -> tuple[Column, Column]:
-    """(normal link or NULL, reject reason or NULL) of a hand-entered link of a channel."""
-    url = F.trim(url)
+def with_channel_link(df: DataFrame, column: str) -> DataFrame:
+    """Add ``channel`` (by host), ``link`` (normal form or NULL) and ``link_error`` (reject reason or NULL) of
+    hand-entered links.  The host table is fixed and tiny, so it is broadcast."""
+    url = F.trim(column)
     route = F.regexp_replace(path(url), r"/+$", "")
-    route = F.when(route == "", "/").otherwise(route)
-    link, reason = F.lit(None).cast("string"), F.lit("channel")
-    for spec in V.LINK_CHANNELS:
-        wanted = _named(url, spec.query or "")
-        digits = F.forall(wanted, lambda p: p.rlike(r"^[^=]*=\d{1,20}$"))
-        why = (F.when(F.length(url) > 500, "length")
-               .when((scheme(url) != "https") | has_login(url) | authority(url).rlike(r":\d+$"), "scheme")
-               .when(~host(url).isin(spec.hosts), "host")
-               .when(~route.rlike("^" + spec.path + "$"), "path")
-               .when(~digits, "variant"))
-        base = F.concat(F.lit("https://" + spec.hosts[0]), route)
-        whole = F.when(F.size(wanted) > 0, F.concat(base, F.lit("?"), F.array_join(wanted, "&"))).otherwise(base)
-        mine = channel == spec.slug
-        reason = F.when(mine, why).otherwise(reason)
-        link = F.when(mine & why.isNull(), whole).otherwise(link)
-    return link, reason
+    rows = df.withColumn("_host", host(url)).join(F.broadcast(channel_hosts(df.sparkSession)), "_host", "left")
+    rows = rows.withColumn("_route", F.when(route == "", "/").otherwise(route))
+    rows = rows.withColumn("_kept", F.filter(
+        _pairs(url), lambda p: (F.substring_index(p, "=", 1) == F.col("_name")) & p.rlike("^[^=]*=.")))
+    route_ok = reduce(lambda rest, c: F.when(F.col("channel") == c.slug, F.col("_route").rlike("^" + c.path + "$"))
+                      .otherwise(rest), V.LINK_CHANNELS, F.lit(False))
+    reason = (F.when(F.length(url) > 500, "length")
+              .when((scheme(url) != "https") | authority(url).rlike(r"@|:\d+$"), "scheme")
+              .when(F.col("channel").isNull(), "host").when(~route_ok, "path")
+              .when(F.exists("_kept", lambda p: ~p.rlike(r"^[^=]*=\d{1,20}$")), "variant"))
+    base = F.concat(F.lit("https://"), F.col("_site"), F.col("_route"))
+    whole = F.when(F.size("_kept") > 0, F.concat(base, F.lit("?"), F.array_join("_kept", "&"))).otherwise(base)
+    return (rows.withColumn("link_error", reason).withColumn("link", F.when(F.col("link_error").isNull(), whole))
+            .drop("_host", "_route", "_site", "_name", "_kept"))
 
 
 def repair_path(href: Column, prefix: Column) -> Column:

@@ -122,9 +122,7 @@ def hand_link(column: str) -> str:
 def _(spark, sf):
     rows = catalog(spark, sf).selectExpr("seq", f"{hand_link('c')} AS raw").selectExpr(
         "seq", "CASE WHEN seq % 9 = 0 THEN regexp_replace(raw, '^https', 'http') ELSE raw END AS raw")
-    channel = L.channel_of(F.col("raw"))
-    link, reason = L.channel_link(channel, F.col("raw"))
-    return rows.select("seq", link.alias("link"), reason.alias("reason"), channel.alias("channel"))
+    return L.with_channel_link(rows, "raw").select("seq", "link", F.col("link_error").alias("reason"), "channel")
 
 
 @query("col11_repair_pin_url", """SELECT seq, CASE WHEN seq % 2 = 0 THEN '/laptop/may-' || c ELSE '/laptop/a/may-' || c END AS path,
