@@ -1,4 +1,4 @@
-from shelfledger.plans import audit_queries, catalog_queries, history_queries, matrix_queries, sink_queries, text_queries
+from shelfledger.plans import audit_queries, catalog_queries, history_queries, matrix_queries, payload_queries, sink_queries, text_queries
 from shelfledger.plans.registry import CHECKS, QUERIES
 
-__all__ = ["CHECKS", "QUERIES", "audit_queries", "catalog_queries", "history_queries", "matrix_queries", "sink_queries", "text_queries"]
+__all__ = ["CHECKS", "QUERIES", "audit_queries", "catalog_queries", "history_queries", "matrix_queries", "payload_queries", "sink_queries", "text_queries"]
