@@ -74,9 +74,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def observations(spark: SparkSession, sf: str) -> DataFrame:
-    """OBS: one row per event; series key chain + sku.  Written as SQL text: it is a view, not a job."""
+    """OBS: one row per event; series key chain + sku."""
+    return observation_view(table(spark, sf, "events"))
+
+
+def observation_view(source: DataFrame) -> DataFrame:
+    """OBS over a batch or streaming table of events.  Written as SQL text: it is a view, not a job."""
     events = " ".join(f"WHEN {_sql(a)} THEN {_sql(b)}" for a, b in EVENT_CHAIN.items())
-    base = table(spark, sf, "events").selectExpr(
+    base = source.selectExpr(
         "event_id AS seq", "user_id AS u", "user_id % 40 AS i", f"CASE event_type {events} END AS chain", "value",
         "cast(get_json_object(props, '$.k') AS bigint) AS k", "ts AS observed_at",
         f"to_date(convert_timezone('UTC', '{V.BUSINESS_ZONE}', ts)) AS business_date")
