@@ -1,0 +1,14 @@
+"""Use all cores for heavy per-row work on a small input."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition only an input with fewer splits than the cluster has cores.
+
+    A large table already has more splits than cores and is returned unchanged, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

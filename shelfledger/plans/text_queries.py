@@ -55,10 +55,10 @@ def _(spark, sf):
         "seq", "category", "brand", "CASE WHEN lower(g) = lower(given) THEN given ELSE g END AS given")
 
 
-@query("col5_label_product", "SELECT seq, CASE WHEN i < 38 THEN model END AS label FROM cat", "cat")
+@query("col5_label_product", f"""SELECT seq, CASE WHEN i < 38 THEN model END AS label,
+ CASE WHEN category IN ('{V.PHONE}', '{V.TABLET}', '{V.LAPTOP}') THEN storage END AS label_storage FROM cat""", "cat")
 def _(spark, sf):
-    label = P.product_label(F.col("product_name"), F.col("category"), F.col("brand"))
-    return catalog(spark, sf).select("seq", label.alias("label"))
+    return P.label_products(catalog(spark, sf)).select("seq", "label", "label_storage")
 
 
 @query("col6_storage_gb", """SELECT seq, CASE storage WHEN '1TB' THEN 1024 ELSE CAST(replace(storage, 'GB', '') AS BIGINT) END

@@ -18,7 +18,7 @@ from shelfledger.functions import text as T
 from shelfledger.operators.audit import count_if
 from shelfledger.operators.catalog import last_write
 from shelfledger.operators.history import SERIES, week_cells
-from shelfledger.operators.quality import enforce, missing, run_gate
+from shelfledger.operators.quality import duplicates, enforce, run_gate
 
 WEEKLY_KEY = ["chain", "sku", "year", "week"]
 
@@ -61,6 +61,7 @@ def issue_rows(issues: DataFrame) -> DataFrame:
 def commit_run(spark: SparkSession, rows: DataFrame, issues: DataFrame, header: dict, paths: dict[str, str]) -> None:
     """Check a chain's run, then write weekly rows, history, issues and, last, the header."""
     enforce(run_gate(rows, issues, header["chain"], header["year"], header["week"], header["expected_count"]))
+    enforce(duplicates(rows, SERIES).agg(F.count(F.lit(1)).alias("shared_sku")))
     stamp = lambda df: df.withColumns({"run_id": F.lit(header["run_id"]), "captured_at": F.lit(header["completed_at"])
                                        .cast("timestamp_ntz")})
     dated = lambda df: df.withColumn("business_date", cal.business_date(F.col("captured_at"))).withColumn(

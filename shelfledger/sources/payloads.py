@@ -59,15 +59,15 @@ def judged(df: DataFrame, checks: Sequence[tuple[Column, str]], variant: Column,
              (F.col("_listed") < F.col("_sale"), "list_below_price")]
     issue = reduce(lambda rest, rule: F.when(F.coalesce(rule[0], F.lit(False)), F.lit(rule[1])).otherwise(rest),
                    reversed(rules), none())
-    out = df.withColumn("issue", issue)
+    out = df.withColumn("issue", issue).withColumn("_notes", notes)
     ok = F.col("issue").isNull()
     original = F.when(F.col("_listed") > F.col("_sale"), F.col("_listed"))
     return out.withColumns({
         "quoted_variant": F.when(ok, variant), "quoted_name": F.when(ok, name), "quoted_color": F.when(ok, color),
         "quoted_price": F.when(ok, F.col("_sale")), "quoted_list": F.when(ok, original),
-        "quoted_text": F.when(ok, T.annotate(notes, F.col("_status"))),
+        "quoted_text": F.when(ok, T.annotate(F.col("_notes"), F.col("_status"))),
         "promotion_complete": F.when(ok, F.lit(True) if complete is None else complete)}).drop(
-        "_sale", "_listed", "_status", "_p")
+        "_sale", "_listed", "_status", "_notes", "_p")
 
 
 # --- CellphoneS ------------------------------------------------------------------------------------------------------
@@ -124,8 +124,8 @@ def quotes_fpt(payloads: DataFrame) -> DataFrame:
     rows = payloads.withColumn("_p", F.from_json("payload", FPT))
     info, shop, state = F.col("_p.productAdvanceInfo"), F.col("_p.variants"), F.col("_p.productStatus")
     code = F.col("variant_id")
-    mine = F.filter(shop["variantResult"]["skus"], lambda v: v["code"] == code)
-    one = F.get(mine, F.lit(0))
+    rows = rows.withColumn("_mine", F.filter(shop["variantResult"]["skus"], lambda v: v["code"] == code))
+    mine, one = F.col("_mine"), F.get("_mine", F.lit(0))
     slugs = F.filter(shop["skuSlugs"], lambda s: s["sku"] == code)
     keys = F.transform(F.flatten(F.transform(slugs, lambda s: s["attributes"])), lambda a: a["key"])
     colors = T.ordered_distinct(F.transform(F.filter(keys, lambda k: F.lower(k["propertyName"]) == "color"),
@@ -158,7 +158,7 @@ def quotes_fpt(payloads: DataFrame) -> DataFrame:
                          (F.size(mine) != 1, "variant_not_unique"),
                          (info.isNotNull() & broken_money(raw, info["price"], one["price"]), "price_range"),
                          (disagrees, "shown_price_differs")],
-                  code, F.coalesce(one["name"], one["displayName"]), color, notes, info.isNotNull()).drop("_shown")
+                  code, F.coalesce(one["name"], one["displayName"]), color, notes, info.isNotNull()).drop("_shown", "_mine")
 
 
 # --- Phong Vũ --------------------------------------------------------------------------------------------------------
@@ -224,7 +224,8 @@ def quotes_mw(payloads: DataFrame) -> DataFrame:
     rows = payloads.withColumn("_p", F.from_json("payload", MW))
     p = F.col("_p")
     prices = F.coalesce(p["productPrices"], F.array())
-    normal, limited = F.filter(prices, lambda x: ~is_limited(x)), F.filter(prices, is_limited)
+    rows = rows.withColumns({"_normal": F.filter(prices, lambda x: ~is_limited(x)), "_limited": F.filter(prices, is_limited)})
+    normal, limited = F.col("_normal"), F.col("_limited")
     pairs = F.array_distinct(F.transform(normal, lambda x: F.struct(x["price"], x["sysPrice"])))
     one = F.get(normal, F.lit(0))
     explicit = T.explicit_status(p["statusOnWeb"], p["statusText"])
@@ -260,7 +261,7 @@ def quotes_mw(payloads: DataFrame) -> DataFrame:
                          (code != F.col("variant_id"), "other_code"),
                          (~hidden & (F.size(pairs) != 1), "price_not_unique"),
                          (~hidden & broken_money(one["price"], one["sysPrice"]), "price_range")],
-                  code, p["name"], P.coded_color(options, code), notes, p["payments"].isNotNull())
+                  code, p["name"], P.coded_color(options, code), notes, p["payments"].isNotNull()).drop("_normal", "_limited")
 
 
 # --- Viettel Store ---------------------------------------------------------------------------------------------------
