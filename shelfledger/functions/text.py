@@ -69,7 +69,7 @@ def millions_text(amount: Column) -> Column:
 
 def percent_text(part: Column, whole: Column) -> Column:
     """``part`` of ``whole`` in percent, two decimals, rounded half up in whole numbers."""
-    return _hundredths_text(F.floor((part.cast("bigint") * 20_000 + whole) / (whole * 2)))
+    return F.when(whole > 0, _hundredths_text(F.floor((part.cast("bigint") * 20_000 + whole) / F.nullif(whole * 2, F.lit(0)))))
 
 
 def first_match(text: Column, classes: list[tuple[str, str]], default: Column) -> Column:

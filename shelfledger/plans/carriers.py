@@ -94,7 +94,7 @@ def observation_view(source: DataFrame) -> DataFrame:
         f"CASE WHEN k % 25 = 0 THEN 'Đen' ELSE {pick(COLORS, 'u % 3')} END AS color",
         f"{pick(NAME_BRANDS, 'i')} AS brand", f"{pick(NAME_CATEGORIES, 'i')} AS category",
         f"{pick(NAMES, 'i')} || ' ' || {pick(STORAGES, 'u % 4')} AS product_name", "observed_at", "business_date",
-        "CASE WHEN k % 17 <> 0 THEN cast(round(value * 100) AS bigint) * 1000 END AS promo_price",
+        "CASE WHEN k % 17 <> 0 THEN nullif(cast(round(value * 100) AS bigint) * 1000, 0) END AS promo_price",
         f"""CASE WHEN k % 34 = 0 THEN 'Hết hàng' WHEN k % 17 = 0
          THEN '{V.STATUS_PREFIX}Hết hàng' || chr(10) || 'Liên hệ cửa hàng'
          WHEN k % 10 = 0 THEN 'Tặng  VOUCHER ' || (k % 30) WHEN k % 5 = 0 THEN 'tặng voucher ' || (k % 30) ELSE '' END
@@ -127,7 +127,7 @@ obs1 AS (
   {pick_sql(NAME_BRANDS, 'i')} AS brand, {pick_sql(NAME_CATEGORIES, 'i')} AS category,
   {pick_sql(NAMES, 'i')} || ' ' || {pick_sql(STORAGES, 'user_id % 4')} AS product_name,
   ts AS observed_at, CAST(ts + INTERVAL 7 HOUR AS DATE) AS business_date,
-  CASE WHEN k % 17 <> 0 THEN CAST(round(value * 100) AS BIGINT) * 1000 END AS promo_price,
+  CASE WHEN k % 17 <> 0 THEN nullif(CAST(round(value * 100) AS BIGINT) * 1000, 0) END AS promo_price,
   CASE WHEN k % 34 = 0 THEN 'Hết hàng' WHEN k % 17 = 0 THEN '{V.STATUS_PREFIX}Hết hàng' || chr(10) || 'Liên hệ cửa hàng'
    WHEN k % 10 = 0 THEN 'Tặng  VOUCHER ' || (k % 30) WHEN k % 5 = 0 THEN 'tặng voucher ' || (k % 30) ELSE '' END
    AS promo_text,
