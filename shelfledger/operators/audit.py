@@ -217,7 +217,9 @@ def rule_preview(catalog: DataFrame, history: DataFrame, rules: Sequence[tuple[s
     ``accepted``: folded color names, empty for any color; ``proof_names``: folded current and previous model names.
     """
     from shelfledger.functions.product import rule_label
-    mine = lambda df: df.filter(rule_label(F.col("product_name"), rules) == model)
+    # the draft's own pattern is one cheap test that spares most rows the whole rule table
+    own = T.matches(F.col("product_name"), dict(rules)[model])
+    mine = lambda df: df.filter(own & (rule_label(F.col("product_name"), rules) == model))
     links = mine(catalog).groupBy("chain").agg(F.count(F.lit(1)).alias("links"),
                                                count_if(F.col("status") == "ready").alias("links_ready"))
     proof = F.col("color_evidence")

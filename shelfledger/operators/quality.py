@@ -13,6 +13,7 @@ from shelfledger.functions import links as L
 from shelfledger.functions import product as P
 from shelfledger.functions import text as T
 from shelfledger.operators.audit import count_if
+from shelfledger.operators.skew import hand_kept
 
 
 class GateFailed(ValueError):
@@ -128,7 +129,7 @@ def verified_variant(df: DataFrame, tracked: DataFrame) -> DataFrame:
 
     ``tracked`` has one row per model and is user-kept (at most ``MAX_RULES`` rows), which bounds the broadcast.
     """
-    rules = tracked.select(F.col("model"), F.col("color").alias("wanted_color")).limit(V.MAX_RULES + 1)
+    rules = hand_kept(tracked).select(F.col("model"), F.col("color").alias("wanted_color"))
     proof = F.col("color_evidence")
     color_ok = F.col("wanted_color").isNull() | (
         proof["website_color_id"].isNotNull() & color_match(proof["canonical_color"], F.col("wanted_color")))

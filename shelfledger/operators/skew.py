@@ -14,10 +14,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfledger import fixed_values as V
+
 HOT_SHARE = 1000  # a key is hot when it holds at least 1/1000 of all rows, so there are at most 1000 hot keys
 SALTS = 64
 
 
+def hand_kept(df: DataFrame, most: int = V.MAX_RULES) -> DataFrame:
+    """A small hand-kept table, checked: more than ``most`` rows is an error, never a cut.  Safe to broadcast."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"a hand-kept table has at most {most} rows")
+    return df
+
+
 def hot_keys(rows: DataFrame, keys: Sequence[str], share: int = HOT_SHARE) -> DataFrame:
     """Keys that hold at least ``1/share`` of all rows, as a local table of at most ``share`` rows.
 

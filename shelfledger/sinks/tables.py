@@ -29,12 +29,9 @@ def weekly_upsert(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def write_weekly(existing: DataFrame, incoming: DataFrame, path: str) -> None:
-    """Upsert and replace only the (year, week) partitions the run touches.
-
-    A run holds one or few weeks, so the touched list is bounded by the calendar.
-    """
+    """Upsert and replace only the (year, week) partitions the run touches."""
     weeks = incoming.select("year", "week").distinct()
-    touched = existing.join(F.broadcast(weeks), ["year", "week"], "left_semi")
+    touched = existing.join(weeks, ["year", "week"], "left_semi")
     (weekly_upsert(touched, incoming).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("year", "week").parquet(path))
 

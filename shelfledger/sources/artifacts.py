@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as PT
 
@@ -24,12 +24,9 @@ def usable_summaries(summaries: DataFrame) -> DataFrame:
 
 
 def attach_run(rows: DataFrame, summaries: DataFrame, key: str = "slug") -> DataFrame:
-    """Rows of usable runs; their own time, else the run's, gives the business day and week.
-
-    There is one summary per chain, which bounds the broadcast.
-    """
+    """Rows of usable runs; their own time, else the run's, gives the business day and week."""
     runs = usable_summaries(summaries).select(key, F.col("finished_at").alias("_finished"))
-    joined = rows.join(F.broadcast(runs), key).withColumn("observed_at", F.coalesce("observed_at", "_finished"))
+    joined = rows.join(runs, key).withColumn("observed_at", F.coalesce("observed_at", "_finished"))
     day = cal.business_date(F.col("observed_at"))
     return joined.withColumn("business_date", day).withColumn(
         "week_start", cal.monday(F.col("business_date"))).drop("_finished")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shelfledger import fixed_values as V
 from shelfledger.schemas import PREFERENCE, RULE
 from shelfledger.functions.text import fold
+from shelfledger.operators.skew import hand_kept
 
 
 def _bounded(df: DataFrame, what: str) -> list:
@@ -54,7 +55,7 @@ def read_brand_scope(spark: SparkSession, path: str) -> list[str]:
 
 def rules_by_brand(rules: DataFrame) -> DataFrame:
     """One row per brand with its rules as an array: a stream or table joined to it is never multiplied."""
-    return rules.groupBy("brand").agg(F.collect_list(F.struct("name", "pattern")).alias("rules"))
+    return hand_kept(rules).groupBy("brand").agg(F.collect_list(F.struct("name", "pattern")).alias("rules"))
 
 
 def label_by_brand(df: DataFrame, grouped: DataFrame) -> DataFrame:

@@ -51,7 +51,7 @@ def latest_catalog(headers: DataFrame, rows: DataFrame, now: Column, max_age_day
 
 
 def catalog_rows(headers: DataFrame, rows: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
-    """(ready, review) rows of accepted catalogs.  There is one header per chain, which bounds the broadcast."""
+    """(ready, review) rows of accepted catalogs, found through one header per chain."""
     accepted = latest_catalog(headers, rows, now).filter("verdict = 'accepted'").select("run_id")
-    mine = rows.join(F.broadcast(accepted), "run_id", "left_semi")
+    mine = rows.join(accepted, "run_id", "left_semi")
     return mine.filter("status = 'ready'"), mine.filter("status <> 'ready'")
