@@ -242,15 +242,14 @@ def listing_complete(cards: DataFrame, share: dict[str, int], max_candidates: in
     return rows.withColumn("verdict", verdict).drop("_high")
 
 
-def merge_cards(cards: DataFrame, links: DataFrame) -> DataFrame:
-    """Cards of one model as one row: first non-empty name, number of repeats, links in first-seen order.
+def merge_cards(cards: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cards, links) with the cards of one model merged: first non-empty name and number of repeats, and each link once
+    at its first place.
 
-    Links are reduced to their first position before they meet, so the array holds distinct links only.
+    Links stay rows with their order columns; a model that owns a third of all links is never one value.
     """
     keys = ["listing", "model"]
     named = F.when(F.coalesce("name", F.lit("")) != "", F.col("seq"))
     merged = cards.groupBy(*keys).agg(F.min_by("name", named).alias("name"), (F.count(F.lit(1)) - 1).alias("repeats"))
     first = links.groupBy(*keys, "link").agg(F.min(F.struct("seq", "position")).alias("_at"))
-    ordered = first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_at", "link"))).alias("_links"))
-    return merged.join(ordered, keys, "left").withColumn(
-        "links", F.transform("_links", lambda x: x["link"])).drop("_links")
+    return merged, first.select(*keys, "link", F.col("_at.seq").alias("seq"), F.col("_at.position").alias("position"))

@@ -20,7 +20,8 @@ def rule_regex(pattern: Column) -> Column:
 def agent_rules(rules: DataFrame, agent: str) -> DataFrame:
     """Per host the rules that count for ``agent`` and its longest delay; a named group replaces the ``*`` group.
 
-    One row per host: a host's rules stay together as an array, so pages are never multiplied by rules.
+    One row per host: a host's distinct rules stay together as an array, so pages are never multiplied by rules.  Their
+    number is that of one rules file, whatever the number of pages.
     """
     named = (F.col("agent") != "*") & F.contains(F.lit(agent.lower()), F.lower("agent"))
     rows = rules.withColumn("_named", named).filter(F.col("_named") | (F.col("agent") == "*"))

@@ -323,16 +323,16 @@ def _(spark, sf):
     return K.listing_complete(paged, V.LISTING_SHARE, 1_000_000)
 
 
-@query("agg12_listing_merge", """WITH f AS (SELECT listing_url AS listing, c AS model, source_url || '/' || stock AS link,
- min(seq) AS pos FROM cat GROUP BY ALL),
- l AS (SELECT listing, model, string_agg(link, '|' ORDER BY pos) AS links FROM f GROUP BY ALL),
- m AS (SELECT listing_url AS listing, c AS model, count(*) - 1 AS repeats,
-  arg_min(product_name, seq) FILTER (seq % 3 <> 0) AS name FROM cat GROUP BY ALL)
-SELECT listing, model, name, repeats, links FROM m JOIN l USING (listing, model)""", "cat")
+@query("agg12_listing_merge", """SELECT 'link' AS kind, listing_url AS listing, c AS model, NULL AS name, CAST(NULL AS BIGINT) AS repeats,
+ source_url || '/' || stock AS link, min(seq) AS seq FROM cat GROUP BY ALL
+UNION ALL SELECT 'card', listing_url, c, arg_min(product_name, seq) FILTER (seq % 3 <> 0), count(*) - 1, NULL, NULL FROM cat
+GROUP BY listing_url, c""", "cat")
 def _(spark, sf):
     rows = catalog(spark, sf)
     cards = rows.select("seq", F.col("listing_url").alias("listing"), F.col("c").alias("model"),
                         F.when(F.col("seq") % 3 != 0, F.col("product_name")).otherwise("").alias("name"))
     links = rows.select("seq", F.col("listing_url").alias("listing"), F.col("c").alias("model"), F.lit(0).alias("position"),
                         F.concat("source_url", F.lit("/"), "stock").alias("link"))
-    return K.merge_cards(cards, links).select("listing", "model", "name", "repeats", F.array_join("links", "|").alias("links"))
+    merged, first = K.merge_cards(cards, links)
+    return merged.withColumn("kind", F.lit("card")).unionByName(
+        first.drop("position").withColumn("kind", F.lit("link")), allowMissingColumns=True)
