@@ -10,9 +10,8 @@ from shelfledger.functions.product import shop_colors
 from shelfledger.operators import audit as A
 from shelfledger.operators import carry, tracking
 from shelfledger.operators import history as H
-from shelfledger.operators import quality as Q
-from shelfledger.plans.carriers import MODELS, catalog, observations, run_headers, sql_list
-from shelfledger.plans.history_queries import DAY, LAST_DAY, stamp
+from shelfledger.plans.carriers import catalog, observations, run_headers, sql_list
+from shelfledger.plans.history_queries import DAY, stamp
 from shelfledger.plans.matrix_queries import TRACKED, tracked
 from shelfledger.plans.registry import query
 

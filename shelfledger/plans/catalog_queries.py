@@ -8,7 +8,7 @@ from shelfledger import fixed_values as V
 from shelfledger.functions.product import locked_sku
 from shelfledger.operators import catalog as K
 from shelfledger.operators.skew import attach, hot_keys
-from shelfledger.plans.carriers import catalog, observations, run_headers, run_rows
+from shelfledger.plans.carriers import catalog, run_headers, run_rows
 from shelfledger.plans.registry import query
 from shelfledger.sources import runs as R
 from shelfledger.sources import seeds as S

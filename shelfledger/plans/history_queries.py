@@ -9,7 +9,6 @@ from shelfledger.functions import calendar as cal
 from shelfledger.functions import text as T
 from shelfledger.operators import history as H
 from shelfledger.operators import movement as M
-from shelfledger.operators.latest import latest_per_key
 from shelfledger.plans.carriers import observations
 from shelfledger.plans.registry import query
 

@@ -10,7 +10,7 @@ from shelfledger.operators import history as H
 from shelfledger.operators import matrix as X
 from shelfledger.operators import quality as Q
 from shelfledger.plans.carriers import MODELS, catalog, observations, sql_list
-from shelfledger.plans.history_queries import DAY, LAST_DAY
+from shelfledger.plans.history_queries import DAY
 from shelfledger.plans.registry import query
 
 ASOF = f"""dated AS (SELECT *, CASE WHEN starts_with(model, 'MacBook') THEN array_to_string(list_sort(list_filter(

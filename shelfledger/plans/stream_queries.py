@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
-
 from shelfledger.plans.carriers import observation_view, table
 from shelfledger.plans.history_queries import BIG, MOVES, text_date
 from shelfledger.plans.registry import query
