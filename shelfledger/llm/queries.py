@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfledger.llm import histogram_sort, pattern_packing, quality_lines, trigram_secrets, vp_simhash
+from shelfledger.llm import histogram_sort, pattern_packing, quality_lines, rlz_dedup, trigram_secrets, vp_simhash
 from shelfledger.llm.shared import read_documents, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = vp_simhash.groups(read_documents(spark, sf_dir))
     return found.select("doc_id", vp_simhash.fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@register("op2_rlz_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rlz_dedup.dedup(read_documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_words", 256).alias("kept_sha256"))
