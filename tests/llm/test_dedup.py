@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from shelfledger.llm import rlz_dedup, rounds
+from shelfledger.llm import rlz_dedup, rounds, suffix_dedup
 from shelfledger.llm import queries as Q
 
 SF = "/root/testdata/sf0.01"
@@ -82,3 +82,59 @@ def test_kept_text_keeps_its_form(spark):
     got = {r["doc_id"]: r for r in rlz_dedup.dedup(df).collect()}
     assert [got[i]["kept_text"] for i in (1, 2, 3)] == [f"x\n{shared}", "head\tof it\n\ntail  end", ""]
     assert [(f["start"], f["end"]) for f in got[2]["factors"]] == [(3, 18)]
+
+
+# -- bytes -----------------------------------------------------------------------------------------------------------------
+
+def brute_bytes(texts, length=400):
+    often = {}
+    data = [(t or "").encode() for t in texts]
+    for t in data:
+        for i in range(len(t) - length + 1):
+            key = hash(t[i:i + length])
+            often[key] = often.get(key, 0) + 1
+    out = []
+    for t in data:
+        gone = bytearray(len(t))
+        for i in range(len(t) - length + 1):
+            if often[hash(t[i:i + length])] > 1:
+                gone[i:i + length] = b"\1" * length
+        spans = len(re.findall(b"\1+", bytes(gone)))
+        out.append((len(t), sum(gone), spans, bytes(c for c, g in zip(t, gone) if not g)))
+    return out
+
+
+def test_byte_dedup_query(spark, texts):
+    want = {d: (*w[:3], hashlib.sha256(w[3]).hexdigest()) for (d, _), w in zip(texts, brute_bytes([t for _, t in texts]))}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in Q.QUERIES["op1_suffix_dedup"](spark, SF).collect()}
+    assert got == want
+    assert sum(w[2] for w in want.values()) > 50
+
+
+@pytest.mark.parametrize("seed,letters,length", [(1, "ab", 40), (2, "abcdefgh", 40), (3, "a", 40), (4, "abé", 400)])
+def test_byte_dedup_random(spark, monkeypatch, seed, letters, length):
+    monkeypatch.setattr(rounds, "CHUNK_FLOOR", 4000)
+    monkeypatch.setattr(rounds, "CHUNK_FACTOR", 1)
+    rng = random.Random(seed)
+    passages = ["".join(rng.choice(letters) for _ in range(rng.randint(length - 9, 3 * length))) for _ in range(10)]
+    rows = []
+    for d in range(150):
+        text = ""
+        for _ in range(rng.randint(0, 4)):
+            p = rng.choice(passages)
+            a = rng.randint(0, len(p) // 3)
+            text += p[a:rng.randint(a, len(p))] if rng.random() < 0.5 else p if rng.random() < 0.6 else "".join(rng.choice(letters) for _ in range(rng.randint(1, length)))
+        rows.append((d, text))
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["removed"]), bytes(r["kept"])) for r in
+           suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), length=length,
+                              anchor=length * 3 // 4).collect()}
+    assert got == {d: w for (d, _), w in zip(rows, brute_bytes([t for _, t in rows], length))}
+
+
+def test_byte_dedup_odd_rows(spark):
+    long_text = " ".join(f"w{i % 997} x{i}" for i in range(20000))
+    rows = [(1, None), (2, ""), (3, "é" * 300), (5, long_text), (5, long_text[:9000]), (None, "start " + long_text[100:700]), (7, "x" * 399), (8, "y" * 401)]
+    df = spark.createDataFrame([(d, t, 3, "k") for d, t in rows], "doc_id long, text string, n_bytes int, kept string")
+    got = sorted((r["n_bytes"], r["n_removed"], len(r["removed"]), bytes(r["kept"])) for r in suffix_dedup.dedup(df).collect())
+    assert got == sorted(brute_bytes([t for _, t in rows]))
+    assert suffix_dedup.dedup(df.limit(0)).count() == 0
