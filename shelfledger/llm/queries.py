@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfledger.llm import (histogram_sort, pattern_packing, quality_lines, rlz_dedup, suffix_dedup, trigram_secrets,
+from shelfledger.llm import (histogram_sort, pattern_packing, pii_boost, quality_lines, rlz_dedup, suffix_dedup, trigram_secrets,
                              vp_simhash)
 from shelfledger.llm.shared import read_documents, text_of
 
@@ -84,3 +84,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.dedup(read_documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("bigint").alias("n_spans"),
                         F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register("op5_pii_boost")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir).select("doc_id", "text")
+    found = pii_boost.find(docs, pii_boost.train(docs)).drop("text")
+    kinds = F.transform("base", lambda x: x["kind"])
+    counts = [F.size(F.array_compact(F.transform(kinds, _only(k)))).cast("bigint").alias(f"n_{k}") for k in pii_boost.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii_boost.spans_text(F.col("base")), 256).alias("base_sha256"),
+                        pii_boost.spans_text(F.col("spans")).alias("spans"))
