@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfledger.llm import (histogram_sort, pattern_packing, pii_boost, quality_lines, rlz_dedup, suffix_dedup, trigram_secrets,
+from shelfledger.llm import (hilbert_ann, histogram_sort, pattern_packing, pii_boost, quality_lines, rlz_dedup, suffix_dedup, trigram_secrets,
                              vp_simhash)
 from shelfledger.llm.shared import read_documents, text_of
 
@@ -94,3 +94,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.size(F.array_compact(F.transform(kinds, _only(k)))).cast("bigint").alias(f"n_{k}") for k in pii_boost.KINDS]
     return found.select("doc_id", *counts, F.sha2(pii_boost.spans_text(F.col("base")), 256).alias("base_sha256"),
                         pii_boost.spans_text(F.col("spans")).alias("spans"))
+
+
+@register("op10_hilbert_neighbours")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return hilbert_ann.search(rows, F.col("vec_id") % 100 == 0)
