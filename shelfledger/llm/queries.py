@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfledger.llm import (hilbert_ann, histogram_sort, pattern_packing, pii_boost, quality_lines, rlz_dedup, suffix_dedup, trigram_secrets,
-                             vp_simhash)
+from shelfledger.llm import (hilbert_ann, histogram_sort, pattern_packing, piece_lattice, pii_boost, quality_lines, rlz_dedup,
+                             suffix_dedup, trigram_secrets, vp_simhash)
 from shelfledger.llm.shared import read_documents, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,14 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return hilbert_ann.search(rows, F.col("vec_id") % 100 == 0)
+
+
+@register("op4_piece_lattice")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: number of pieces, a digest of the ids, and whether decoding gives the text back."""
+    import public_tokenizers
+
+    model = piece_lattice.Model(public_tokenizers.path("piece_bpe_32k.model"))
+    coded = piece_lattice.decode(piece_lattice.encode(read_documents(spark, sf_dir).select("doc_id", "text"), model), model)
+    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), F.crc32(F.array_join("ids", ",")).alias("ids_crc32"),
+                        (F.col("decoded") == text_of()).alias("round_trip"))
