@@ -19,10 +19,11 @@ def count_if(condition: Column) -> Column:
 
 def dashboard_kpis(history: DataFrame) -> DataFrame:
     """Headline numbers of every week."""
-    weeks = week_change(history, ["promo_text"]).groupBy("week_start").agg(
+    marked = history.withColumn("has_promo", F.col("promo_text") != "")
+    weeks = week_change(marked, ["has_promo"]).groupBy("week_start").agg(
         F.count(F.lit(1)).alias("products"), F.countDistinct("chain").alias("chains"),
         F.count("change").alias("comparable"), count_if(F.col("change") < 0).alias("drops"),
-        count_if(F.col("promo_text") != "").alias("with_promo"))
+        count_if(F.col("has_promo")).alias("with_promo"))
     captures = history.groupBy("week_start").agg(F.countDistinct("business_date").alias("observed_days"),
                                                  F.max("observed_at").alias("last_capture"))
     return weeks.join(captures, "week_start")
@@ -132,9 +133,9 @@ def content_fingerprint(df: DataFrame, columns: Sequence[str], keys: Sequence[st
     Row digests are summed in two lanes, so nothing is sorted or collected; the row count guards against lost pairs.
     """
     row = F.sha2(F.concat_ws("\u001f", *(F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in columns)), 256)
-    lane = lambda start: F.sum(F.conv(F.substring(row, start, 8), 16, 10).cast("bigint"))
+    lane = lambda start: F.sum(F.conv(F.substring(row, start, 8), 16, 10).cast("decimal(28,0)"))
     lanes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), lane(1).alias("_a"), lane(9).alias("_b"))
-    return lanes.select(*keys, F.concat_ws("-", "_n", F.hex("_a"), F.hex("_b")).alias("fingerprint"))
+    return lanes.select(*keys, F.concat_ws("-", "_n", F.col("_a").cast("string"), F.col("_b").cast("string")).alias("fingerprint"))
 
 
 # --- freshness and coverage ------------------------------------------------------------------------------------------
@@ -203,11 +204,14 @@ def coverage_audit(sources: DataFrame, catalog: DataFrame, prices: DataFrame, is
     return out
 
 
-def rule_conflicts(names: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
-    """Distinct names hit by none or several rules, with the rules they hit."""
+def rule_conflicts(names: DataFrame, rules: Sequence[tuple[str, str]], own: str | None = None) -> DataFrame:
+    """Distinct names hit by none or several rules, with the rules they hit; with ``own`` (the column that names each
+    row's rule) also names that hit one foreign rule."""
     from shelfledger.functions.product import rule_hits
     hits = rule_hits(F.col("name"), rules)
-    return names.select("name").distinct().withColumn("hits", hits).filter(F.size("hits") != 1)
+    judged = names.select("name", *([own] if own else [])).distinct().withColumn("hits", hits)
+    foreign = F.get("hits", F.lit(0)) != F.coalesce(F.col(own), F.lit("")) if own else F.lit(False)
+    return judged.filter((F.size("hits") != 1) | foreign)
 
 
 def rule_preview(catalog: DataFrame, history: DataFrame, rules: Sequence[tuple[str, str]], model: str,

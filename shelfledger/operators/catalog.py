@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfledger import fixed_values as V
 from shelfledger.functions import text as T
 from shelfledger.functions.product import locked_sku
 from shelfledger.operators.latest import first_per_key, latest_group, latest_per_key
@@ -16,7 +17,7 @@ from shelfledger.operators.skew import attach, with_group_facts
 SHARED_SKU = "Nhiều URL cùng SKU; cần làm rõ biến thể"
 
 
-def representatives(candidates: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+def representatives(candidates: DataFrame) -> DataFrame:
     """Mark ``chosen`` candidates of every (chain, group_key).
 
     All are kept for a tracked model, a lone member, a missing price or several prices; otherwise one: in stock first,
@@ -24,7 +25,7 @@ def representatives(candidates: DataFrame, hot: DataFrame | None = None) -> Data
     """
     in_stock = ((F.coalesce("stock", F.lit(1)) > 0) & ~F.lower(F.coalesce("listing_status", F.lit(""))).contains("hết"))
     rank = F.struct((~in_stock).alias("out"), F.coalesce("variant_id", "source_url").alias("variant"), F.col("seq"))
-    rows = with_group_facts(candidates, ["chain", "group_key"], "seq", hot, _size=F.count(F.lit(1)),
+    rows = with_group_facts(candidates, ["chain", "group_key"], _size=F.count(F.lit(1)),
                             _priced=F.count("listing_price"), _low=F.min("listing_price"), _high=F.max("listing_price"),
                             _tracked=F.max("tracked"), _pick=F.min(rank))
     keep_all = (F.col("_tracked") | (F.col("_size") == 1) | (F.col("_priced") < F.col("_size"))
@@ -44,14 +45,14 @@ def reject_shared_skus(rows: DataFrame) -> DataFrame:
     """Ready rows that share (chain, sku): one link keeps its first row with all listing pages; several links all go
     to review, because choosing one could mix up colors or conditions."""
     ready, rest = rows.filter("status = 'ready'"), rows.filter("status <> 'ready'")
-    marked = with_group_facts(ready, ["chain", "sku"], "seq", _low=F.min("source_url"), _high=F.max("source_url"),
+    marked = with_group_facts(ready, ["chain", "sku"], _low=F.min("source_url"), _high=F.max("source_url"),
                               _first=F.min("seq"))
     clash = F.col("_low") != F.col("_high")
     kept = marked.filter(clash | (F.col("seq") == F.col("_first")))
     pages = listing_pages(ready, ["chain", "sku", "source_url"])
     merged = (kept.withColumn("_clash", clash).drop("_low", "_high", "_first")
               .withColumnRenamed("listing_urls", "_own"))
-    merged = attach(merged, pages, ["chain", "sku", "source_url"], "seq")
+    merged = attach(merged, pages, ["chain", "sku", "source_url"])
     return (merged.withColumn("listing_urls", F.when(F.col("_clash"), F.col("_own")).otherwise(F.col("listing_urls")))
             .withColumn("status", F.when(F.col("_clash"), "review").otherwise(F.col("status")))
             .withColumn("reason", F.when(F.col("_clash"), SHARED_SKU).otherwise(F.col("reason")))
@@ -91,7 +92,7 @@ def enrich(observations: DataFrame, by_link: DataFrame, columns: Sequence[str])
     """Catalog attributes by link; what the observation itself says wins."""
     facts = first_per_key(by_link, ["source_url"], [F.col("seq").desc()]).select(
         "source_url", *(F.col(c).alias(f"_{c}") for c in columns))
-    joined = attach(observations, facts, ["source_url"], "seq")
+    joined = attach(observations, facts, ["source_url"])
     return joined.withColumns({c: F.coalesce(c, f"_{c}") if c in observations.columns else F.col(f"_{c}")
                                for c in columns}).drop(*(f"_{c}" for c in columns))
 
@@ -101,7 +102,7 @@ def enrich_by_sku_then_link(links: DataFrame, prices: DataFrame, columns: Sequen
     by_sku = latest_per_key(prices, ["sku"]).select("sku", F.lit(True).alias("_by_sku"),
                                                     *(F.col(c).alias(f"_s_{c}") for c in columns))
     by_link = latest_per_key(prices, ["source_url"]).select("source_url", *(F.col(c).alias(f"_l_{c}") for c in columns))
-    joined = attach(attach(links, by_sku, ["sku"], "seq"), by_link, ["source_url"], "seq")
+    joined = attach(attach(links, by_sku, ["sku"]), by_link, ["source_url"])
     return joined.withColumns({f"observed_{c}": F.when(F.col("_by_sku"), F.col(f"_s_{c}")).otherwise(F.col(f"_l_{c}"))
                                for c in columns}).drop("_by_sku", *(f"_{p}_{c}" for p in "sl" for c in columns))
 
@@ -123,12 +124,12 @@ def recheck_review(review: DataFrame, quotes: DataFrame, priced: DataFrame,
     The first broken rule is the reason.
     """
     coded = review.withColumn("_code", F.coalesce(F.col("variant_id"), F.concat(F.lit("\u0001"), F.col("seq"))))
-    rows = with_group_facts(coded, ["chain", "_code"], "seq", _copies=F.count(F.lit(1)))
-    rows = attach(rows, quotes, ["source_url"], "seq")
+    rows = with_group_facts(coded, ["chain", "_code"], _copies=F.count(F.lit(1)))
+    rows = attach(rows, quotes, ["source_url"])
     quoted = F.coalesce("quoted_variant", F.lit(""))
     rows = rows.withColumn("_sku", locked_sku(F.col("chain"), F.coalesce("quoted_sku_key", quoted)))
     taken = priced.select("chain", F.col("sku").alias("_sku"), F.lit(True).alias("_taken")).distinct()
-    rows = attach(rows, taken, ["chain", "_sku"], "seq")
+    rows = attach(rows, taken, ["chain", "_sku"])
     # two review links may also answer with one SKU: the first in order gets it
     answered = (F.col("quoted_variant").isNotNull() & F.col("error").isNull())
     price = F.col("quoted_price")
@@ -142,10 +143,11 @@ def recheck_review(review: DataFrame, quotes: DataFrame, priced: DataFrame,
               .when(~missing(F.col("sku")) & (F.col("sku") != F.col("_sku")), "other_sku")
               .when(F.coalesce("_taken", F.lit(False)), "already_priced")
               .when(price.isNull() & ~T.has_status(F.col("quoted_text")), "no_price")
+              .when(~price.between(V.MIN_VND, V.MAX_VND), "price_range")
               .when(price.isNotNull() & (F.col("quoted_list") < price), "list_below_price"))
     judged = rows.withColumn("issue", reason).drop("_copies", "_taken", "_code")
     winners = judged.filter("issue IS NULL").groupBy("chain", "_sku").agg(F.min("seq").alias("_first"))
-    judged = attach(judged, winners, ["chain", "_sku"], "seq")
+    judged = attach(judged, winners, ["chain", "_sku"])
     judged = judged.withColumn("issue", F.when(F.col("issue").isNull() & (F.col("seq") != F.col("_first")),
                                                "already_priced").otherwise(F.col("issue")))
     listed = F.when(price.isNotNull(), F.col("quoted_list"))
@@ -188,7 +190,7 @@ def discovery_config(candidates: DataFrame, quotes: DataFrame) -> DataFrame:
 
     ``quotes`` has one answer per link: quoted_name, quoted_variant, quoted_sku_key, quoted_color, error.
     """
-    rows = attach(candidates, quotes, ["source_url"], "seq")
+    rows = attach(candidates, quotes, ["source_url"])
     ok = F.col("quoted_variant").isNotNull() & F.col("error").isNull()
     sku = locked_sku(F.col("chain"), F.coalesce("quoted_sku_key", "quoted_variant"))
     ok = ok & sku.isNotNull()
@@ -207,7 +209,7 @@ def discovery_config(candidates: DataFrame, quotes: DataFrame) -> DataFrame:
 
 def quote_rows(items: DataFrame, quotes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(price rows, issues): the computed SKU must equal the locked one and a missing price needs a status."""
-    rows = attach(items, quotes, ["source_url"], "seq")
+    rows = attach(items, quotes, ["source_url"])
     price = F.col("quoted_price")
     reason = (F.when(F.col("error").isNotNull(), F.col("error"))
               .when(~F.coalesce(locked_sku(F.col("chain"), F.coalesce("quoted_sku_key", "quoted_variant"))

@@ -33,16 +33,13 @@ def agent_rules(rules: DataFrame, agent: str) -> DataFrame:
     return best.select("host", "_g.rules", "_g.crawl_delay")
 
 
-def crawl_policy(pages: DataFrame, rules: DataFrame, agent: str, hot: DataFrame | None = None) -> DataFrame:
-    """Pages with ``allowed`` and ``crawl_delay``: the longest matching rule wins, allow wins ties, default allow.
-
-    ``hot`` salts hosts that hold many pages.
-    """
+def crawl_policy(pages: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
+    """Pages with ``allowed`` and ``crawl_delay``: the longest matching rule wins, allow wins ties, default allow."""
     path = F.when(L.path(F.col("url")) == "", "/").otherwise(L.path(F.col("url")))
     query = L.query(F.col("url"))
     rows = pages.withColumn("host", L.host(F.col("url"))).withColumn(
         "_target", F.when(query != "", F.concat(path, F.lit("?"), query)).otherwise(path))
-    joined = attach(rows, agent_rules(rules, agent), ["host"], "url", hot=hot)
+    joined = attach(rows, agent_rules(rules, agent), ["host"])
     hits = F.filter("rules", lambda r: F.rlike(F.col("_target"), r["regex"]))
     best = F.array_max(F.transform(hits, lambda r: F.struct(r["size"], r["allow"])))
     return joined.withColumn("allowed", F.coalesce(best["allow"], F.lit(True))).drop("_target", "rules")

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfledger.functions import calendar as cal
 from shelfledger.operators.latest import first_per_key, latest_per_key
@@ -15,8 +16,9 @@ FULL_SERIES = ["chain", "sku", "model", "storage", "display_variant", "color"]
 
 
 def newest_order() -> Column:
-    """Aggregation order of "latest, first seen on ties"."""
-    return F.struct(F.col("observed_at"), (-F.col("seq")).alias("seen"))
+    """Aggregation order of "latest, first seen on ties" as one number, so that buffers stay fixed-width and are hashed."""
+    instant = F.coalesce(F.unix_micros(F.col("observed_at").cast("timestamp")), F.lit(-(10 ** 17))).cast("decimal(18,0)")
+    return instant * F.expr("10000000000000000000BD") - F.col("seq").cast("decimal(19,0)")
 
 
 def date_range(df: DataFrame, start: str, days: int = 7, day: str = "business_date") -> DataFrame:
@@ -43,12 +45,22 @@ def last_per_day(df: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
 def week_cells(df: DataFrame, cell: Sequence[str]) -> DataFrame:
     """One row per (week, chain, sku) with ``days``: seven structs, NULL where nothing was observed.
 
-    One aggregation with map-side combine gives the last record of each day; a second pass per day is not needed.
+    Fixed-width cells take one hash aggregation with map-side combine.  Wide ones (texts) are first reduced to the last
+    record of each day, ranked and limited before the shuffle; at most seven of them meet in a list.
     """
     weekday = F.weekday("business_date")
-    picks = [F.max_by(F.struct(*cell), F.when(weekday == i, newest_order())).alias(f"d{i}") for i in range(7)]
-    grid = df.groupBy("week_start", *SERIES).agg(*picks)
-    return grid.select("week_start", *SERIES, F.array(*(f"d{i}" for i in range(7))).alias("days"))
+    if all(isinstance(df.schema[c].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)) for c in cell):
+        picks = []
+        for i in range(7):
+            order = F.when(weekday == i, newest_order())
+            picks += [F.max(order).alias(f"seen{i}"), *(F.max_by(c, order).alias(f"{c}{i}") for c in cell)]
+        grid = df.groupBy("week_start", *SERIES).agg(*picks)
+        days = [F.when(F.col(f"seen{i}").isNotNull(), F.struct(*(F.col(f"{c}{i}").alias(c) for c in cell))) for i in range(7)]
+        return grid.select("week_start", *SERIES, F.array(*days).alias("days"))
+    last = last_per_day(df).withColumn("_cell", F.struct(*cell))
+    grid = last.groupBy("week_start", *SERIES).agg(F.collect_list(F.struct(weekday.alias("w"), "_cell")).alias("_seen"))
+    days = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: F.get(F.filter("_seen", lambda d: d["w"] == i), F.lit(0))["_cell"])
+    return grid.select("week_start", *SERIES, days.alias("days"))
 
 
 def day_grid(df: DataFrame) -> DataFrame:

@@ -63,8 +63,7 @@ def _previous_period(df: DataFrame, keys: Sequence[str], period: str, days: int)
 def day_movements(history: DataFrame, keys: Sequence[str] = FULL_SERIES) -> DataFrame:
     """Changes against exactly the previous business day; gaps, missing prices and other colors give nothing."""
     daily = (history.groupBy(*keys, "business_date")
-             .agg(F.max_by(F.struct("promo_price"), newest_order()).alias("_last"))
-             .select(*keys, "business_date", F.col("_last.promo_price").alias("promo_price")))
+             .agg(F.max_by("promo_price", newest_order()).alias("promo_price")))
     return movement_columns(_previous_period(daily, keys, "business_date", 1)
                             .withColumnRenamed("promo_price", "after_price"))
 
@@ -72,8 +71,7 @@ def day_movements(history: DataFrame, keys: Sequence[str] = FULL_SERIES) -> Data
 def week_movements(history: DataFrame, keys: Sequence[str] = FULL_SERIES) -> DataFrame:
     """Last actual record of the previous week against that of this week; a status-only record is the last record."""
     weekly = (history.groupBy(*keys, "week_start")
-              .agg(F.max_by(F.struct("promo_price"), newest_order()).alias("_last"))
-              .select(*keys, "week_start", F.col("_last.promo_price").alias("promo_price")))
+              .agg(F.max_by("promo_price", newest_order()).alias("promo_price")))
     return movement_columns(_previous_period(weekly, keys, "week_start", 7)
                             .withColumnRenamed("promo_price", "after_price"))
 

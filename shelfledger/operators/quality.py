@@ -13,7 +13,6 @@ from shelfledger.functions import links as L
 from shelfledger.functions import product as P
 from shelfledger.functions import text as T
 from shelfledger.operators.audit import count_if
-from shelfledger.operators.skew import hand_kept
 
 
 class GateFailed(ValueError):
@@ -127,9 +126,9 @@ def color_match(color: Column, wanted: Column) -> Column:
 def verified_variant(df: DataFrame, tracked: DataFrame) -> DataFrame:
     """Rows whose evidence proves model, color and product code of a tracked model.
 
-    ``tracked`` has one row per model and is user-kept (at most ``MAX_RULES`` rows), which bounds the broadcast.
+    ``tracked`` has one row per model; whether it is broadcast is left to Spark's size check.
     """
-    rules = hand_kept(tracked).select(F.col("model"), F.col("color").alias("wanted_color"))
+    rules = tracked.select(F.col("model"), F.col("color").alias("wanted_color"))
     proof = F.col("color_evidence")
     color_ok = F.col("wanted_color").isNull() | (
         proof["website_color_id"].isNotNull() & color_match(proof["canonical_color"], F.col("wanted_color")))
@@ -137,10 +136,15 @@ def verified_variant(df: DataFrame, tracked: DataFrame) -> DataFrame:
         F.col("promo_price") > 0)
     proven = ((proof["model"] == F.col("model")) & (proof["product_code"] == F.col("variant_id"))
               & ~missing(proof["verified_at"]))
-    return (df.join(F.broadcast(rules), "model").filter(~missing(F.col("sku")) & proven & color_ok & price_ok)
+    return (df.join(rules, "model").filter(~missing(F.col("sku")) & proven & color_ok & price_ok)
             .drop("wanted_color"))
 
 
+def list_gate(df: DataFrame, most: int = V.MAX_RULES) -> DataFrame:
+    """One row: the length of a hand-kept list and whether it is longer than agreed.  Jobs use the whole list either way."""
+    return df.agg(F.count(F.lit(1)).alias("entries")).withColumn("too_many", F.col("entries") > most)
+
+
 def brand_scope(df: DataFrame, brands: Sequence[str] = tuple(V.BRAND_SCOPE)) -> DataFrame:
     """Rows of the allowed brands; an empty list allows all."""
     allowed = [b.strip().lower() for b in brands if b.strip()]

@@ -1,10 +1,7 @@
 """Attach per-key facts to rows when one key may hold a third of them.
 
-Facts are always aggregated map-side first and are unique per key.  The row side is then split in one of two ways:
-
-* by default the adaptive skew join splits a hot partition by map output and repeats only that key's single fact row;
-* with ``hot`` (from :func:`hot_keys`) rows of those keys are salted explicitly, which also works where the adaptive
-  planner must keep the output partitioning.
+Facts are aggregated map-side first and are unique per key.  The join is left to Spark: a small side is broadcast after its size
+check, and the adaptive skew join splits a hot partition by map output, repeating only that key's single fact row.
 """
 
 from __future__ import annotations
@@ -12,48 +9,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from shelfledger import fixed_values as V
-
-HOT_SHARE = 1000  # a key is hot when it holds at least 1/1000 of all rows, so there are at most 1000 hot keys
-SALTS = 64
-
-
-def hand_kept(df: DataFrame, most: int = V.MAX_RULES) -> DataFrame:
-    """A small hand-kept table, checked: more than ``most`` rows is an error, never a cut.  Safe to broadcast."""
-    if df.limit(most + 1).count() > most:
-        raise ValueError(f"a hand-kept table has at most {most} rows")
-    return df
-
-
-def hot_keys(rows: DataFrame, keys: Sequence[str], share: int = HOT_SHARE) -> DataFrame:
-    """Keys that hold at least ``1/share`` of all rows, as a local table of at most ``share`` rows.
-
-    One counting pass with map-side combine.  The result is bounded by its definition, so taking it to the driver and
-    broadcasting it later is safe at any data size.
-    """
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = sizes.agg(F.sum("_n")).scalar()
-    found = sizes.filter((F.col("_n") > SALTS) & (F.col("_n") * share >= total)).select(*keys)
-    return rows.sparkSession.createDataFrame(found.collect(), found.schema).withColumn("_hot", F.lit(True))
 
 
-def attach(rows: DataFrame, facts: DataFrame, keys: Sequence[str], spread: str, how: str = "left",
-           hot: DataFrame | None = None) -> DataFrame:
-    """Join ``facts`` (one row per key) to ``rows``; ``spread`` is a row column that varies within a key."""
-    if hot is None:
-        return rows.join(facts, list(keys), how)
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(0).cast("bigint")
-    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    salted_rows = rows.join(F.broadcast(hot), list(keys), "left").withColumn("_salt", salt).drop("_hot")
-    salted_facts = (facts.join(F.broadcast(hot), list(keys), "left")
-                    .withColumn("_salt", F.explode(salts.cast("array<bigint>"))).drop("_hot"))
-    return salted_rows.join(salted_facts, [*keys, "_salt"], how).drop("_salt")
+def attach(rows: DataFrame, facts: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join ``facts`` (one row per key) to ``rows``."""
+    return rows.join(facts, list(keys), how)
 
 
-def with_group_facts(rows: DataFrame, keys: Sequence[str], spread: str, hot: DataFrame | None = None,
-                     **facts: Column) -> DataFrame:
+def with_group_facts(rows: DataFrame, keys: Sequence[str], **facts: Column) -> DataFrame:
     """``facts`` aggregated per key and attached to every row of the key.  Keys must not be NULL."""
     grouped = rows.groupBy(*keys).agg(*(c.alias(n) for n, c in facts.items()))
-    return attach(rows, grouped, keys, spread, "inner", hot)
+    return attach(rows, grouped, keys, "inner")

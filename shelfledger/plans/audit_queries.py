@@ -177,8 +177,8 @@ def _(spark, sf):
 
 
 @query("agg15_snapshot_fingerprint", """WITH r AS (SELECT chain, sha256(run_id || chr(31) || strftime(completed_at, '%Y-%m-%d %H:%M:%S'))
- AS h FROM runs) SELECT chain, count(*) || '-' || upper(ltrim(format('{:x}', CAST(sum(('0x' || substr(h, 1, 8))::BIGINT) AS BIGINT)), '0'))
- || '-' || upper(format('{:x}', CAST(sum(('0x' || substr(h, 9, 8))::BIGINT) AS BIGINT))) AS fingerprint FROM r GROUP BY chain""", "runs")
+ AS h FROM runs) SELECT chain, count(*) || '-' || CAST(sum(('0x' || substr(h, 1, 8))::BIGINT) AS HUGEINT)::VARCHAR
+ || '-' || CAST(sum(('0x' || substr(h, 9, 8))::BIGINT) AS HUGEINT)::VARCHAR AS fingerprint FROM r GROUP BY chain""", "runs")
 def _(spark, sf):
     rows = run_headers(spark, sf).withColumn("completed_at", F.date_format("completed_at", "yyyy-MM-dd HH:mm:ss"))
     return A.content_fingerprint(rows, ["run_id", "completed_at"], ["chain"])
@@ -187,8 +187,8 @@ def _(spark, sf):
 @query("jon11_rule_conflicts", """SELECT DISTINCT product_name AS name, CASE WHEN i = 38 THEN 'iPhone 17|iPhone 16' ELSE '' END AS hits
 FROM cat WHERE i >= 36 OR model = 'AirPods Max'""", "cat")
 def _(spark, sf):
-    names = catalog(spark, sf).select(F.col("product_name").alias("name"))
-    return A.rule_conflicts(names, V.MODEL_RULES).select("name", F.array_join("hits", "|").alias("hits"))
+    names = catalog(spark, sf).select(F.col("product_name").alias("name"), "model")
+    return A.rule_conflicts(names, V.MODEL_RULES, "model").select("name", F.array_join("hits", "|").alias("hits"))
 
 
 @query("jon12_variant_select", f"""WITH {TRACKED}, p AS (SELECT DISTINCT model, color, variant_id AS code FROM cat WHERE chain = 'TGDD'),

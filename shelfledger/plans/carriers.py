@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfledger import fixed_values as V
-from shelfledger.operators.parallel import spread
 
 EVENT_CHAIN = {"click": "TGDD", "view": "CellphoneS", "purchase": "FPT Shop", "signup": "Viettel Store",
                "error": "Phong Vũ"}
@@ -68,8 +67,8 @@ def by_chain_sql(field: str, chain: str = "chain") -> str:
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A shared table.  The small test files have one split each; they are spread over the cores, a large table is not."""
-    return spread(spark.read.parquet(f"{sf}/{name}.parquet"))
+    """A shared table."""
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 # --- observations ----------------------------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from shelfledger import fixed_values as V
 from shelfledger.functions.product import locked_sku
 from shelfledger.operators import catalog as K
-from shelfledger.operators.skew import attach, hot_keys
+from shelfledger.operators.skew import attach
 from shelfledger.plans.carriers import catalog, run_headers, run_rows
 from shelfledger.plans.registry import query
 from shelfledger.sources import runs as R
@@ -119,7 +119,7 @@ def _(spark, sf):
         "seq", "chain", "concat(c % 97, '/', priority) AS group_key", "priority = '1-URGENT' AS tracked", "variant_id",
         "source_url", "stock", "CASE WHEN c % 3 = 0 THEN listing_price ELSE 1000 END AS listing_price",
         "CASE WHEN seq % 19 = 0 THEN 'Tạm HẾT' ELSE '' END AS listing_status")
-    return K.representatives(rows, hot_keys(rows, ["chain", "group_key"])).select("seq", "chosen")
+    return K.representatives(rows).select("seq", "chosen")
 
 
 def listed(spark, sf):
@@ -200,7 +200,7 @@ RECHECK = """WITH base AS (SELECT min(seq) AS seq, chain, c, source_url, key FRO
  j AS (SELECT r.*, CASE WHEN why <> '' OR (coalesce(n, 1) > 1 AND r.chain <> 'Viettel Store') THEN 'shared_code'
   WHEN r.vid IS NULL AND r.chain NOT IN ('Viettel Store', 'TGDD') THEN 'no_code' WHEN err IS NOT NULL THEN err
   WHEN r.vid <> q THEN 'other_code' WHEN t.key IS NOT NULL THEN 'already_priced'
-  WHEN NOT has_price AND NOT has_status THEN 'no_price' WHEN has_price AND low THEN 'list_below_price' END AS issue
+  WHEN NOT has_price AND NOT has_status THEN 'no_price' WHEN has_price AND c % 43 = 0 THEN 'price_range' WHEN has_price AND low THEN 'list_below_price' END AS issue
   FROM r LEFT JOIN n ON n.chain = r.chain AND n.vid = r.vid LEFT JOIN t ON t.chain = r.chain AND '' || t.key = q)
 SELECT seq, CASE WHEN issue IS NULL AND row_number() OVER (PARTITION BY chain, q, issue IS NULL ORDER BY seq) > 1
  THEN 'already_priced' ELSE coalesce(issue, '') END AS issue FROM j"""
@@ -214,7 +214,7 @@ def _(spark, sf):
                              "AS variant_id", "CASE WHEN c % 41 = 0 THEN 'Nhiều URL cùng SKU' ELSE '' END AS reason")
     quotes = base.selectExpr(
         "source_url", "CASE WHEN c % 13 = 0 THEN 'x' || key ELSE cast(key AS string) END AS quoted_variant",
-        "cast(NULL AS string) AS quoted_sku_key", "CASE WHEN c % 29 <> 0 THEN 20000000 END AS quoted_price",
+        "cast(NULL AS string) AS quoted_sku_key", "CASE WHEN c % 29 = 0 THEN NULL WHEN c % 43 = 0 THEN 900 ELSE 20000000 END AS quoted_price",
         "CASE WHEN c % 31 = 0 THEN 19000000 END AS quoted_list",
         f"CASE WHEN c % 58 = 0 THEN '{V.STATUS_PREFIX}Hết hàng' ELSE '' END AS quoted_text",
         "CASE WHEN c % 17 = 0 THEN 'HTTP 502' END AS error")
@@ -319,7 +319,7 @@ def _(spark, sf):
     codes = cards.groupBy("chain", "listing").agg(F.count_distinct("code").alias("n"))
     totals = codes.selectExpr("chain", "listing", """CASE chain WHEN 'TGDD' THEN n * 5 div 4 WHEN 'CellphoneS' THEN n * 2
         WHEN 'Phong Vũ' THEN 3000000 ELSE n END AS total""")
-    paged = attach(cards, totals, ["chain", "listing"], "code")
+    paged = attach(cards, totals, ["chain", "listing"])
     return K.listing_complete(paged, V.LISTING_SHARE, 1_000_000)
 
 

@@ -9,7 +9,6 @@ from shelfledger.functions import links as L
 from shelfledger.functions import product as P
 from shelfledger.functions import text as T
 from shelfledger.operators import crawl, tracking
-from shelfledger.operators.skew import hot_keys
 from shelfledger.plans.carriers import catalog, observations, table
 from shelfledger.plans.matrix_queries import tracked
 from shelfledger.plans.registry import query
@@ -201,8 +200,9 @@ def _(spark, sf):
  d AS (SELECT model_key, chain, n, min(seq) AS seq FROM g GROUP BY ALL),
  k AS (SELECT model_key, count(*) AS links FROM d GROUP BY ALL),
  cc AS (SELECT model_key, color, min(seq) AS seq FROM g GROUP BY ALL),
- h AS (SELECT model_key, arg_min(color, seq) AS color, min(seq) AS position, count(DISTINCT color) - 1 AS aliases FROM g GROUP BY ALL)
-SELECT h.model_key, h.color, h.position, h.aliases, CASE WHEN links > 20 THEN 0 ELSE links END AS links,
+ cc2 AS (SELECT model_key, color, seq AS cs FROM cc),
+ h AS (SELECT model_key, arg_min(color, cs) AS color, min(cs) AS position, array_to_string(list(color ORDER BY cs)[2:], '|') AS aliases FROM cc2 GROUP BY ALL)
+SELECT h.model_key, h.color, h.position, h.aliases, links,
  CASE WHEN links > 20 THEN 'too_many_links' END AS error, CAST(NULL AS BIGINT) AS seq FROM h JOIN k USING (model_key)
 UNION ALL SELECT model_key, NULL, NULL, NULL, NULL, CASE WHEN seq % 33 = 0 THEN 'incomplete' ELSE 'variant' END, seq FROM r
 WHERE seq % 33 = 0 OR chain = 'FPT Shop'""", "cat")
@@ -214,7 +214,7 @@ def _(spark, sf):
     products, errors = tracking.tracked_products(rows)
     crowded = errors.filter("error = 'too_many_links'").select("model_key", "error")
     links = F.coalesce(F.aggregate(F.map_values("urls"), F.lit(0), lambda a, u: a + F.size(u)), F.lit(0))
-    good = products.select("model_key", "color", "position", F.size("aliases").cast("bigint").alias("aliases"),
+    good = products.select("model_key", "color", "position", F.array_join("aliases", "|").alias("aliases"),
                            links.cast("bigint").alias("links")).join(crowded, "model_key", "left").withColumn(
         "seq", F.lit(None).cast("bigint"))
     bad = errors.filter("error <> 'too_many_links'").selectExpr(
@@ -251,5 +251,4 @@ def _(spark, sf):
         named_struct('agent', '*', 'pattern', '/*.html$', 'allow', startswith(host, 'www.'), 'delay', NULL),
         named_struct('agent', if(startswith(host, 'blog.'), 'PriceBot', 'otherbot'), 'pattern', '/fr/', 'allow', false,
          'delay', 9D)))""")
-    hot = hot_keys(pages.select(L.host(F.col("url")).alias("host")), ["host"])
-    return crawl.crawl_policy(pages, rules, "shop-pricebot/1.0", hot).select("page_id", "allowed", "crawl_delay")
+    return crawl.crawl_policy(pages, rules, "shop-pricebot/1.0").select("page_id", "allowed", "crawl_delay")

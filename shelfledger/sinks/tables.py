@@ -1,8 +1,8 @@
 """Writing runs, history, issues, snapshots and exports.
 
 A run is written rows first and header last; readers join through the header, so a half-written run stays invisible.
-Every write is either an append keyed by run or a dynamic overwrite of whole partitions, so a lost executor or a retried
-task leaves nothing behind.
+Every write is a dynamic overwrite of whole partitions, and what belongs to a run lies in partitions of that run, so a
+retried run replaces what its first try left and a run that is committed already is not written again.
 """
 
 from __future__ import annotations
@@ -47,8 +47,24 @@ def history_rows(rows: DataFrame, headers: DataFrame) -> DataFrame:
     return out.withColumn("business_date", day).withColumn("week_start", cal.monday(F.col("business_date")))
 
 
+def write_parts(rows: DataFrame, path: str, *parts: str) -> None:
+    """Replace exactly the partitions that ``rows`` has."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+
+
 def append_history(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").partitionBy("week_start", "chain").parquet(path)
+    """Add a run's rows (with ``run_id``); written again, the run replaces itself."""
+    write_parts(rows.withColumn("run", F.col("run_id")), path, "week_start", "chain", "run")
+
+
+def committed(spark: SparkSession, run_id: str, path: str) -> bool:
+    """Whether the header table at ``path`` knows the run."""
+    try:
+        return not spark.read.parquet(path).filter(F.col("run_id") == run_id).isEmpty()
+    except Exception as problem:  # before the first run there is no table
+        if "PATH_NOT_FOUND" not in str(problem):
+            raise
+        return False
 
 
 def issue_rows(issues: DataFrame) -> DataFrame:
@@ -56,7 +72,9 @@ def issue_rows(issues: DataFrame) -> DataFrame:
 
 
 def commit_run(spark: SparkSession, rows: DataFrame, issues: DataFrame, header: dict, paths: dict[str, str]) -> None:
-    """Check a chain's run, then write weekly rows, history, issues and, last, the header."""
+    """Check a chain's run, then write weekly rows, history, issues and, last, the header; a known run is left as it is."""
+    if committed(spark, header["run_id"], paths["runs"]):
+        return
     enforce(run_gate(rows, issues, header["chain"], header["year"], header["week"], header["expected_count"]))
     enforce(duplicates(rows, SERIES).agg(F.count(F.lit(1)).alias("shared_sku")))
     stamp = lambda df: df.withColumns({"run_id": F.lit(header["run_id"]), "captured_at": F.lit(header["completed_at"])
@@ -72,10 +90,10 @@ def commit_run(spark: SparkSession, rows: DataFrame, issues: DataFrame, header:
         existing = weekly.limit(0)
     write_weekly(existing, weekly, paths["weekly"])
     append_history(dated(stamp(rows)), paths["history"])
-    dated(stamp(issue_rows(issues))).write.mode("append").partitionBy("week_start", "chain").parquet(paths["issues"])
+    append_history(dated(stamp(issue_rows(issues))), paths["issues"])
     counts = rows.agg(F.count(F.lit(1)).alias("product_count"))
     head = counts.select("product_count", *(F.lit(v).alias(k) for k, v in header.items()))
-    head.write.mode("append").parquet(paths["runs"])
+    write_parts(head.withColumn("run", F.col("run_id")), paths["runs"], "run")
 
 
 def catalog_publish_gate(rows: DataFrame, keys: Sequence[str] = ("chain",)) -> DataFrame:
@@ -89,13 +107,13 @@ def catalog_publish_gate(rows: DataFrame, keys: Sequence[str] = ("chain",)) -> D
 
 
 def publish_catalog(rows: DataFrame, path: str) -> None:
-    """Append a run's catalog; ``run_id`` partitions are written once and never changed."""
+    """Write a run's catalog into its ``run_id`` partition; a repeated write replaces it with the same rows."""
     gate = catalog_publish_gate(rows).agg(
         F.count(F.lit(1)).alias("chains"), count_if(F.col("ready_count") == 0).alias("no_ready"),
         F.sum("bad_status").alias("bad_status"), F.sum("repeated_links").alias("repeated"),
         F.sum("insecure_links").alias("insecure"))
     enforce(gate.withColumn("not_one_chain", (F.col("chains") != 1).cast("bigint")), ["chains"])
-    rows.write.mode("append").partitionBy("run_id").parquet(path)
+    write_parts(rows, path, "run_id")
 
 
 def replace_days(existing: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -106,8 +124,7 @@ def replace_days(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def publish_snapshot(rows: DataFrame, path: str) -> None:
     """Replace exactly the (day, chain) partitions of ``rows``.  Rows are stored flat, never as one nested payload."""
-    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("business_date", "chain").parquet(path))
+    write_parts(rows, path, "business_date", "chain")
 
 
 def import_gate(rows: DataFrame, history: DataFrame, now: Column) -> DataFrame:

@@ -99,7 +99,11 @@ def quotes_cps(payloads: DataFrame) -> DataFrame:
 
 # --- FPT Shop --------------------------------------------------------------------------------------------------------
 
-FPT = """productStatus struct<statusOnWeb: string, statusText: string, statusName: string, buttonCode: string>,
+# Status fields of a payload, the first with a known status counts.
+STATUS_FIELDS = ("statusOnWeb", "statusText", "statusName", "stockStatusName", "sellingStatusName")
+STATUS_SCHEMA = ", ".join(f"{f}: string" for f in STATUS_FIELDS)
+
+FPT = f"""productStatus struct<{STATUS_SCHEMA}, buttonCode: string>,
  variants struct<sku: string, variantResult: struct<skus: array<struct<code: string, name: string, displayName: string,
   price: bigint, inventory: int>>>, skuSlugs: array<struct<sku: string, attributes: array<struct<key:
   struct<propertyName: string, displayValue: string>>>>>>,
@@ -131,7 +135,7 @@ def quotes_fpt(payloads: DataFrame) -> DataFrame:
     colors = T.ordered_distinct(F.transform(F.filter(keys, lambda k: F.lower(k["propertyName"]) == "color"),
                                             lambda k: F.trim(k["displayValue"])))
     color = F.when(F.size(colors) == 1, F.get(colors, F.lit(0))).otherwise("")
-    explicit = T.explicit_status(state["statusOnWeb"], state["statusText"], state["statusName"])
+    explicit = T.explicit_status(*(state[f] for f in STATUS_FIELDS))
     blocked = state["buttonCode"].isNotNull() & ~state["buttonCode"].isin("ORDER", "BUY_NOW")
     implied = F.when(state["buttonCode"] == "PRE_ORDER", "đặt trước, cần xác minh ngày giao hàng.").when(
         F.coalesce(blocked, F.lit(False)) | F.coalesce(one["inventory"] <= 0, F.lit(False)),
@@ -163,7 +167,7 @@ def quotes_fpt(payloads: DataFrame) -> DataFrame:
 
 # --- Phong Vũ --------------------------------------------------------------------------------------------------------
 
-PV = """product struct<productInfo: struct<sku: string, name: string>, status: struct<sellable: boolean, statusText: string>,
+PV = f"""product struct<productInfo: struct<sku: string, name: string>, status: struct<sellable: boolean, {STATUS_SCHEMA}>,
   prices: array<struct<latestPrice: bigint, supplierRetailPrice: bigint>>,
   productOptions: struct<rows: array<struct<code: string, title: string, options: array<struct<label: string, sku: string,
    selected: boolean>>>>>, productDetail: struct<attributeGroups: array<struct<name: string, value: string>>>>,
@@ -176,7 +180,7 @@ def quotes_pv(payloads: DataFrame) -> DataFrame:
     product = F.col("_p.product")
     info, price = product["productInfo"], F.get(product["prices"], F.lit(0))
     has_price = F.coalesce(F.size(product["prices"]) > 0, F.lit(False))
-    status = F.coalesce(T.explicit_status(product["status"]["statusText"]),
+    status = F.coalesce(T.explicit_status(*(product["status"][f] for f in STATUS_FIELDS)),
                         F.when(~product["status"]["sellable"], "SKU chưa cho đặt mua tại khu vực mặc định."))
     rows = rows.withColumns({
         "_sale": money(price["latestPrice"]), "_listed": money(price["supplierRetailPrice"]),
@@ -205,7 +209,7 @@ def quotes_pv(payloads: DataFrame) -> DataFrame:
 
 MW_PROMOTIONS = """giftPromotions: array<struct<title: string, lstGift: array<struct<displayName: string, name: string>>>>,
   discountPromotions: array<struct<content: string, title: string>>, normalPromotions: array<struct<content: string, title: string>>"""
-MW = f"""name string, productCode string, hiddenPrice boolean, crmPreorderCode string, statusOnWeb string, statusText string,
+MW = f"""name string, productCode string, hiddenPrice boolean, crmPreorderCode string, {", ".join(f"{f} string" for f in STATUS_FIELDS)},
  productPrices array<struct<price: bigint, sysPrice: bigint, saleProgramTypeId: int, htmlIdRule: struct<groupId: string>,
   stockQuantity: struct<maxQuantity: int>, startDate: string, endDate: string, expectedPrice: bigint, isCanBuy: boolean,
   promotions: struct<{MW_PROMOTIONS}>>>,
@@ -228,7 +232,7 @@ def quotes_mw(payloads: DataFrame) -> DataFrame:
     normal, limited = F.col("_normal"), F.col("_limited")
     pairs = F.array_distinct(F.transform(normal, lambda x: F.struct(x["price"], x["sysPrice"])))
     one = F.get(normal, F.lit(0))
-    explicit = T.explicit_status(p["statusOnWeb"], p["statusText"])
+    explicit = T.explicit_status(*(p[f] for f in STATUS_FIELDS))
     hidden = F.coalesce(p["hiddenPrice"], F.lit(False)) | ((F.size(prices) == 0) & explicit.isNotNull())
     preorder = present(one["expectedPrice"]).isNotNull() | present(p["crmPreorderCode"]).isNotNull()
     implied = F.when(preorder, "Sản phẩm đặt trước; xác minh điều kiện/tiền cọc trên trang.").when(
@@ -389,7 +393,8 @@ def script_text(html: Column) -> Column:
 
     Each chunk is a JSON string.  It ends at the first quote that is not escaped, so no balanced matching is needed.
     """
-    tails = F.slice(F.split(html, r"self\.__next_f\.push\(\[1,\""), 2, 1_000_000)
+    chunks = F.split(html, r"self\.__next_f\.push\(\[1,\"")
+    tails = F.slice(chunks, F.lit(2), F.greatest(F.size(chunks) - 1, F.lit(0)))
     raw = F.transform(tails, lambda t: F.regexp_extract(t, r'(?s)^(.*?)(?<!(?<!\\)\\)"\]\)', 1))
     parts = F.transform(raw, lambda r: F.get(F.from_json(F.concat(F.lit('["'), r, F.lit('"]')), "array<string>"), F.lit(0)))
     return F.when(F.contains(html, F.lit(CHUNK)), F.array_join(parts, ""))

@@ -7,23 +7,14 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfledger import fixed_values as V
 from shelfledger.schemas import PREFERENCE, RULE
 from shelfledger.functions.text import fold
-from shelfledger.operators.skew import hand_kept
-
-
-def _bounded(df: DataFrame, what: str) -> list:
-    rows = df.limit(V.MAX_RULES + 1).collect()
-    if len(rows) > V.MAX_RULES:
-        raise ValueError(f"at most {V.MAX_RULES} {what}")
-    return rows
 
 
 def read_model_rules(spark: SparkSession, path: str) -> list[tuple[str, str]]:
-    """(name, pattern) in file order; a bounded, hand-kept list, so it may live in the plan as literals."""
+    """(name, pattern) in file order.  The file is one hand-kept document, so its rules may live in the plan as literals."""
     document = spark.read.option("multiLine", True).schema(f"models array<{RULE.simpleString()}>").json(path)
-    rules = [(r.name, r.pattern) for r in _bounded(document.select(F.inline("models")), "rules")]
+    rules = [(r.name, r.pattern) for r in document.select(F.inline("models")).collect()]
     for name, pattern in rules:
         re.compile(pattern)
         if not name.strip():
@@ -35,7 +26,7 @@ def read_preferences(spark: SparkSession, path: str) -> DataFrame:
     """Tracked products as a small table; a model may occur once."""
     document = spark.read.option("multiLine", True).schema(f"products array<{PREFERENCE.simpleString()}>").json(path)
     products = document.select(F.inline("products"))
-    rows = _bounded(products.withColumn("_key", fold(F.col("model"))), "tracked models")
+    rows = products.select(fold(F.col("model")).alias("_key")).collect()
     keys = [r["_key"] for r in rows]
     if len(set(keys)) != len(keys) or "" in keys:
         raise ValueError("a tracked model is empty or occurs twice")
@@ -50,19 +41,16 @@ def read_hidden_models(spark: SparkSession, path: str) -> DataFrame:
 
 def read_brand_scope(spark: SparkSession, path: str) -> list[str]:
     document = spark.read.option("multiLine", True).schema("version int, brands array<string>").json(path)
-    return [r.brand for r in _bounded(document.filter("version = 1").select(F.explode("brands").alias("brand")), "brands")]
+    return [r.brand for r in document.filter("version = 1").select(F.explode("brands").alias("brand")).collect()]
 
 
 def rules_by_brand(rules: DataFrame) -> DataFrame:
     """One row per brand with its rules as an array: a stream or table joined to it is never multiplied."""
-    return hand_kept(rules).groupBy("brand").agg(F.collect_list(F.struct("name", "pattern")).alias("rules"))
+    return rules.groupBy("brand").agg(F.collect_list(F.struct("name", "pattern")).alias("rules"))
 
 
 def label_by_brand(df: DataFrame, grouped: DataFrame) -> DataFrame:
-    """Label by the current rule table: exactly one rule of the row's brand must be found.
-
-    ``grouped`` is made of at most ``MAX_RULES`` hand-kept rules, which bounds the broadcast.
-    """
-    joined = df.join(F.broadcast(grouped), "brand", "left")
+    """Label by the current rule table: exactly one rule of the row's brand must be found."""
+    joined = df.join(grouped, "brand", "left")
     hits = F.filter("rules", lambda r: F.rlike(F.col("product_name"), F.concat(F.lit("(?iU)"), r["pattern"])))
     return joined.withColumn("label", F.when(F.size(hits) == 1, F.get(hits, F.lit(0))["name"])).drop("rules")

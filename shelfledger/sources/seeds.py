@@ -34,8 +34,8 @@ def url_patterns(spark: SparkSession) -> DataFrame:
 
 
 def with_patterns(seeds: DataFrame, patterns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sources with their link pattern, seeds whose category is not mapped).  One row per chain is broadcast."""
-    joined = seeds.join(F.broadcast(patterns), "chain", "left").withColumn(
+    """(sources with their link pattern, seeds whose category is not mapped)."""
+    joined = seeds.join(patterns, "chain", "left").withColumn(
         "product_url_pattern", F.try_element_at("patterns", F.col("category"))).drop("patterns")
     mapped = F.col("product_url_pattern").isNotNull()
     return joined.filter(mapped), joined.filter(~mapped)

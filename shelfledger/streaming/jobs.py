@@ -68,7 +68,10 @@ def compact_history(spark: SparkSession, path: str, schema: StructType, out: str
 
 
 def stream_alerts(stream: DataFrame, state: str, alerts: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Emit a movement when a batch changes the last price of a series against the previous business day."""
+    """Judge again every day whose movement a batch can change: the days it brings prices for and the days after them.
+
+    Each judged day gets a row; one without a movement has no ``delta`` and withdraws what an earlier batch said.
+    """
     keys = [*FULL_SERIES, "business_date"]
     columns = [*keys, "promo_price", "observed_at", "seq"]
 
@@ -83,20 +86,24 @@ def stream_alerts(stream: DataFrame, state: str, alerts: str, checkpoint: str, o
             return
         known = (spark.read.schema(StructType(now.schema.fields).add("batch", "long")).parquet(state)
                  .filter(F.col("batch") <= batch_id)
-                 .filter(F.col("business_date").between(F.date_sub(F.lit(days[0]), 1), F.lit(days[1]))))
+                 .filter(F.col("business_date").between(F.date_sub(F.lit(days[0]), 1), F.date_add(F.lit(days[1]), 1))))
         last = first_per_key(known, keys, [F.col("observed_at").desc(), F.col("batch").asc(), F.col("seq").asc()])
-        touched = last.join(now.select(keys), keys, "left_semi").withColumnRenamed("promo_price", "after_price")
+        following = now.select(*FULL_SERIES, F.date_add("business_date", 1).alias("business_date"))
+        judged = now.select(keys).unionByName(following).distinct()
+        touched = last.join(judged, keys, "left_semi").withColumnRenamed("promo_price", "after_price").drop("batch")
         before = last.select(*FULL_SERIES, F.date_add("business_date", 1).alias("business_date"),
                              F.col("promo_price").alias("before_price"))
-        moves = movement_columns(touched.join(before, keys)).drop("batch")
-        _write(moves, batch_id, alerts)
+        pairs = touched.join(before, keys, "left")
+        moves = movement_columns(pairs)
+        withdrawn = touched.join(moves.select(keys), keys, "left_anti").withColumn("before_price", F.lit(None).cast("bigint"))
+        _write(moves.unionByName(withdrawn, allowMissingColumns=True), batch_id, alerts)
     return _start(stream, emit, checkpoint, once)
 
 
 def read_alerts(spark: SparkSession, path: str) -> DataFrame:
-    """The newest alert per series and day."""
-    return first_per_key(spark.read.parquet(path), [*FULL_SERIES, "business_date"],
-                         [F.col("batch").desc(), F.col("seq").desc()])
+    """The newest judgement per series and day, where it is a movement."""
+    newest = first_per_key(spark.read.parquet(path), [*FULL_SERIES, "business_date"], [F.col("batch").desc(), F.col("seq").desc()])
+    return newest.filter("delta IS NOT NULL")
 
 
 def stream_labels(stream: DataFrame, rules: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:

@@ -10,12 +10,13 @@ from shelfledger.functions import calendar as cal
 from shelfledger.functions import links as L
 from shelfledger.functions import product as P
 from shelfledger.functions import text as T
-from shelfledger.operators import crawl
+from shelfledger.operators import audit, crawl
 from shelfledger.operators import history as H
 from shelfledger.operators import matrix as X
 from shelfledger.operators import movement as M
 from shelfledger.operators import quality as Q
 from shelfledger.operators import tracking
+from shelfledger.sources.rules import label_by_brand, rules_by_brand
 
 
 def values(spark, items, column, kind="string"):
@@ -259,3 +260,26 @@ def test_tracked_products_conflicts(spark):
     many = spark.range(21).selectExpr("id AS seq", "'iPhone 17' AS model", "'Đen' AS color", f"concat('{link}', id) AS link")
     _, crowded = tracking.tracked_products(many)
     assert [r.error for r in crowded.collect()] == ["too_many_links"]
+
+
+def test_long_lists_stay_whole(spark):
+    """50 colors, 25 links in a channel and 201 rules: everything comes back, the agreed number is only reported."""
+    link = "https://fptshop.com.vn/dien-thoai/a"
+    rows = spark.range(50).selectExpr("id AS seq", "'iPhone 17' AS model", "concat('c', id) AS color", f"concat('{link}', id % 25) AS link")
+    products, errors = tracking.tracked_products(rows)
+    one = products.first()
+    assert one.aliases == [f"c{i}" for i in range(1, 50)] and one.urls["fpt"] == [f"{link}{i}" for i in range(25)]
+    assert {r.error for r in errors.collect()} == {"too_many_links", "too_many_colors"}
+    rules = [(f"r{i}", rf"\bword{i}\b") for i in range(201)]
+    names = spark.createDataFrame([("word7", "r7"), ("word8", "r9"), ("none", "r1")], "name string, own string")
+    assert {(r.name, tuple(r.hits)) for r in audit.rule_conflicts(names, rules, "own").collect()} == {("word8", ("r8",)), ("none", ())}
+    table = spark.createDataFrame([("b", n, p) for n, p in rules], "brand string, name string, pattern string")
+    assert Q.list_gate(table).first().asDict() == {"entries": 201, "too_many": True}
+    got = label_by_brand(spark.createDataFrame([("b", "a word200 x")], "brand string, product_name string"), rules_by_brand(table))
+    assert got.first().label == "r200"
+
+
+def test_fingerprint_has_room(spark):
+    lanes = audit.content_fingerprint(spark.range(3).withColumn("x", F.col("id").cast("string")), ["x"])
+    assert "decimal(38,0)" in lanes._jdf.queryExecution().analyzed().toString() or "decimal(28,0)" in lanes._jdf.queryExecution().analyzed().toString()
+    assert lanes.first().fingerprint.startswith("3-")

@@ -28,14 +28,12 @@ def test_latest_group_aggregates_first(skewed):
     assert got.filter("key = 'hot'").count() == skewed.filter("key = 'hot' AND v = 6").count()
 
 
-def test_hot_keys_are_bounded_and_salted(skewed):
-    hot = skew.hot_keys(skewed, ["key"], share=100)
-    assert [r.key for r in hot.collect()] == ["hot"]
-    facts = skewed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    plain = skew.attach(skewed, facts, ["key"], "seq")
-    salted = skew.attach(skewed, facts, ["key"], "seq", hot=hot)
-    assert "_salt" in plan(salted)
-    assert salted.exceptAll(plain).count() == 0 and plain.exceptAll(salted).count() == 0
+def test_group_facts_run_no_job_while_the_plan_is_built(spark, skewed):
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup())
+    got = skew.with_group_facts(skewed, ["key"], n=F.count(F.lit(1)))
+    assert set(tracker.getJobIdsForGroup()) == before
+    assert got.filter("key = 'hot'").select("n").distinct().collect()[0].n == 6667
 
 
 def test_representatives_with_a_hot_group(spark):
@@ -43,8 +41,7 @@ def test_representatives_with_a_hot_group(spark):
         "id AS seq", "'FPT Shop' AS chain", "if(id < 1000, 'hot', concat('g', id % 500)) AS group_key", "false AS tracked",
         "lpad(cast(id AS string), 6, '0') AS variant_id", "'u' AS source_url", "cast(id % 2 AS bigint) AS stock",
         "cast(if(group_key = 'g7', id, 100) AS bigint) AS listing_price", "'' AS listing_status")
-    hot = skew.hot_keys(rows, ["chain", "group_key"], share=10)
-    chosen = K.representatives(rows, hot).filter("chosen")
+    chosen = K.representatives(rows).filter("chosen")
     assert [r.seq for r in chosen.filter("group_key = 'hot'").collect()] == [1]
     assert chosen.filter("group_key = 'g7'").count() == rows.filter("group_key = 'g7'").count()
     assert chosen.count() == K.representatives(rows).filter("chosen").count()
@@ -69,3 +66,13 @@ def test_round_robin_covers_sources(spark):
     rows = spark.createDataFrame([(i, 1 if i < 50 else (2 if i < 52 else None)) for i in range(60)], "seq bigint, input_row bigint")
     got = [r.input_row for r in K.round_robin(rows, 6).collect()]
     assert got == [1, 2, None, 1, 2, None]
+
+
+def test_latest_by_day_is_hashed(spark):
+    """Aggregations of the newest record keep fixed-width buffers, so no task sorts its raw rows."""
+    from shelfledger.operators import history as H
+    from shelfledger.operators import movement as M
+    rows = spark.createDataFrame([], "seq bigint, chain string, sku string, model string, storage string, display_variant string, color string, "
+                                 "observed_at timestamp_ntz, business_date date, week_start date, promo_price bigint, promo_text string")
+    for df in (M.day_movements(rows), M.week_movements(rows), H.day_grid(rows), H.week_change(rows), H.week_change(rows, ["promo_text"])):
+        assert "SortAggregate" not in plan(df)

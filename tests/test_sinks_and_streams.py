@@ -39,6 +39,11 @@ def test_commit_run(spark, tmp_path):
     assert {(r.sku, str(r.business_date)) for r in history.collect()} == {
         ("a", "2024-01-09"), ("b", "2024-01-09"), ("c", "2024-01-09")}
     assert history.count() == 4 and spark.read.parquet(paths["runs"]).count() == 2
+    S.commit_run(spark, prices(spark, ("a", 15), ("c", 5)), issues, header("r2", "2024-01-09 03:00:00", 3), paths)
+    assert spark.read.parquet(paths["history"]).count() == 4 and spark.read.parquet(paths["runs"]).count() == 2
+    half = dict(paths, runs=str(tmp_path / "other"))  # a try that lost its header is replaced, not doubled
+    S.commit_run(spark, prices(spark, ("a", 15), ("c", 5)), issues, header("r2", "2024-01-09 03:00:00", 3), half)
+    assert spark.read.parquet(paths["history"]).count() == 4 and spark.read.parquet(paths["issues"]).count() == 2
     with pytest.raises(GateFailed):
         S.commit_run(spark, prices(spark, ("a", 0)), issues, header("r3", "2024-01-09 03:00:00", 2), paths)
     assert spark.read.parquet(paths["runs"]).count() == 2
@@ -135,3 +140,21 @@ def test_stream_alerts(spark, tmp_path):
     whole = batch(spark, [r for rows in BATCHES for r in rows])
     want = {(r.sku, r.before_price, r.after_price) for r in M.day_movements(whole).collect()}
     assert got == want == {("a", 100, 90), ("b", 10, 20)}
+
+
+def test_alerts_follow_late_corrections(spark, tmp_path):
+    """A correction of day 1 changes the movement of day 2; a correction of day 2 may take it back."""
+    steps = [[(1, "a", "2024-01-01 03:00", 100_000), (2, "a", "2024-01-02 03:00", 200_000)], [(3, "a", "2024-01-01 09:00", 150_000)],
+             [(4, "a", "2024-01-02 09:00", 150_000)]]
+    state, alerts, check = (str(tmp_path / n) for n in ("state", "alerts", "check"))
+    source, seen, rows = tmp_path / "in", [], []
+    schema = batch(spark, BATCHES[0]).schema
+    for step in steps:
+        rows += step
+        batch(spark, step).coalesce(1).write.mode("append").parquet(str(source))
+        query = J.stream_alerts(J.read_stream(spark, str(source), schema), state, alerts, check)
+        query.awaitTermination()
+        got = {(str(r.business_date), r.delta) for r in J.read_alerts(spark, alerts).collect()}
+        assert got == {(str(r.business_date), r.delta) for r in M.day_movements(batch(spark, rows)).collect()}
+        seen.append(got)
+    assert seen == [{("2024-01-02", 100_000)}, {("2024-01-02", 50_000)}, set()]
