@@ -31,5 +31,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def hash_sample(df: DataFrame, row_id: str, about: int) -> DataFrame:
+    """About ``about`` rows (all, if fewer): those whose id hash lies in the share of its range that gives so many.
+
+    Nothing is sorted or shuffled for it, and the choice is the same in every run.
+    """
+    total = df.count()
+    if total <= about:
+        return df
+    return df.filter(F.xxhash64(row_id) < F.lit(int((about / total - 0.5) * 2 ** 64)))
+
+
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
