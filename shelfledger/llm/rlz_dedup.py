@@ -25,6 +25,10 @@ ANCHOR_BYTES, CONTEXT_BYTES = 6, 8
 LAST = np.iinfo(np.int64).max  # stands for a NULL id: no document is later
 
 
+def spread(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return ((hashes >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int64)
+
+
 class Parse:
     """Words, windows, anchors and contexts of a chunk's texts."""
 
@@ -59,7 +63,7 @@ class Parse:
         self.asker, self.of_asker = self.asker[order], place[self.of_asker]
 
     def bucket(self, buckets: int) -> np.ndarray:
-        return ((self.anchor[self.asker] >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int64)
+        return spread(self.anchor[self.asker], buckets)
 
 
 def _doc_bytes(ids: np.ndarray) -> bytes:
@@ -158,14 +162,16 @@ def dedup(docs: DataFrame, row_id: str = "doc_id", text: str = "text", window: i
         index, asker = _shown(p, _verdicts(p, answers.get(0, {}), buckets), window)
         at = p.window_start[index]
         hashes, doc = B.range_hashes(p.values, at, at + window), p.ids[p.word_row[at]]
-        return {b: _pack(R.short(hashes[part], 8), _doc_bytes(doc[part])) for b, part in R.by_bucket(p.bucket(buckets)[asker])}
+        # By the window's own hash: the contexts of one anchor may be many, their windows are dealt evenly.
+        return {b: _pack(R.short(hashes[part], 8), _doc_bytes(doc[part])) for b, part in R.by_bucket(spread(hashes, buckets))}
 
     def finish(rows: pa.Table, answers: dict, buckets: int) -> pa.Table:
         p = Parse(rows, window)
         verdict = _verdicts(p, answers.get(0, {}), buckets)
         index, asker = _shown(p, verdict, window)
         seen = np.zeros(len(index), np.uint8)
-        for bucket, part in R.by_bucket(p.bucket(buckets)[asker]):
+        shown_at = p.window_start[index]
+        for bucket, part in R.by_bucket(spread(B.range_hashes(p.values, shown_at, shown_at + window), buckets)):
             seen[part] = np.frombuffer(answers[1][bucket], np.uint8)
         # A context is earlier than this occurrence if another chunk has it earlier, or an earlier document of this chunk.
         early = (verdict == 1)[p.of_asker] | (p.ids[p.run_row] > p.ids[p.run_row[p.asker]][p.of_asker])
