@@ -81,21 +81,18 @@ def source_counts(rows: DataFrame) -> DataFrame:
 def chain_states(chains: DataFrame, summaries: DataFrame, asked: Sequence[str] | None = None) -> DataFrame:
     """Every chain with its state: the summary's status, skipped when not asked for, else missing.
 
-    ``copies`` above one means an ambiguous chain; :func:`ambiguous` refuses it.
+    Two summaries of one chain are refused: its state is ``ambiguous`` and none of their numbers is passed on.
     """
     once = summaries.groupBy("chain").agg(F.max_by(F.struct(*[c for c in summaries.columns if c != "chain"]), F.col(
         "status")).alias("_s"), F.count(F.lit(1)).alias("copies"))
     joined = chains.join(once, "chain", "left")
     skipped = ~F.col("chain").isin(list(asked)) if asked is not None else F.lit(False)
-    state = F.coalesce(F.col("_s.status"), F.when(skipped, "skipped").otherwise("missing"))
-    extra = [F.col(f"_s.{c}").alias(c) for c in summaries.columns if c not in ("chain", "status")]
+    several = F.coalesce(F.col("copies") > 1, F.lit(False))
+    state = F.when(several, "ambiguous").otherwise(F.coalesce(F.col("_s.status"), F.when(skipped, "skipped").otherwise("missing")))
+    extra = [F.when(~several, F.col(f"_s.{c}")).alias(c) for c in summaries.columns if c not in ("chain", "status")]
     return joined.select("chain", state.alias("status"), F.coalesce("copies", F.lit(0)).alias("copies"), *extra)
 
 
-def ambiguous(states: DataFrame) -> DataFrame:
-    return states.filter("copies > 1")
-
-
 def state_detail(states: DataFrame) -> DataFrame:
     """Label per chain: open issues or fewer prices than links need a check."""
     open_items = (F.coalesce("issues", F.lit(0)) > 0) | F.coalesce(F.col("prices") < F.col("expected"), F.lit(False))

@@ -112,33 +112,31 @@ def _(spark, sf):
                             "issue_kinds": kinds("issue_kinds")})
 
 
-SUMMARY = """WITH h AS (SELECT *, row_number() OVER (PARTITION BY year, chain ORDER BY completed_at DESC, run_id DESC) AS rn FROM runs),
- s AS (SELECT year, chain, CASE state WHEN 'O' THEN 'ok' WHEN 'F' THEN 'degraded' ELSE 'failed' END AS status,
+SUMMARY = """WITH h AS (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY completed_at DESC, run_id DESC) AS rn FROM runs),
+ s AS (SELECT chain, CASE state WHEN 'O' THEN 'ok' WHEN 'F' THEN 'degraded' ELSE 'failed' END AS status,
   CASE WHEN state <> 'P' THEN run_id % 50 + 10 END AS expected, CASE WHEN state <> 'P' THEN run_id % 50 + 10 - run_id % 3 END
   AS prices, CASE WHEN state <> 'P' THEN run_id % 3 END AS issues, CASE WHEN state <> 'P' THEN run_id % 2 END AS blocked
   FROM h WHERE rn = 1)"""
 
 
-def summaries(spark, sf, year: int = 2000):
+def summaries(spark, sf):
     from shelfledger.sources.runs import newest_headers
-    heads = newest_headers(run_headers(spark, sf), ["year", "chain"])
-    rows = heads.selectExpr(
-        "year", "chain", "CASE state WHEN 'O' THEN 'ok' WHEN 'F' THEN 'degraded' ELSE 'failed' END AS status",
+    heads = newest_headers(run_headers(spark, sf), ["chain"])
+    return heads.selectExpr(
+        "chain", "CASE state WHEN 'O' THEN 'ok' WHEN 'F' THEN 'degraded' ELSE 'failed' END AS status",
         "CASE WHEN state <> 'P' THEN run_id % 50 + 10 END AS expected",
         "CASE WHEN state <> 'P' THEN run_id % 50 + 10 - run_id % 3 END AS prices",
         "CASE WHEN state <> 'P' THEN run_id % 3 END AS issues", "CASE WHEN state <> 'P' THEN run_id % 2 END AS blocked")
-    return rows if year is None else rows.filter(F.col("year") == year).drop("year")
 
 
-STATES = SUMMARY + f""", {CHAIN_ROWS}, f AS (SELECT * FROM s WHERE year = 2000 AND chain NOT IN ('TGDD', 'Phong Vũ')),
+STATES = SUMMARY + f""", {CHAIN_ROWS}, f AS (SELECT * FROM s),
  st AS (SELECT c.chain, coalesce(f.status, CASE WHEN c.chain = 'TGDD' THEN 'skipped' ELSE 'missing' END) AS status,
   CASE WHEN f.chain IS NULL THEN 0 ELSE 1 END AS copies, expected, prices, issues, blocked FROM chains c LEFT JOIN f
   ON f.chain = c.chain)"""
 
 
 def states(spark, sf):
-    some = summaries(spark, sf).filter("chain NOT IN ('TGDD', 'Phong Vũ')")
-    return A.chain_states(chains(spark), some, [c for c in V.CHAIN_NAMES if c != "TGDD"])
+    return A.chain_states(chains(spark), summaries(spark, sf), [c for c in V.CHAIN_NAMES if c != "TGDD"])
 
 
 @query("agg5_chain_states", STATES + " SELECT * FROM st", "runs")
@@ -191,7 +189,7 @@ def _(spark, sf):
     return A.rule_conflicts(names, V.MODEL_RULES, "model").select("name", F.array_join("hits", "|").alias("hits"))
 
 
-@query("jon12_variant_select", f"""WITH {TRACKED}, p AS (SELECT DISTINCT model, color, variant_id AS code FROM cat WHERE chain = 'TGDD'),
+@query("jon12_variant_select", f"""WITH {TRACKED}, p AS (SELECT DISTINCT model, color, variant_id AS code FROM cat),
  a AS (SELECT model, color AS wanted FROM tracked),
  ok AS (SELECT p.*, wanted, wanted IS NULL OR lower(p.color) = lower(wanted)
   OR (wanted = 'Đen Không Gian' AND p.color = 'Đen') AS ok FROM p JOIN a USING (model)),
@@ -200,7 +198,7 @@ SELECT 'row' AS kind, model, code AS value FROM (SELECT DISTINCT model, code FRO
 UNION ALL SELECT 'issue', model, CASE WHEN n = 0 THEN 'color_not_found' ELSE 'color_ambiguous' END FROM v WHERE wanted IS NOT NULL AND n <> 1
 UNION ALL SELECT 'issue', model, 'wrong_model' FROM a WHERE model NOT IN (SELECT model FROM p)""", "cat")
 def _(spark, sf):
-    rows = catalog(spark, sf).filter("chain = 'TGDD'")
+    rows = catalog(spark, sf)
     palette = rows.select("model", "color", F.array("variant_id").alias("codes")).distinct()
     versions = rows.select("model", F.col("variant_id").alias("code"), F.col("storage").alias("version")).distinct()
     accepted = [(m, V.MODEL_COLORS.get(m), shop_colors("tgdd", m, V.MODEL_COLORS[m]) if m in V.MODEL_COLORS else None)
@@ -234,7 +232,7 @@ def _(spark, sf):
 
 
 CARRY = """WITH w AS (SELECT *, row_number() OVER (PARTITION BY chain, sku, k < 60 ORDER BY observed_at DESC, seq) AS rn FROM obs),
- fresh AS (SELECT * FROM w WHERE rn = 1 AND k >= 60 AND seq % 3 <> 0), prev AS (SELECT * FROM w WHERE rn = 1 AND k < 60),
+ fresh AS (SELECT * FROM w WHERE rn = 1 AND k >= 60), prev AS (SELECT * FROM w WHERE rn = 1 AND k < 60),
  old AS (SELECT p.* FROM prev p ANTI JOIN fresh f ON f.chain = p.chain AND f.sku = p.sku),
  fail AS (SELECT DISTINCT chain, sku FROM obs WHERE k = 3)"""
 
@@ -247,7 +245,7 @@ def _(spark, sf):
     rows = observations(spark, sf).withColumn("stale_since", F.lit(None).cast("timestamp_ntz")).withColumn(
         "stale_reason", F.lit(None).cast("string"))
     previous = latest_per_key(rows.filter("k < 60"), H.SERIES)
-    fresh = latest_per_key(rows.filter("k >= 60"), H.SERIES).filter("seq % 3 <> 0")
+    fresh = latest_per_key(rows.filter("k >= 60"), H.SERIES)
     broken = rows.filter("k = 3").withColumn("reason", F.lit("HTTP 502"))
     at = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
     out = None

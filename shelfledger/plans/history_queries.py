@@ -268,14 +268,14 @@ def _(spark, sf):
 
 
 @query("col17_price_text", """WITH h AS (SELECT seq, promo_price AS p, (promo_price + 5000) // 10000 AS m,
- (10000000000 + promo_price) // (2 * promo_price) AS c FROM obs WHERE promo_price IS NOT NULL)
+ (10000000000 + promo_price) // (2 * promo_price) AS c FROM obs)
 SELECT seq, replace(format('{:,}', p), ',', '.') || 'đ' AS money,
  CASE WHEN m % 100 = 0 THEN '' || (m // 100) WHEN m % 10 = 0 THEN (m // 100) || ',' || (m % 100 // 10)
   ELSE (m // 100) || ',' || lpad('' || (m % 100), 2, '0') END || ' tr' AS millions,
  (c // 100) || '.' || lpad('' || (c % 100), 2, '0') AS percent FROM h""", "obs")
 def _(spark, sf):
     price = F.col("promo_price")
-    rows = observations(spark, sf).filter("promo_price IS NOT NULL")
+    rows = observations(spark, sf)
     return rows.select("seq", T.money_text(price).alias("money"), T.millions_text(price).alias("millions"),
                        T.percent_text(F.lit(500000), price).alias("percent"))
 

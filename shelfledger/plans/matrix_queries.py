@@ -74,13 +74,14 @@ def _(spark, sf):
 
 
 @query("set2_placeholder_models", f"""WITH seen AS (SELECT model, variant, count(*) AS n FROM (SELECT model,
- display_variant AS variant FROM obs WHERE promo_price > 4850000) GROUP BY ALL) SELECT model, variant, n FROM seen
-UNION ALL SELECT m, 'Chưa có dữ liệu đúng cấu hình', NULL FROM (SELECT unnest({sql_list(MODELS[:36])}) AS m)
+ display_variant AS variant FROM obs) GROUP BY ALL) SELECT model, variant, n FROM seen
+UNION ALL SELECT m, 'Chưa có dữ liệu đúng cấu hình', NULL FROM (SELECT unnest({sql_list([*MODELS[:36], 'iPhone 99'])}) AS m)
 WHERE m NOT IN (SELECT model FROM seen)""", "obs")
 def _(spark, sf):
-    rows = (observations(spark, sf).filter("promo_price > 4850000").groupBy("model", F.col("display_variant").alias(
+    rows = (observations(spark, sf).groupBy("model", F.col("display_variant").alias(
         "variant")).agg(F.count(F.lit(1)).alias("n")))
-    return X.placeholders(rows, tracked(spark)).select("model", "variant", "n")
+    listed = tracked(spark).unionByName(spark.createDataFrame([("iPhone 99", None)], "model string, color string"))
+    return X.placeholders(rows, listed).select("model", "variant", "n")
 
 
 @query("set5_model_registry", """WITH known AS (SELECT DISTINCT category, upper(model) AS model, CASE WHEN brand <> 'Samsung'

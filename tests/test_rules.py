@@ -283,3 +283,10 @@ def test_fingerprint_has_room(spark):
     lanes = audit.content_fingerprint(spark.range(3).withColumn("x", F.col("id").cast("string")), ["x"])
     assert "decimal(38,0)" in lanes._jdf.queryExecution().analyzed().toString() or "decimal(28,0)" in lanes._jdf.queryExecution().analyzed().toString()
     assert lanes.first().fingerprint.startswith("3-")
+
+
+def test_chain_states(spark):
+    chains = spark.createDataFrame([(c,) for c in ("a", "b", "c", "d")], "chain string")
+    summaries = spark.createDataFrame([("a", "ok", 3), ("b", "ok", 1), ("b", "failed", 2)], "chain string, status string, prices int")
+    got = {r.chain: (r.status, r.copies, r.prices) for r in audit.chain_states(chains, summaries, ["a", "b", "c"]).collect()}
+    assert got == {"a": ("ok", 1, 3), "b": ("ambiguous", 2, None), "c": ("missing", 0, None), "d": ("skipped", 0, None)}
