@@ -16,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfledger.llm.shared import hash_sample
+
 CURVES, DIMS, BITS = 16, 8, 6
 CELLS = 48  # of an ordering; a query reads three of them
 LEAST_ROWS = 64  # rows of a cell; fewer rows make fewer cells, down to one
 BLOCK_ROWS = 512
-SAMPLE = 4096  # rows that the projections' scale is fitted on
+SAMPLE = 4096  # rows, about, that the projections' scale is fitted on
 QUERY_BLOCK = 256
 SEED = 11
 
@@ -121,7 +123,7 @@ def search(rows: DataFrame, is_query, k: int = 10, row_id: str = "vec_id", vecto
     """
     spark = rows.sparkSession
     good = usable(rows, vector).filter(F.col(row_id).isNotNull()).select(F.col(row_id).cast("bigint").alias("id"), "_x", is_query.alias("asks"))
-    sample = [r["_x"] for r in good.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("_x").collect()]
+    sample = [r["_x"] for r in hash_sample(good, "id", SAMPLE).select("_x").collect()]
     result = "query_id bigint, rank int, vec_id bigint, score double"
     if not sample:
         return spark.createDataFrame([], result)
