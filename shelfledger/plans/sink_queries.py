@@ -1,7 +1,9 @@
-"""Queries for the write path: what each sink stores, before it is stored."""
+"""Queries for the write path: each sink writes to the shared folder, writes again, and what is read back is checked."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from shelfledger import fixed_values as V
@@ -11,11 +13,16 @@ from shelfledger.plans.audit_queries import issues
 from shelfledger.plans.carriers import catalog, observations, run_headers, run_rows
 from shelfledger.plans.history_queries import LAST_DAY, stamp, text_date
 from shelfledger.plans.registry import query
+from shelfledger.session import shared_folder
 from shelfledger.sinks import tables as S
 from shelfledger.sources import artifacts
 from shelfledger.sources.rules import label_by_brand, rules_by_brand
 
 
+def folder(spark) -> str:
+    return f"{shared_folder(spark)}/sink-{uuid.uuid4().hex}"
+
+
 def weekly(spark, sf):
     day = F.col("business_date")
     return observations(spark, sf).withColumns({"year": cal.iso_year(day), "week": cal.iso_week(day)})
@@ -25,7 +32,11 @@ def weekly(spark, sf):
  AS week, arg_max(seq, CASE WHEN k >= 50 THEN 1000000000 + seq ELSE seq END) AS seq FROM obs GROUP BY ALL""", "obs")
 def _(spark, sf):
     rows = weekly(spark, sf)
-    return S.weekly_upsert(rows.filter("k < 50"), rows.filter("k >= 50")).select(
+    path = folder(spark)
+    S.write_parts(rows.filter("k < 50"), path, "year", "week")
+    for _ in range(2):
+        S.write_weekly(spark.read.schema(rows.schema).parquet(path), rows.filter("k >= 50"), path)
+    return S.weekly_upsert(rows.limit(0), spark.read.schema(rows.schema).parquet(path)).select(
         "chain", "sku", F.col("year").cast("bigint").alias("year"), F.col("week").cast("bigint").alias("week"), "seq")
 
 
@@ -46,8 +57,10 @@ def _(spark, sf):
  CAST(CAST(date_trunc('week', completed_at + INTERVAL 7 HOUR) AS DATE) AS VARCHAR) AS week_start FROM run_rows r JOIN runs h ON h.run_id = r.run_id""",
        "runs")
 def _(spark, sf):
-    return S.history_rows(run_rows(spark, sf), run_headers(spark, sf)).select(
-        "run_id", "part", "price", "chain", text_date("business_date"), text_date("week_start"))
+    path, rows = folder(spark), S.history_rows(run_rows(spark, sf), run_headers(spark, sf)).withColumn("bucket", F.col("run_id") % 8)
+    for _ in range(2):
+        S.write_parts(rows.repartition("bucket"), path, "bucket")
+    return spark.read.parquet(path).select("run_id", "part", "price", "chain", text_date("business_date"), text_date("week_start"))
 
 
 @query("snk4_history_backfill", """WITH w AS (SELECT chain, sku, isoyear(business_date) AS y, week(business_date) AS w, max(seq) AS seq FROM obs GROUP BY ALL),
@@ -66,7 +79,11 @@ def _(spark, sf):
 def _(spark, sf):
     rows = issues(spark, sf).withColumns({"sku": F.expr("CASE WHEN seq % 3 <> 0 THEN sku END"),
                                           "product_name": F.expr("CASE WHEN seq % 5 <> 0 THEN product_name END")})
-    return S.issue_rows(rows).select("seq", "sku", "product_name", "error_kind")
+    path = folder(spark)
+    stamped = S.issue_rows(rows).withColumns({"run_id": F.lit("r1"), "week_start": F.lit("2024-01-01").cast("date")})
+    for _ in range(2):
+        S.append_history(stamped, path)
+    return spark.read.parquet(path).select("seq", "sku", "product_name", "error_kind")
 
 
 @query("snk6_catalog_publish", """WITH l AS (SELECT chain, raw_url, count(*) AS n, count(*) FILTER (status = 'ready') AS r FROM cat GROUP BY ALL)
@@ -81,8 +98,11 @@ SELECT seq, 'old' AS part FROM obs ANTI JOIN d USING (business_date, chain) WHER
 UNION ALL SELECT seq, 'new' FROM obs WHERE k > 96""", "obs")
 def _(spark, sf):
     rows = observations(spark, sf)
-    return S.replace_days(rows.filter("k <= 96").withColumn("part", F.lit("old")),
-                          rows.filter("k > 96").withColumn("part", F.lit("new"))).select("seq", "part")
+    path = folder(spark)
+    S.publish_snapshot(rows.filter("k <= 96").withColumn("part", F.lit("old")).repartition("business_date"), path)
+    for _ in range(2):
+        S.publish_snapshot(rows.filter("k > 96").withColumn("part", F.lit("new")), path)
+    return spark.read.parquet(path).select("seq", "part")
 
 
 @query("snk8_history_import", """WITH r AS (SELECT *, CASE WHEN k = 4 THEN NULL WHEN k = 5 THEN observed_at + INTERVAL 40 DAY ELSE observed_at END AS t
@@ -93,12 +113,25 @@ SELECT d.chain, CAST(d.business_date AS VARCHAR) AS business_date, n AS "rows",
 FROM d LEFT JOIN h ON h.chain = d.chain AND h.business_date = d.business_date""", "obs")
 def _(spark, sf):
     rows = observations(spark, sf)
-    past = rows.filter("k <= 98").withColumn("observed_at", F.expr(
-        "CASE WHEN k = 4 THEN NULL WHEN k = 5 THEN observed_at + INTERVAL '40' DAY ELSE observed_at END"))
-    out = S.import_gate(past, rows.filter("k > 98"), F.lit("2024-02-01").cast("timestamp_ntz"))
+    out = S.import_gate(past_rows(rows), rows.filter("k > 98"), F.lit("2024-02-01").cast("timestamp_ntz"))
     return out.withColumn("business_date", text_date("business_date"))
 
 
+def past_rows(rows):
+    return rows.filter("k <= 98").withColumn("observed_at", F.expr(
+        "CASE WHEN k = 4 THEN NULL WHEN k = 5 THEN observed_at + INTERVAL '40' DAY ELSE observed_at END"))
+
+
+@query("snk8_imported_rows", """WITH h AS (SELECT DISTINCT chain, business_date FROM obs WHERE k > 98 OR k IN (4, 5))
+SELECT seq FROM obs ANTI JOIN h USING (chain, business_date) WHERE k <= 98""", "obs")
+def _(spark, sf):
+    path, rows = folder(spark), observations(spark, sf)
+    good = S.import_history(past_rows(rows), rows.filter("k > 98"), F.lit("2024-02-01").cast("timestamp_ntz"))
+    for _ in range(2):
+        S.write_parts(good, path, "business_date", "chain")
+    return spark.read.schema(good.schema).parquet(path).select("seq")
+
+
 @query("snk9_flat_export", f"""WITH {LAST_DAY}, e AS (SELECT week_start, chain, sku, arg_max(seq, business_date) AS z,
  {', '.join(f"max(CASE WHEN isodow(business_date) = {i} THEN promo_price END) AS price{i}" for i in range(1, 8))} FROM last_day GROUP BY ALL)
 SELECT CAST(e.week_start AS VARCHAR) AS week_start, 'W' || CAST(o - 13 * floor(o / 13) + 1 AS BIGINT) || 'Q'
@@ -121,7 +154,10 @@ def _(spark, sf):
 @query("snk9_flat_links", """SELECT chain, category, brand, product_name, sku, source_url, CASE WHEN status = 'ready' THEN 'Đọc được giá'
  ELSE 'Cần kiểm tra: ' || reason END AS state, reason, listing_url AS listing_urls FROM cat""", "cat")
 def _(spark, sf):
-    return S.flat_links(catalog(spark, sf).withColumn("listing_urls", F.array("listing_url")))
+    path = folder(spark)
+    for _ in range(2):
+        S.export(S.flat_links(catalog(spark, sf).withColumn("listing_urls", F.array("listing_url"))), path, "parquet")
+    return spark.read.parquet(path)
 
 
 @query("src5_artifact_scan", """SELECT seq, CAST(CAST(t + INTERVAL 7 HOUR AS DATE) AS VARCHAR) AS business_date,
