@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from shelfledger.functions import product as P
 from shelfledger.functions import text as T
+from shelfledger.sources import cards
 from shelfledger.operators.tracking import OFFER_LABELS
 
 STRINGS = "array<string>"
@@ -347,36 +348,22 @@ def split_quotes(quotes: DataFrame) -> tuple[DataFrame, DataFrame]:
 # --- markup ----------------------------------------------------------------------------------------------------------
 
 
-def _classed(block: Column, name: str) -> Column:
-    """Text of the first element of a class, up to its own closing tag; NULL when absent."""
-    element = rf'(?s)<(\w+)[^>]*\bclass="(?:[^"]*\s)?{name}(?:\s[^"]*)?"[^>]*>(.*?)</\1>'
-    return F.when(block.rlike(element), T.spaced(T.strip_tags(F.regexp_extract(block, element, 2))))
-
-
 def page_cards(pages: DataFrame, html: str = "html") -> DataFrame:
     """One row per product card of a listing page: id, name, href, brand, price, list price, promotion text, error.
 
-    A page is cut at its card elements, so every expression works inside one bounded block.
+    A page that can't be trusted (no total, unfinished or nested card, a field or product twice) gives one row with
+    ``page_error`` instead.  Pages are read in Arrow batches by a stack of open elements; nothing is shuffled.
     """
-    blocks = F.split(html, r'(?=<\w+[^>]*\bclass="(?:[^"]*\s)?product-item(?:\s[^"]*)?")')
-    total = F.regexp_extract(html, r'<input[^>]*\bid="RecordCountSP"[^>]*\bvalue="(\d+)"', 1).try_cast("bigint")
-    rows = pages.withColumn("published_total", total).select(
-        *[c for c in pages.columns if c != html], "published_total",
-        F.posexplode(F.filter(blocks, lambda b: b.rlike(r'^<\w+[^>]*\bclass="(?:[^"]*\s)?product-item(?:\s[^"]*)?"'))
-                     ).alias("position", "_block"))
-    block = F.col("_block")
-    link = F.regexp_extract(block, r"(?s)(<a\b(?=[^>]*\bdata-id=)(?=[^>]*\bdata-name=)[^>]*>)", 1)
-    attribute = lambda name: F.regexp_extract(F.col("_a"), rf'\b{name}="([^"]*)"', 1)
-    rows = rows.withColumns({"_a": link, "_price": F.coalesce(_classed(block, "price"), F.lit("")),
-                             "_old": F.coalesce(_classed(block, "price-old"), F.lit("")),
-                             "promo_text": F.coalesce(_classed(block, "promotion-text"), F.lit(""))})
-    sale, old = T.parse_money(F.col("_price")), T.parse_money(F.col("_old"))
-    error = (F.when(sale.isNull(), "price").when((F.col("_old") != "") & old.isNull(), "list_price")
-             .when(old < sale, "list_below_price").otherwise(""))
+    others = [c for c in pages.columns if c != html]
+    schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in others)
+    read = pages.select(*others, html).mapInArrow(cards.read_batches, f"{schema}, _cards array<{cards.FACTS_DDL}>")
+    rows = read.select(*others, F.inline("_cards"))
+    sale, old = T.parse_money(F.col("price")), T.parse_money(F.col("price_old"))
+    error = (F.when(F.col("page_error").isNotNull(), None).when(sale.isNull(), "price")
+             .when((F.col("price_old") != "") & old.isNull(), "list_price").when(old < sale, "list_below_price").otherwise(""))
     return rows.withColumn("price_error", error).withColumns({
-        "card_id": attribute("data-id"), "name": T.unescape(F.trim(attribute("data-name"))), "href": attribute("href"),
-        "brand": attribute("data-brand"), "promo_price": F.when(F.col("price_error") == "", sale),
-        "original_price": F.when(F.col("price_error") == "", old)}).drop("_block", "_a", "_price", "_old")
+        "promo_price": F.when(F.col("price_error") == "", sale), "original_price": F.when(F.col("price_error") == "", old)}).drop(
+        "price", "price_old")
 
 
 def child_codes(html: Column) -> Column:

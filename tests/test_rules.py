@@ -16,6 +16,7 @@ from shelfledger.operators import matrix as X
 from shelfledger.operators import movement as M
 from shelfledger.operators import quality as Q
 from shelfledger.operators import tracking
+from shelfledger.sources import payloads
 from shelfledger.sources.rules import label_by_brand, rules_by_brand
 
 
@@ -290,3 +291,32 @@ def test_chain_states(spark):
     summaries = spark.createDataFrame([("a", "ok", 3), ("b", "ok", 1), ("b", "failed", 2)], "chain string, status string, prices int")
     got = {r.chain: (r.status, r.copies, r.prices) for r in audit.chain_states(chains, summaries, ["a", "b", "c"]).collect()}
     assert got == {"a": ("ok", 1, 3), "b": ("ambiguous", 2, None), "c": ("missing", 0, None), "d": ("skipped", 0, None)}
+
+
+def test_cards_are_read_with_a_tag_stack(spark):
+    total, link = '<input id="RecordCountSP" value="2">', '<a data-id="{0}" data-name="N&amp;{0}" href="/{0}">x</a>'
+    card = lambda i, inner: f'<div class="box product-item">{link.format(i)}{inner}</div>'
+    pages = [
+        ("nested", total + card(1, '<div class="price">1.<div>500.000</div>đ</div>') + card(2, "")),
+        ("footer", total + card(1, "") + '<div class="price">5.000.000</div>'),
+        ("twice", total + card(1, '<b class="price">1.500.000</b><b class="price">1.600.000</b>')),
+        ("total", card(1, '<b class="price">1.500.000</b>')), ("open", total + f'<div class="product-item">{link.format(1)}'),
+        ("link", total + '<div class="product-item"><a href="/x">x</a></div>'), ("inner", total + card(1, card(2, ""))),
+        ("void", total + card(1, '<img src="x"><br><i class="promotion-text">Quà <b>A</b><br>B</i>')), ("none", total), ("null", None)]
+    rows = payloads.page_cards(spark.createDataFrame(pages, "page string, html string")).collect()
+    faults = {r.page: r.page_error for r in rows if r.page_error}
+    assert faults == {"twice": "repeated_field", "total": "no_total", "open": "unfinished_card", "link": "card_without_link",
+                      "inner": "nested_card", "null": "no_total"}
+    good = {(r.page, r.position): (r.card_id, r.name, r.promo_price, r.price_error, r.promo_text) for r in rows if not r.page_error}
+    assert good == {("nested", 0): ("1", "N&1", 1_500_000, "", ""), ("nested", 1): ("2", "N&2", None, "price", ""),
+                    ("footer", 0): ("1", "N&1", None, "price", ""), ("void", 0): ("1", "N&1", None, "price", "Quà AB")}
+
+
+def test_all_status_fields_are_read(spark):
+    for reader, body in ((payloads.quotes_pv, '{"product":{"productInfo":{"sku":"1","name":"n"},"status":{"stockStatusName":"Ngừng kinh doanh"},"prices":[]}}'),
+                         (payloads.quotes_mw, '{"name":"n","productCode":"12345678","sellingStatusName":"Ngừng kinh doanh"}')):
+        code = "1" if "productInfo" in body else "12345678"
+        row = spark.createDataFrame([(1, "c", "u", code, None, body)], "seq int, chain string, source_url string, variant_id string, parent_id string, payload string")
+        got = reader(row).first()
+        assert got.issue is None and "gừng kinh doanh" in got.quoted_text
+
