@@ -59,7 +59,8 @@ class Sample:
         self.asker, self.of_asker, self.often = asker[order], rank[of_asker], counts[order] > 1
 
     def bucket(self, buckets: int) -> np.ndarray:
-        return ((self.anchor[self.asker] >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int64)
+        """An anchor is the least of many hashes, so its own high bits crowd near zero; they are mixed again to spread."""
+        return ((B.mix(self.anchor[self.asker]) >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int64)
 
 
 def answer_contexts(bodies: list[bytes]) -> list[bytes]:
