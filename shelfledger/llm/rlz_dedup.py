@@ -63,7 +63,8 @@ class Parse:
         self.asker, self.of_asker = self.asker[order], place[self.of_asker]
 
     def bucket(self, buckets: int) -> np.ndarray:
-        return spread(self.anchor[self.asker], buckets)
+        """An anchor is the least of several hashes, so its own high bits crowd near zero; they are mixed again to spread."""
+        return spread(B.mix(self.anchor[self.asker]), buckets)
 
 
 def _doc_bytes(ids: np.ndarray) -> bytes:
