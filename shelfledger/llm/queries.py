@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfledger.llm import (hilbert_ann, histogram_sort, pattern_packing, piece_lattice, pii_boost, quality_lines, rlz_dedup,
-                             suffix_dedup, trigram_secrets, vp_simhash)
+from shelfledger.llm import (checks, hilbert_ann, histogram_sort, pattern_packing, piece_lattice, pii_boost, quality_lines,
+                             rlz_dedup, suffix_dedup, trigram_secrets, vp_simhash)
 from shelfledger.llm.shared import read_documents, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,7 +28,7 @@ def _only(kind: str):
     return lambda x: F.when(x == kind, x)
 
 
-@register("op6_quality_rules")
+@register("op6_quality_rules", checks.QUALITY)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_lines.judge(read_documents(spark, sf_dir))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars")
@@ -73,7 +73,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", vp_simhash.fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-@register("op2_rlz_dedup")
+@register("op2_rlz_dedup", checks.WORD_DEDUP)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rlz_dedup.dedup(read_documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_words", 256).alias("kept_sha256"))
