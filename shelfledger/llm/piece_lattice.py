@@ -64,12 +64,17 @@ def split_words(text: str, dummy_prefix: bool = True) -> list[str]:
 # -- lattice ---------------------------------------------------------------------------------------------------------------
 
 def edges(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """(word, lattice): for each distinct ``word`` a map from ``start * 64 + length`` to (score, id)."""
+    """(word, chunks, lattice): for each row of ``words`` a map from ``start * 64 + length`` to (score, id).
+
+    ``chunks`` rides along, so that the words need not be joined to their lattices again.  A word without any piece has no row; the
+    caller folds it where it stands.
+    """
     substrings = F.expr(f"""flatten(transform(sequence(0, length(word) - 1), s ->
         transform(sequence(1, least({longest}, length(word) - s)), l -> struct(s * 64 + l AS place, substring(word, s + 1, l) AS piece))))""")
-    found = (words.select("word", F.explode(substrings).alias("e")).select("word", "e.place", "e.piece")
+    found = (words.select("word", "chunks", F.explode(substrings).alias("e")).select("word", "chunks", "e.place", "e.piece")
              .join(F.broadcast(pieces), "piece"))  # the piece table has as many rows as the model has pieces
-    return found.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("place", F.struct("score", "id")))).alias("lattice"))
+    return found.groupBy("word").agg(F.first("chunks").alias("chunks"), F.map_from_entries(
+        F.collect_list(F.struct("place", F.struct("score", "id")))).alias("lattice"))
 
 
 def _merge_fold(longest: int) -> Column:
@@ -97,17 +102,22 @@ VITERBI_CUTS = """aggregate(sequence(1, length(word)), array(length(word)), (cut
 
 
 def fold(lattices: DataFrame, model: Model, longest: int) -> DataFrame:
-    """(word, cuts, ids): piece ids between the cuts, NULL where no piece fits (the caller falls back to bytes)."""
+    """(word, chunks, cuts, ids): piece ids between the cuts, NULL where no piece fits (the caller falls back to bytes).
+
+    ``cuts`` is NULL where all ids are known, since only the fallback needs it.
+    """
     if model.kind == "bpe":
         cut = lattices.withColumn("cuts", _merge_fold(longest))
     else:
         least = min(s for _, _, s in model.pieces())
         cut = lattices.withColumn("best", _viterbi_fold(longest, least - 10)).withColumn("cuts", F.expr(VITERBI_CUTS)).drop("best")
     ids = F.expr("transform(slice(cuts, 1, size(cuts) - 1), (c, i) -> lattice[c * 64 + cuts[i + 1] - c].id)")
-    return cut.select("word", "cuts", ids.alias("ids"))
+    return cut.withColumn("ids", ids).select("word", "chunks", F.when(F.exists("ids", lambda i: i.isNull()), F.col("cuts")).alias("cuts"), "ids")
 
 
-def with_bytes(word: str, cuts: list[int], ids: list[int | None], byte_ids: list[int], unknown: int) -> list[int]:
+def with_bytes(word: str, cuts: list[int] | None, ids: list[int | None], byte_ids: list[int], unknown: int) -> list[int]:
+    if cuts is None:
+        return ids
     out: list[int] = []
     for start, end, one in zip(cuts, cuts[1:], ids):
         if one is not None:
@@ -197,8 +207,8 @@ def encode(docs: DataFrame, model: Model, row_id: str = "doc_id", text: str = "t
     asked = base.groupBy("_chunk").applyInArrow(ask, "chunk int, word string")
     waiting = asked.groupBy("word").agg(F.collect_list("chunk").alias("chunks"))  # at most one entry per chunk
     table_rows = spark.createDataFrame(pieces, "piece string, id int, score double")
-    folded = fold(edges(waiting.select("word"), table_rows, longest), model, longest)
-    answers = waiting.join(folded, "word").select(F.explode("chunks").alias("chunk"), "word", "cuts", "ids")
+    folded = fold(edges(waiting, table_rows, longest), model, longest)
+    answers = folded.select(F.explode("chunks").alias("chunk"), "word", "cuts", "ids")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return base.groupBy("_chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, f"{schema}, ids array<int>")
 
