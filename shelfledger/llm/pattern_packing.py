@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -20,6 +21,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from shelfledger.llm import textblock as B
 from shelfledger.llm.shared import cut
@@ -27,6 +29,7 @@ from shelfledger.llm.shared import cut
 CAPACITY = 1024
 END_ID = 2
 TEXT_MARK, TEXT_MARK_ID = "<|endoftext|>", 50256  # the vocabulary's one special token; its string in a text gets its id
+LONG_BLANKS = 10_000  # a run of so many blanks is left to the library of the JSON file: the rank file's overflows its stack on a million
 STEPS = 400  # of the least-squares fit
 ROWS_PER_LIST = 50_000
 
@@ -40,7 +43,18 @@ def _encoder(ranks_path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={TEXT_MARK: TEXT_MARK_ID})
 
 
-def encode(text: str, ranks_path: str, pattern: str) -> list[int]:
+@cache
+def _whole(json_path: str) -> Tokenizer:
+    return Tokenizer.from_file(json_path)
+
+
+_BLANKS = re.compile(rf"(?<!\s)\s{{{LONG_BLANKS}}}")
+
+
+def encode(text: str, ranks_path: str, pattern: str, json_path: str) -> list[int]:
+    """The ids of the JSON file's tokenizer; the rank file holds the same vocabulary."""
+    if len(text) >= LONG_BLANKS and _BLANKS.search(text):
+        return _whole(json_path).encode(text, add_special_tokens=False).ids
     encoder = _encoder(ranks_path, pattern)
     return encoder.encode(text, allowed_special="all") if TEXT_MARK in text else encoder.encode_ordinary(text)
 
@@ -51,8 +65,8 @@ def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, min(first, n))] + [(s, capacity) for s in range(first, n, capacity)]
 
 
-def tokenize(docs: DataFrame, ranks_path: str, pattern: str, row_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY,
-             keep_ids: bool = False) -> DataFrame:
+def tokenize(docs: DataFrame, ranks_path: str, pattern: str, json_path: str, row_id: str = "doc_id", text: str = "text",
+             capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """One row per piece: row_id, piece, start, length, ids_crc32 and, if asked for, ids.
 
     A NULL text counts as empty and gives one piece with the end id alone.
@@ -63,7 +77,7 @@ def tokenize(docs: DataFrame, ranks_path: str, pattern: str, row_id: str = "doc_
         for batch in B.slabs(batches, "text"):
             out = defaultdict(list)
             for row, (key, value) in enumerate(zip(batch["id"].to_pylist(), batch["text"].to_pylist())):
-                ids = np.array([*encode(value or "", ranks_path, pattern), END_ID], "<u4")
+                ids = np.array([*encode(value or "", ranks_path, pattern, json_path), END_ID], "<u4")
                 for number, (start, length) in enumerate(cut_points(len(ids), capacity)):
                     part = ids[start:start + length]
                     for name, x in zip(("id", "piece", "start", "length", "crc"), (key, number, start, length, zlib.crc32(part.tobytes()))):

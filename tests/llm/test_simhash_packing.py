@@ -141,6 +141,12 @@ def test_packing_odd_rows(spark, tokenizer):
     assert len(twice) == len({(r["sequence_id"], r["offset"]) for r in twice}) == 4
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", " \n\t\u3000"])
+def test_packing_of_very_long_blanks(spark, tokenizer, blank):
+    texts = {1: "a" + blank * (1_200_000 // len(blank)) + "x <|endoftext|>", 2: "few words"}
+    check_packing(Q.packed(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect(), texts, tokenizer)
+
+
 def test_plan_is_close_to_the_bound():
     rng = np.random.default_rng(3)
     lengths = np.minimum(1024, np.maximum(2, rng.lognormal(5.6, 1.0, 200_000).astype(int)))
