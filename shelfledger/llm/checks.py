@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfledger.llm import quality_lines, rlz_dedup
+from shelfledger.llm import minmax_hash, quality_lines, rlz_dedup
 
 WORDS = r"""w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents)"""
 
@@ -42,3 +42,17 @@ QUALITY = rf"""WITH {WORDS},
 SELECT *, n_words < {quality_lines.MIN_WORDS} OR 100 * n_repeat_words > {quality_lines.MAX_REPEAT_PERCENT} * n_words AS base_failed,
  NOT (n_words < {quality_lines.MIN_WORDS} OR 100 * n_repeat_words > {quality_lines.MAX_REPEAT_PERCENT} * n_words)
  AND NOT lost_chars * 100 > word_chars * {_R.max_lost_percent} AS kept FROM c"""
+
+MINMAX_GROUPS = rf"""WITH RECURSIVE w AS (SELECT DISTINCT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + {minmax_hash.SHINGLE - 1}], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - {minmax_hash.SHINGLE - 2}))) AS i FROM w WHERE len(ws) > 0)),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+ common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+ alike AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  WHERE {minmax_hash.BOUND.of} * c >= {minmax_hash.BOUND.alike} * (x.n + y.n - c)),
+ edges AS (SELECT a, b FROM alike UNION ALL SELECT b, a FROM alike),
+ reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a),
+ least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents JOIN least USING (doc_id) LEFT JOIN n USING (doc_id)"""

@@ -1,9 +1,7 @@
-"""Near copies by word shingles: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+"""Near copies in the pipeline: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates are texts that agree on one band of min-hashes; every candidate is checked exactly on the sets before it links.  First
-each text is checked against the smallest node of each of its bands, which joins tight groups at the cost of their size.  Then all
-pairs of a band that are still in different groups are checked, so that the groups are those of all pairs of all bands.
-A pair at 0.8 shares no band with probability (1 - 0.8 ** ROWS) ** BANDS, three in a million.
+SimHash fingerprints of the sets, searched through vantage-point shards, propose the closest pairs; at 0.8 fingerprints differ by 13
+bits or so, too far for them, so min-max bands propose the rest.  Every link is checked on the sets (``alike``).
 """
 
 from __future__ import annotations
@@ -12,144 +10,73 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfledger.llm import alike as A
 from shelfledger.llm import textblock as B
-from shelfledger.llm.shared import cut
-from shelfledger.llm.vp_simhash import components
+from shelfledger.llm import vp_simhash
+from shelfledger.llm.minmax_hash import BANDS, band_keys
+from shelfledger.llm.shared import cut, free_name
 
 SHINGLE = 5
-ALIKE, OF = 8, 10  # similar from ALIKE / OF on
-BANDS, ROWS = 32, 5
-_FACTORS = np.random.default_rng(128).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-
-
-def shingle_sets(column: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted different shingle hashes of all texts, one after the other, and their bounds; a shorter text is one shingle."""
-    block, bounds = B.utf8(column)
-    starts, ends, first = B.words(block, bounds)
-    counts = np.diff(first)
-    number = np.where(counts >= shingle, counts - shingle + 1, np.minimum(counts, 1))
-    owner = np.repeat(np.arange(len(counts)), number)
-    at = np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number) + first[owner]
-    word = B.range_hashes(B.BYTE_VALUE[_LOWER[block]], starts, ends)
-    hashes = B.range_hashes(word, at, np.minimum(at + shingle, first[owner + 1]))
-    order = np.lexsort((hashes, owner))
-    owner, hashes = owner[order], hashes[order]
-    new = np.ones(len(hashes), bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-    owner, hashes = owner[new], hashes[new]
-    return hashes, np.searchsorted(owner, np.arange(len(counts) + 1))
-
-
-def nodes_of(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """One 64-bit digest per set."""
-    return B.range_hashes(hashes, bounds[:-1], bounds[1:]).view(np.int64)
-
-
-def band_keys(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A row of ``BANDS`` keys per set that is not empty."""
-    starts = bounds[:-1][np.diff(bounds) > 0]
-    keys = np.empty((len(starts), BANDS), np.uint64)
-    for band in range(BANDS):
-        key = np.full(len(starts), band, np.uint64)
-        for factor in _FACTORS[band * ROWS:(band + 1) * ROWS]:
-            mixed = hashes * factor
-            mixed ^= mixed >> np.uint64(32)
-            mixed *= factor
-            key = B.mix(key + np.minimum.reduceat(mixed, starts))
-        keys[:, band] = key
-    return keys.view(np.int64)
+BOUND = A.Bound(8, 10)
 
 
 def sketches(docs: DataFrame, row_id: str, text: str) -> DataFrame:
-    """(id, node, size, keys) of every row; a text without words has no keys."""
+    """(id, node, size, fp, keys) of every row; a text without words has fingerprint 0 and no keys."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in B.slabs(batches, "text", 1 << 20):
-            hashes, bounds = shingle_sets(batch["text"])
+            hashes, bounds = A.shingle_sets(batch["text"], SHINGLE)
             sizes = np.diff(bounds)
-            keys = band_keys(hashes, bounds) if len(hashes) else np.zeros((0, BANDS), np.int64)
-            offsets = np.concatenate([[0], np.cumsum((sizes > 0) * BANDS)]).astype(np.int32)
+            keys = band_keys(hashes, bounds) if len(hashes) else np.zeros((0, 2 * BANDS), np.int64)
+            offsets = np.concatenate([[0], np.cumsum((sizes > 0) * 2 * BANDS)]).astype(np.int32)
+            fps = vp_simhash.majority(hashes, np.repeat(np.arange(len(sizes)), sizes), sizes)
             yield pa.RecordBatch.from_arrays(
-                [batch["id"], pa.array(nodes_of(hashes, bounds)), pa.array(sizes, pa.int32()),
-                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))], ["id", "node", "size", "keys"])
+                [batch["id"], pa.array(A.nodes_of(hashes, bounds)), pa.array(sizes, pa.int32()), pa.array(fps.view(np.int64)),
+                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))], ["id", "node", "size", "fp", "keys"])
 
     kind = docs.schema[row_id].dataType.simpleString()
     return (docs.select(F.col(row_id).alias("id"), F.col(text).alias("text"))
-            .mapInArrow(work, f"id {kind}, node bigint, size int, keys array<bigint>"))
+            .mapInArrow(work, f"id {kind}, node bigint, size int, fp bigint, keys array<bigint>"))
 
 
-def alike(a: bytes, b: bytes) -> bool:
-    """Whether two sets (sorted 64-bit hashes) reach the similarity."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    both = np.sort(np.concatenate([x, y]), kind="stable")
-    common = int((both[1:] == both[:-1]).sum())
-    return OF * common >= ALIKE * (len(both) - common)
-
-
-def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are alike."""
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = [alike(x.as_py(), y.as_py()) for x, y in zip(batch["set_a"], batch["set_b"])]
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    left, right = (sets.select(F.col("node").alias(n), F.col("set").alias(f"set_{n}")) for n in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(work, "a bigint, b bigint")
-
-
-def sets_of(docs: DataFrame, ids: DataFrame, row_id: str, text: str) -> DataFrame:
-    """(node, set) of the rows whose id is in ``ids``, one for each node."""
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in B.slabs(batches, "text", 1 << 20):
-            hashes, bounds = shingle_sets(batch["text"])
-            parts = [hashes[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes_of(hashes, bounds)), pa.array(parts, pa.binary())], ["node", "set"])
-
-    rows = docs.select(F.col(row_id).alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi").select("text")
-    return rows.mapInArrow(work, "node bigint, set binary").groupBy("node").agg(F.min("set").alias("set"))
+def close_fingerprints(nodes: DataFrame) -> DataFrame:
+    """(a, b) nodes of equal fingerprints, and of fingerprints that the vantage-point search links."""
+    leads = cut(nodes.filter("size > 0").groupBy("fp").agg(F.min("node").alias("lead")))
+    equal = nodes.join(leads, "fp").filter("lead < node").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    linked = vp_simhash.links(leads.select("fp"))
+    for end in "ab":
+        linked = linked.join(leads.select(F.col("fp").alias(end), F.col("lead").alias(f"node_{end}")), end)
+    return equal.unionByName(linked.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
 
 
 def groups(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(row_id, component_id): the smallest id reachable over links of alike texts, the row's own included.
 
-    Texts without words are alike.  A NULL id is never the smallest; a component of NULL ids alone has a NULL component.
+    Texts without words are alike.  A NULL id is never the smallest; a component of NULL ids alone has a NULL component.  An empty
+    table gives an empty table; a very long text is one set in one task.
     """
     marked = cut(sketches(docs, row_id, text))
-    nodes = marked.groupBy("node").agg(F.min("id").alias("first"), F.first("size").alias("size"), F.first("keys").alias("keys"))
-    keyed = nodes.select("node", "size", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead < last")
-    members = cut(keyed.join(shared, "key").select("key", "node", "size", "lead"))
-    close = f"least(a_size, b_size) * {OF} >= greatest(a_size, b_size) * {ALIKE}"  # else too different in size
-    sizes = members.select("node", "size").distinct()
-    ids = nodes.join(sizes.select("node"), "node", "left_semi").select(F.col("first").alias("id")).distinct()
-    sets = cut(sets_of(docs, ids, row_id, text))
-    stars = (members.filter("lead < node").select(F.col("lead").alias("a"), F.col("node").alias("b"), F.col("size").alias("b_size")).distinct()
-             .join(sizes.select(F.col("node").alias("a"), F.col("size").alias("a_size")), "a").filter(close).select("a", "b"))
-    near = cut(checked(stars, sets))
-    roots = components(near)
-    placed = members.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low < _high").select("key")
-    open_ = cut(placed.join(mixed, "key", "left_semi"))
-    a, b = (open_.select("key", *[F.col(c).alias(f"{n}_{c}") for c in ("node", "size", "root")]) for n in "ab")
-    rest = (a.join(b, "key").filter("a_node < b_node AND a_root <> b_root").filter(close)
-            .select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct())
-    linked = near.unionByName(checked(rest.join(stars, ["a", "b"], "left_anti"), sets))
-    rooted = nodes.select("node", "first").join(components(linked), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    best = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(best, "root").select("node", "component_id")
+    nodes = marked.groupBy("node").agg(F.min("id").alias("first"), *[F.first(c).alias(c) for c in ("size", "fp", "keys")])
+    members = A.band_members(nodes)
+    proposed = cut(close_fingerprints(nodes.select("node", "size", "fp")))
+    asked = members.select("node").unionByName(proposed.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    ids = nodes.join(asked, "node", "left_semi").select(F.col("first").alias("id")).distinct()
+    sets = cut(A.sets_of(docs, ids, row_id, text, SHINGLE))
+    named = A.named_groups(nodes, A.links(members, sets, BOUND, proposed))
     return marked.select(F.col("id").alias(row_id), "node").join(named, "node").select(row_id, "component_id")
 
 
 def keep_one(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The document of smallest id of each group; rows with the same id count as one document, and any one of them stays.
+    """The document of smallest id of each group; of rows with the same id, the one of least text (NULL first, then least as JSON) stays.
 
-    A row with a NULL id stays, since it can't be named by its group.
+    Rows with the same id count as one document.  A row with a NULL id stays, since it can't be named by its group.
     """
     found = groups(docs.filter(F.col(row_id).isNotNull()), row_id, text)
     keepers = found.filter(F.col(row_id) == F.col("component_id")).select(row_id).distinct()
     nameless = docs.filter(F.col(row_id).isNull())
-    return docs.join(keepers, row_id, "left_semi").dropDuplicates([row_id]).unionByName(nameless).select(docs.columns)
+    place = free_name(docs, "_place")
+    first = Window.partitionBy(row_id).orderBy(text, F.to_json(F.struct(*docs.columns)))
+    kept = docs.join(keepers, row_id, "left_semi").withColumn(place, F.row_number().over(first)).filter(F.col(place) == 1)
+    return kept.select(docs.columns).unionByName(nameless)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfledger.llm import (checks, hilbert_ann, histogram_sort, pattern_packing, piece_lattice, pii_boost, quality_lines,
+from shelfledger.llm import (checks, hilbert_ann, histogram_sort, minmax_hash, pattern_packing, piece_lattice, pii_boost, quality_lines,
                              rlz_dedup, suffix_dedup, trigram_secrets, vp_simhash)
 from shelfledger.llm.shared import read_documents, text_of
 
@@ -112,3 +112,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = piece_lattice.decode(piece_lattice.encode(read_documents(spark, sf_dir).select("doc_id", "text"), model), model)
     return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), F.crc32(F.array_join("ids", ",")).alias("ids_crc32"),
                         (F.col("decoded") == text_of()).alias("round_trip"))
+
+
+@register("op11_minmax_groups", checks.MINMAX_GROUPS)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minmax_hash.groups(read_documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))

@@ -44,3 +44,11 @@ def hash_sample(df: DataFrame, row_id: str, about: int) -> DataFrame:
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many more underscores in front as it takes to meet no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

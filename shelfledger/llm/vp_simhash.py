@@ -54,13 +54,18 @@ def fingerprint_block(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     last = np.minimum(at + shingle, first[owner + 1]) - 1
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(text[a:b], SEED) for a, b in zip(new_starts[at].tolist(), new_ends[last].tolist())), np.uint64, len(at))
-    votes = np.zeros((rows, 64), np.int64)
+    return majority(hashes, owner, shingles)
+
+
+def majority(hashes: np.ndarray, owner: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Per row a fingerprint: a bit is 1 if more than half of the row's ``counts`` hashes have it; ``owner`` is each hash's row, ascending."""
+    votes = np.zeros((len(counts), 64), np.int64)
     for low in range(0, len(hashes), 1 << 15):
         part, who = hashes[low:low + (1 << 15)], owner[low:low + (1 << 15)]
         bits = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         cuts = np.flatnonzero(np.diff(who, prepend=-1))
         votes[who[cuts]] += np.add.reduceat(bits, cuts, axis=0, dtype=np.int32)
-    won = votes * 2 > shingles[:, None]
+    won = votes * 2 > counts[:, None]
     return np.packbits(won, axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
 
 
@@ -217,16 +222,5 @@ def groups(docs: DataFrame, row_id: str = "doc_id", text: str = "text", distance
     return marked.join(named, "fp").select(row_id, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The document of smallest id of each group; rows with the same id count as one document, and any one of them stays.
-
-    A row with a NULL id stays, since it can't be named by its group.
-    """
-    found = groups(docs.filter(F.col(row_id).isNotNull()), row_id, text)
-    keepers = found.filter(F.col(row_id) == F.col("component_id")).select(row_id).distinct()
-    nameless = docs.filter(F.col(row_id).isNull())
-    return docs.join(keepers, row_id, "left_semi").dropDuplicates([row_id]).unionByName(nameless).select(docs.columns)
-
-
 def fingerprint_text(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")

@@ -7,8 +7,9 @@ import public_tokenizers
 import pytest
 from test_dedup import brute_words
 from test_native import base_counts
+from test_near_copies import brute_roots, shingles
 from test_pii import brute
-from test_simhash_packing import brute_components, check_packing, fingerprint
+from test_simhash_packing import check_packing
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -59,8 +60,9 @@ def folder(spark, tmp_path_factory):
     rng = random.Random(21)
     vocabulary = [f"word{i}" for i in range(900)]
     words = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    edited = lambda text, n: " ".join([*text.split()[:30], *words(n), *text.split()[30 + n:]])  # 16 words: alike, though fingerprints differ
     passage, original = " ".join(words(60)), " ".join(words(200))
-    texts = [None, "", "too short", original, *[original] * 15, original.replace("word1 ", "other ", 1), "same again and again " * 40]
+    texts = [None, "", "too short", original, *[original] * 15, original.replace("word1 ", "other ", 1), edited(original, 16), edited(original, 60), "same again and again " * 40]
     for i in range(40):
         body = " ".join(words(80)) + ("\nHome | Shop | News | Help\n" if i % 5 == 0 else "\n") + " ".join(words(60))
         texts.append(body + (f"\n{passage} " if i % 3 == 0 else " ") + (f"mail a.b{i}@host.example or +1 (555) 123-45{i:02d}" if i % 4 == 0 else "end"))
@@ -77,8 +79,8 @@ def test_pipeline_against_plain_stages(spark, folder):
         if after == "quality":
             rows = {d: c for d, t in rows.items() if (c := plain_clean(t)) is not None}
         elif after == "near":
-            roots = brute_components({d: fingerprint(t) for d, t in rows.items()})
-            rows = {d: t for d, t in rows.items() if roots[d] == d}
+            roots = brute_roots(list(rows.items()))
+            rows = {d: t for d, t in rows.items() if roots[shingles(t)] == d}
         elif after == "substring":
             ordered = sorted(rows.items())
             kept = [k for _, _, k in brute_words(ordered)]
@@ -117,3 +119,22 @@ def test_pipeline_against_plain_stages(spark, folder):
 def test_pipeline_of_nothing(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_each_stage_runs_once(spark, folder, monkeypatch):
+    """One pass over what each stage returns: rows counted in the tasks that make them."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    counts = [spark.sparkContext.accumulator(0) for _ in corpus_pipeline.STAGES[:-1]]
+
+    def counted(stage, seen):
+        def work(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return lambda s, d, f: (found := stage(s, d, f)).mapInArrow(work, found.schema)
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, counted(f, c)) for (n, f), c in zip(corpus_pipeline.STAGES, counts)] + corpus_pipeline.STAGES[-1:])
+    packed = corpus_pipeline.run(spark, folder)
+    assert 0 < packed.select("doc_id").distinct().count() <= counts[-1].value <= counts[1].value < counts[0].value < docs.count()
+    assert counts[1].value == counts[2].value == counts[3].value
