@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from shelfledger.llm import near_copies, pii_boost, quality_lines, rlz_dedup
 from shelfledger.llm.queries import packed
+from shelfledger.llm.shared import cut
 
 ORACLE_SQL = None  # fingerprints, groups and packing are outside SQL; tests hold run() against a brute-force version
 
@@ -20,15 +21,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    """The document of smallest id of each group of near copies: SimHash links and wider ones, five-word shingles at 0.8 or more."""
     return near_copies.keep_one(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the words of passages that a document of smaller id has."""
     names = docs.columns
-    cut = rlz_dedup.dedup(docs).withColumn("text", F.when(F.col("text").isNotNull(), F.col("kept_text")))
-    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(names)
+    parted = rlz_dedup.dedup(docs).withColumn("text", F.when(F.col("text").isNotNull(), F.col("kept_text")))
+    if "n_chars" in names:
+        parted = parted.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return parted.select(names)
 
 
 def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +48,8 @@ STAGES = [("quality", quality), ("near_dedup", near_dedup), ("substring_dedup",
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what a stage returns is written once to the shared folder, so that no stage runs twice."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
