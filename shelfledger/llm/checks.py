@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfledger.llm import minmax_hash, quality_lines, rlz_dedup
+from shelfledger.llm import minmax_hash, ptolemaic_clusters, quality_lines, rlz_dedup
 
 WORDS = r"""w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents)"""
 
@@ -56,3 +56,26 @@ MINMAX_GROUPS = rf"""WITH RECURSIVE w AS (SELECT DISTINCT doc_id, regexp_extract
  least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM documents JOIN least USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+_P = ptolemaic_clusters
+
+
+def _clusters() -> str:
+    """Lloyd rounds by comparing every vector with every centroid."""
+    parts = [f"""v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({_P.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = {_P.WIDTH} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(CAST(x AS DOUBLE)))) = {_P.WIDTH})""",
+             f"""c0 AS (SELECT CAST(row_number() OVER (ORDER BY h) - 1 AS INTEGER) AS c, x FROM
+  (SELECT sha256('1:' || vec_id) AS h, x FROM v ORDER BY h LIMIT {_P.CLUSTERS}))"""]
+    for r in range(_P.ROUNDS + 1):
+        parts.append(f"""a{r} AS (SELECT vec_id, any_value(v.x) AS x, min((list_sum(list_transform(list_zip(v.x, k.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), c)) AS b
+  FROM v, c{r} k GROUP BY vec_id)""")
+        if r < _P.ROUNDS:
+            parts.append(f"""s{r} AS (SELECT b[2] AS c, unnest(range({_P.WIDTH})) AS i, unnest(x) AS y FROM a{r}),
+ m{r} AS (SELECT c, i, CAST(floor(CAST(sum(y) AS DOUBLE) / count(*)) AS BIGINT) AS y FROM s{r} GROUP BY c, i),
+ c{r + 1} AS (SELECT k.c, coalesce(n.x, k.x) AS x FROM c{r} k LEFT JOIN (SELECT c, list(y ORDER BY i) AS x FROM m{r} GROUP BY c) n ON n.c = k.c)""")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, CAST(b[2] AS INTEGER) AS cluster, CAST(b[1] AS BIGINT) AS distance, CAST(sum(b[1]) OVER (PARTITION BY b[2]) AS BIGINT) AS cluster_inertia,
+ CAST(sum(b[1]) OVER () AS BIGINT) AS inertia, sha256(array_to_string(k.x, ',')) AS centroid_sha256 FROM a{_P.ROUNDS} a JOIN c{_P.ROUNDS} k ON k.c = a.b[2]"""
+
+
+CLUSTERS = _clusters()

@@ -26,7 +26,7 @@ from shelfledger.llm.shared import cut
 
 WIDTH, SCALE = 64, 64
 CLUSTERS, ROUNDS = 16, 3
-PIVOTS = 8
+PIVOTS = 6
 SAFE = 1 << 29  # components below this have squared distances of up to 64 terms below 2**63; larger ones are counted in Python's integers
 
 
@@ -78,7 +78,7 @@ class Pivots:
         for i, j, gap in self.pairs:
             one, two = mine[:, i, None] * theirs[None, :, j], mine[:, j, None] * theirs[None, :, i]
             np.maximum(best, (np.abs(one - two) - (one + two) * 2.0 ** -36) / gap, out=best)
-        return best * best * (1 - 2.0 ** -36)
+        return np.nan_to_num(best * best * (1 - 2.0 ** -36), nan=0, posinf=0)  # beyond the range of doubles a bound says nothing
 
 
 def nearest(x: np.ndarray, near_pivots: np.ndarray, centroids: np.ndarray, pivots: Pivots) -> tuple[np.ndarray, np.ndarray, int]:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfledger.llm import (checks, hilbert_ann, histogram_sort, minmax_hash, pattern_packing, piece_lattice, pii_boost, quality_lines,
-                             rlz_dedup, suffix_dedup, trigram_secrets, vp_simhash)
+from shelfledger.llm import (checks, hilbert_ann, histogram_sort, minmax_hash, pattern_packing, piece_lattice, pii_boost, ptolemaic_clusters, quality_lines,
+                             rlz_dedup, suffix_dedup, trigram_secrets, turn_repair, vp_simhash)
 from shelfledger.llm.shared import read_documents, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +119,19 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minmax_hash.groups(read_documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+@register("op12_ptolemaic_clusters", checks.CLUSTERS)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ptolemaic_clusters.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
+@register("op13_turn_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    repaired = turn_repair.repair(turn_repair.damage(rows))
+    found = repaired.figures().join(repaired.digests(), "key")
+    whole = rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("name")), "left")
+    counts = [F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    nothing = hashlib.sha256(b"").hexdigest()
+    return whole.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(nothing)).alias("repaired_sha256"))
