@@ -11,6 +11,7 @@ from shelfledger import fixed_values as V
 from shelfledger.functions import text as T
 from shelfledger.operators.history import SERIES, week_change
 from shelfledger.operators.latest import latest_per_key
+from shelfledger.operators.rule_index import with_hits
 
 
 def count_if(condition: Column) -> Column:
@@ -201,12 +202,10 @@ def coverage_audit(sources: DataFrame, catalog: DataFrame, prices: DataFrame, is
     return out
 
 
-def rule_conflicts(names: DataFrame, rules: Sequence[tuple[str, str]], own: str | None = None) -> DataFrame:
-    """Distinct names hit by none or several rules, with the rules they hit; with ``own`` (the column that names each
+def rule_conflicts(names: DataFrame, index: DataFrame, own: str | None = None) -> DataFrame:
+    """Distinct names hit by none or several rules of ``index``, with the rules they hit; with ``own`` (the column that names each
     row's rule) also names that hit one foreign rule."""
-    from shelfledger.functions.product import rule_hits
-    hits = rule_hits(F.col("name"), rules)
-    judged = names.select("name", *([own] if own else [])).distinct().withColumn("hits", hits)
+    judged = with_hits(names.select("name", *([own] if own else [])).distinct(), index, "name")
     foreign = F.get("hits", F.lit(0)) != F.coalesce(F.col(own), F.lit("")) if own else F.lit(False)
     return judged.filter((F.size("hits") != 1) | foreign)
 

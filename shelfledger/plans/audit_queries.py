@@ -10,10 +10,12 @@ from shelfledger.functions.product import shop_colors
 from shelfledger.operators import audit as A
 from shelfledger.operators import carry, tracking
 from shelfledger.operators import history as H
+from shelfledger.operators.rule_index import rule_index
 from shelfledger.plans.carriers import catalog, observations, run_headers, sql_list
 from shelfledger.plans.history_queries import DAY, stamp
 from shelfledger.plans.matrix_queries import TRACKED, tracked
 from shelfledger.plans.registry import query
+from shelfledger.sources.rules import rule_rows
 
 CHAIN_ROWS = "chains AS (SELECT unnest(" + sql_list(V.CHAIN_NAMES) + ") AS chain)"
 ASOF = f"""dated AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chain, sku ORDER BY observed_at DESC, seq) AS rn
@@ -186,7 +188,7 @@ def _(spark, sf):
 FROM cat WHERE i >= 36 OR model = 'AirPods Max'""", "cat")
 def _(spark, sf):
     names = catalog(spark, sf).select(F.col("product_name").alias("name"), "model")
-    return A.rule_conflicts(names, V.MODEL_RULES, "model").select("name", F.array_join("hits", "|").alias("hits"))
+    return A.rule_conflicts(names, rule_index(rule_rows(spark, V.MODEL_RULES)), "model").select("name", F.array_join("hits", "|").alias("hits"))
 
 
 @query("jon12_variant_select", f"""WITH {TRACKED}, p AS (SELECT DISTINCT model, color, variant_id AS code FROM cat),

@@ -9,9 +9,11 @@ from shelfledger.functions import product as P
 from shelfledger.operators import history as H
 from shelfledger.operators import matrix as X
 from shelfledger.operators import quality as Q
+from shelfledger.operators.rule_index import only_hit, rule_index, with_hits
 from shelfledger.plans.carriers import MODELS, catalog, observations, sql_list
 from shelfledger.plans.history_queries import DAY
 from shelfledger.plans.registry import query
+from shelfledger.sources.rules import rule_rows
 
 ASOF = f"""dated AS (SELECT *, CASE WHEN starts_with(model, 'MacBook') THEN array_to_string(list_sort(list_filter(
  [display_variant, 'RAM 16GB'], lambda x: x <> '')), ' · ') ELSE display_variant END AS variant FROM (
@@ -221,7 +223,6 @@ def _(spark, sf):
 @query("jon10_rule_match", """SELECT seq, CASE WHEN i < 36 AND model <> 'AirPods Max' THEN model END AS label,
  CAST(CASE WHEN model = 'AirPods Max' THEN 0 WHEN i < 36 THEN 1 WHEN i = 38 THEN 2 ELSE 0 END AS BIGINT) AS hits FROM obs""", "obs")
 def _(spark, sf):
-    hits = P.rule_hits(F.col("product_name"), V.MODEL_RULES)
-    rows = observations(spark, sf).select("seq", hits.alias("h"))
-    return rows.select("seq", F.when(F.size("h") == 1, F.get("h", F.lit(0))).alias("label"),
-                       F.size("h").cast("bigint").alias("hits"))
+    rows = observations(spark, sf).select("seq", "product_name")
+    return with_hits(rows, rule_index(rule_rows(spark, V.MODEL_RULES))).select(
+        "seq", only_hit().alias("label"), F.size("hits").cast("bigint").alias("hits"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from shelfledger import fixed_values as V
 from shelfledger.functions import calendar as cal
 from shelfledger.operators import quality as Q
+from shelfledger.operators.rule_index import rule_index
 from shelfledger.plans.audit_queries import issues
 from shelfledger.plans.carriers import catalog, observations, run_headers, run_rows
 from shelfledger.plans.history_queries import LAST_DAY, stamp, text_date
@@ -16,7 +17,7 @@ from shelfledger.plans.registry import query
 from shelfledger.session import shared_folder
 from shelfledger.sinks import tables as S
 from shelfledger.sources import artifacts
-from shelfledger.sources.rules import label_by_brand, rules_by_brand
+from shelfledger.sources.rules import label_by_brand, read_rule_files, rule_rows
 
 
 def folder(spark) -> str:
@@ -172,11 +173,15 @@ def _(spark, sf):
     return artifacts.attach_run(rows, heads).select("seq", text_date("business_date"), text_date("week_start"))
 
 
-def rule_table(spark):
-    rows = [("Apple", name, pattern) for name, pattern in V.MODEL_RULES]
-    return spark.createDataFrame(rows, "brand string, name string, pattern string")
+def rule_files(spark):
+    """The rule index of rule files: one JSON document per brand, written and read back."""
+    path = folder(spark)
+    rules = rule_rows(spark, V.MODEL_RULES)
+    document = rules.agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "name", "pattern"))), lambda r: F.struct(r["name"], r["pattern"])).alias("models"))
+    document.select(F.lit("Apple").alias("brand"), "models").write.json(path)
+    return rule_index(read_rule_files(spark, path), ["brand"])
 
 
 @query("udx2_rules_as_data", """SELECT seq, CASE WHEN i < 36 AND model <> 'AirPods Max' THEN model END AS label FROM obs""", "obs")
 def _(spark, sf):
-    return label_by_brand(observations(spark, sf), rules_by_brand(rule_table(spark))).select("seq", "label")
+    return label_by_brand(observations(spark, sf), rule_files(spark)).select("seq", "label")

@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 from shelfledger.plans.carriers import observation_view, table
 from shelfledger.plans.history_queries import BIG, MOVES, text_date
 from shelfledger.plans.registry import query
-from shelfledger.plans.sink_queries import rule_table
+from shelfledger.plans.sink_queries import rule_files
 from shelfledger.session import shared_folder
-from shelfledger.sources.rules import rules_by_brand
 from shelfledger.streaming import jobs as J
 
 FLAT = ["seq", "chain", "sku", "model", "storage", "display_variant", "color", "brand", "product_name", "observed_at",
@@ -57,5 +56,5 @@ def _(spark, sf):
 @query("str3_stream_rules", """SELECT seq, CASE WHEN i < 36 AND model <> 'AirPods Max' THEN model END AS label FROM obs""", "obs")
 def _(spark, sf):
     path, checkpoint = folders(spark, "labels", "checkpoint")
-    finish(J.stream_labels(stream(spark, sf), rules_by_brand(rule_table(spark)), path, checkpoint))
+    finish(J.stream_labels(stream(spark, sf), rule_files(spark), path, checkpoint))
     return spark.read.parquet(path).select("seq", "label")

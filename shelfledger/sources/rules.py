@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfledger.schemas import PREFERENCE, RULE
 from shelfledger.functions.text import fold
+from shelfledger.operators.rule_index import only_hit, with_hits
 
 
 def read_model_rules(spark: SparkSession, path: str) -> list[tuple[str, str]]:
@@ -44,13 +46,17 @@ def read_brand_scope(spark: SparkSession, path: str) -> list[str]:
     return [r.brand for r in document.filter("version = 1").select(F.explode("brands").alias("brand")).collect()]
 
 
-def rules_by_brand(rules: DataFrame) -> DataFrame:
-    """One row per brand with its rules as an array: a stream or table joined to it is never multiplied."""
-    return rules.groupBy("brand").agg(F.collect_list(F.struct("name", "pattern")).alias("rules"))
+def rule_rows(spark: SparkSession, rules: Sequence[tuple[str, str]]) -> DataFrame:
+    """(position, name, pattern) of a list of rules, in its order."""
+    return spark.createDataFrame([(i, n, p) for i, (n, p) in enumerate(rules)], "position int, name string, pattern string")
 
 
-def label_by_brand(df: DataFrame, grouped: DataFrame) -> DataFrame:
-    """Label by the current rule table: exactly one rule of the row's brand must be found."""
-    joined = df.join(grouped, "brand", "left")
-    hits = F.filter("rules", lambda r: F.rlike(F.col("product_name"), F.concat(F.lit("(?iU)"), r["pattern"])))
-    return joined.withColumn("label", F.when(F.size(hits) == 1, F.get(hits, F.lit(0))["name"])).drop("rules")
+def read_rule_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(brand, position, name, pattern) of all rule files of a folder, one document per brand; positions follow the file."""
+    document = spark.read.option("multiLine", True).schema(f"brand string, models array<{RULE.simpleString()}>").json(folder)
+    return document.select("brand", F.posexplode("models").alias("position", "rule")).select("brand", "position", "rule.name", "rule.pattern")
+
+
+def label_by_brand(df: DataFrame, index: DataFrame) -> DataFrame:
+    """Label by the rule index of the row's brand: exactly one rule must be found."""
+    return with_hits(df, index, "product_name", ["brand"]).withColumn("label", only_hit()).drop("hits")

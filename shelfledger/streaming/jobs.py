@@ -106,9 +106,6 @@ def read_alerts(spark: SparkSession, path: str) -> DataFrame:
     return newest.filter("delta IS NOT NULL")
 
 
-def stream_labels(stream: DataFrame, rules: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Label observations by the current rule table (a stream-static join on brand) and append them."""
-    labelled = label_by_brand(stream, rules)
-    writer = labelled.writeStream.format("parquet").outputMode("append").option("path", path).option(
-        "checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 minute")).start()
+def stream_labels(stream: DataFrame, index: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Label each batch by the rule index of its brand; a repeated batch replaces its own rows."""
+    return _start(stream, lambda batch, batch_id: _write(label_by_brand(batch, index), batch_id, path), checkpoint, once)

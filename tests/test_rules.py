@@ -17,7 +17,8 @@ from shelfledger.operators import movement as M
 from shelfledger.operators import quality as Q
 from shelfledger.operators import tracking
 from shelfledger.sources import payloads
-from shelfledger.sources.rules import label_by_brand, rules_by_brand
+from shelfledger.operators.rule_index import rule_index
+from shelfledger.sources.rules import label_by_brand, rule_rows
 
 
 def values(spark, items, column, kind="string"):
@@ -273,10 +274,10 @@ def test_long_lists_stay_whole(spark):
     assert {r.error for r in errors.collect()} == {"too_many_links", "too_many_colors"}
     rules = [(f"r{i}", rf"\bword{i}\b") for i in range(201)]
     names = spark.createDataFrame([("word7", "r7"), ("word8", "r9"), ("none", "r1")], "name string, own string")
-    assert {(r.name, tuple(r.hits)) for r in audit.rule_conflicts(names, rules, "own").collect()} == {("word8", ("r8",)), ("none", ())}
-    table = spark.createDataFrame([("b", n, p) for n, p in rules], "brand string, name string, pattern string")
+    assert {(r.name, tuple(r.hits)) for r in audit.rule_conflicts(names, rule_index(rule_rows(spark, rules)), "own").collect()} == {("word8", ("r8",)), ("none", ())}
+    table = spark.createDataFrame([("b", i, n, p) for i, (n, p) in enumerate(rules)], "brand string, position int, name string, pattern string")
     assert Q.list_gate(table).first().asDict() == {"entries": 201, "too_many": True}
-    got = label_by_brand(spark.createDataFrame([("b", "a word200 x")], "brand string, product_name string"), rules_by_brand(table))
+    got = label_by_brand(spark.createDataFrame([("b", "a word200 x")], "brand string, product_name string"), rule_index(table, ["brand"]))
     assert got.first().label == "r200"
 
 
