@@ -53,10 +53,25 @@ def plain(markup: Column) -> Column:
     return T.spaced(T.strip_tags(F.coalesce(markup, F.lit(""))))
 
 
+def opened(payloads: DataFrame, fields: str, *prices: str) -> DataFrame:
+    """``payloads`` with ``_p``, the fields of the payload.
+
+    The payload is parsed once, as a VARIANT (``_doc``, if a caller has parsed it already), so a number written as text counts, a field of another
+    kind is missing instead of emptying its object, and unknown fields are ignored.  ``_fault`` is set for broken JSON and for a
+    price (paths ``prices``) that is no number.
+    """
+    rows = payloads if "_doc" in payloads.columns else payloads.withColumn("_doc", F.try_parse_json("payload"))
+    no_number = lambda path: (present(F.try_variant_get("_doc", path, "string")).isNotNull()
+                              & F.try_variant_get("_doc", path, "bigint").isNull())
+    fault = (F.when(F.col("payload").isNotNull() & F.col("_doc").isNull(), "broken_json")
+             .when(reduce(lambda a, b: a | b, map(no_number, prices)), "price_not_number"))
+    return rows.withColumns({"_fault": fault, "_p": F.try_variant_get("_doc", "$", f"struct<{fields}>")})
+
+
 def judged(df: DataFrame, checks: Sequence[tuple[Column, str]], variant: Column, name: Column, color: Column,
            notes: Column, complete: Column | None = None) -> DataFrame:
     """Finish a quote from the working columns ``_sale``, ``_listed`` and ``_status``: first broken rule is the issue."""
-    rules = [*checks, (F.col("_sale").isNull() & F.col("_status").isNull(), "no_price_or_status"),
+    rules = [*((F.col("_fault") == f, f) for f in ("broken_json", "price_not_number")), *checks, (F.col("_sale").isNull() & F.col("_status").isNull(), "no_price_or_status"),
              (F.col("_listed") < F.col("_sale"), "list_below_price")]
     issue = reduce(lambda rest, rule: F.when(F.coalesce(rule[0], F.lit(False)), F.lit(rule[1])).otherwise(rest),
                    reversed(rules), none())
@@ -68,7 +83,7 @@ def judged(df: DataFrame, checks: Sequence[tuple[Column, str]], variant: Column,
         "quoted_price": F.when(ok, F.col("_sale")), "quoted_list": F.when(ok, original),
         "quoted_text": F.when(ok, T.annotate(F.col("_notes"), F.col("_status"))),
         "promotion_complete": F.when(ok, F.lit(True) if complete is None else complete)}).drop(
-        "_sale", "_listed", "_status", "_notes", "_p")
+        "_sale", "_listed", "_status", "_notes", "_p", "_doc", "_fault")
 
 
 # --- CellphoneS ------------------------------------------------------------------------------------------------------
@@ -79,7 +94,7 @@ CPS = """general struct<product_id: string, name: string, url_path: string>,
 
 
 def quotes_cps(payloads: DataFrame) -> DataFrame:
-    rows = payloads.withColumn("_p", F.from_json("payload", CPS))
+    rows = opened(payloads, CPS, "$.filterable.price", "$.filterable.special_price")
     info, general = F.col("_p.filterable"), F.col("_p.general")
     status = F.when(info["stock"] <= 0, "hết hàng tại khu vực mặc định, chưa xác nhận đặt mua.")
     rows = rows.withColumns({
@@ -126,7 +141,7 @@ def _offer_notes(other: Column) -> Column:
 
 
 def quotes_fpt(payloads: DataFrame) -> DataFrame:
-    rows = payloads.withColumn("_p", F.from_json("payload", FPT))
+    rows = opened(payloads, FPT, "$.productAdvanceInfo.finalPrice", "$.productAdvanceInfo.price")
     info, shop, state = F.col("_p.productAdvanceInfo"), F.col("_p.variants"), F.col("_p.productStatus")
     code = F.col("variant_id")
     rows = rows.withColumn("_mine", F.filter(shop["variantResult"]["skus"], lambda v: v["code"] == code))
@@ -177,7 +192,7 @@ PV = f"""product struct<productInfo: struct<sku: string, name: string>, status:
 
 
 def quotes_pv(payloads: DataFrame) -> DataFrame:
-    rows = payloads.withColumn("_p", F.from_json("payload", PV))
+    rows = opened(payloads, PV, "$.product.prices[0].latestPrice", "$.product.prices[0].supplierRetailPrice")
     product = F.col("_p.product")
     info, price = product["productInfo"], F.get(product["prices"], F.lit(0))
     has_price = F.coalesce(F.size(product["prices"]) > 0, F.lit(False))
@@ -226,7 +241,7 @@ def is_limited(price: Column) -> Column:
 
 
 def quotes_mw(payloads: DataFrame) -> DataFrame:
-    rows = payloads.withColumn("_p", F.from_json("payload", MW))
+    rows = opened(payloads, MW, "$.productPrices[0].price", "$.productPrices[0].sysPrice")
     p = F.col("_p")
     prices = F.coalesce(p["productPrices"], F.array())
     rows = rows.withColumns({"_normal": F.filter(prices, lambda x: ~is_limited(x)), "_limited": F.filter(prices, is_limited)})
@@ -288,7 +303,7 @@ def _vt_checks(answer: Column) -> list[tuple[Column, str]]:
 
 
 def quotes_vt(payloads: DataFrame) -> DataFrame:
-    rows = payloads.withColumn("_p", F.from_json("payload", VT))
+    rows = opened(payloads, VT, "$.d.data.Price", "$.d.data.SellPrice")
     p, data = F.col("_p"), F.col("_p.d.data")
     raw = _vt_price(data)
     listed = F.when(money(raw).isNotNull() & (data["Price"] != raw), money(data["Price"]))
@@ -308,7 +323,7 @@ VT_TREE = f"""tree array<struct<Product_ID: string, Rules_ID: string, PreorderPr
 
 def quotes_vt_preorder(payloads: DataFrame) -> DataFrame:
     """Pre-order pages: the variant comes from the product tree (``parent_id`` is the product of the link)."""
-    rows = payloads.withColumn("_p", F.from_json("payload", VT_TREE))
+    rows = opened(payloads, VT_TREE, "$.d.data.Price", "$.d.data.SellPrice")
     mine = F.filter(F.col("_p.tree"), lambda r: (r["Product_ID"] == F.col("parent_id")) & r["Rules_ID"].isNotNull()
                     & r["PreorderProductId"].isNotNull())
     titles = F.array_distinct(F.transform(mine, lambda r: F.trim(r["Title"])))
@@ -332,13 +347,24 @@ QUOTE_COLUMNS = ["quoted_variant", "quoted_name", "quoted_color", "quoted_price"
 
 
 def read_all(payloads: DataFrame, readers: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
-    """Quotes of all chains by the reader registered for each; add a chain by adding its reader."""
-    out = None
-    for chain, reader in (readers or READERS).items():
-        part = reader(payloads.filter(F.col("chain") == chain)).drop("payload")
-        part = part.select(*[c for c in payloads.columns if c != "payload"], *QUOTE_COLUMNS)
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Quotes of all chains in one pass, by the reader registered for each; add a chain by adding its reader.
+
+    Each payload is parsed once and shown to its own chain's reader only.  Every payload gives one row: one of a chain without a reader,
+    or of no chain, has the issue ``no_reader``.
+    """
+    names = [c for c in payloads.columns if c != "payload"]
+    rows = payloads.withColumns({"_all": F.try_parse_json("payload"), "_raw": F.col("payload")})
+    answers = []
+    for number, (chain, reader) in enumerate((readers or READERS).items()):
+        mine = F.col("chain") == chain
+        rows = reader(rows.withColumns({"_doc": F.when(mine, F.col("_all")), "payload": F.when(mine, F.col("_raw"))}))
+        answers.append(f"_answer{number}")
+        rows = rows.withColumn(answers[-1], F.when(mine, F.struct(*QUOTE_COLUMNS))).drop(*QUOTE_COLUMNS)
+    kinds = rows.schema[answers[0]].dataType
+    unread = F.struct(*(F.lit("no_reader" if f.name == "issue" else None).cast(f.dataType).alias(f.name) for f in kinds))
+    out = rows.withColumn("_answer", F.coalesce(*answers, unread)).select(*names, "_answer.*")
+    # The counters also keep filters above from being copied into every reader's rules.
+    return out.observe("payloads", F.count(F.lit(1)).alias("read"), F.count_if(F.col("issue").isNull()).alias("quoted"))
 
 
 def split_quotes(quotes: DataFrame) -> tuple[DataFrame, DataFrame]:
