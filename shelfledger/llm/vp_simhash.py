@@ -25,6 +25,7 @@ SEED = 42
 DISTANCE = 4
 LEVELS = 6  # vantage points of a block; each distance takes four bits of the shard's key
 SMALL = 128  # shards up to this size are compared directly
+TASK_EDGES = 250_000  # edges that one task of the components writes
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _VANTAGE = np.random.default_rng(64).integers(0, 1 << 64, 64, dtype=np.uint64)
@@ -190,21 +191,26 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable, for every node of ``edges`` (a, b); alternating large and small stars.
 
-    No node's neighbours are gathered: each star is a map-side minimum joined back to the edges.
+    No node's neighbours are gathered: each star is a map-side minimum joined back to the edges.  Every step is written by as many
+    tasks as its edges need, so a small graph leaves few shuffle files.
     """
     both = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
+    rows, before = both.count(), None
     while True:
-        around = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        tasks = 1 + rows // TASK_EDGES
+        here = both.coalesce(tasks)
+        around = here.unionByName(here.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(tasks)
         least = around.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = around.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(small_least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        both = cut(moved.unionByName(large.join(small_least, "u").select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
-        now = both.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        large = around.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks).distinct().coalesce(tasks)
+        small_least = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks)
+        moved = large.join(small_least, "u").select("u", F.explode(F.array("v", "u")).alias("w"), F.col("m").alias("v"))
+        moved = moved.select(F.when(F.col("w") == F.col("v"), F.col("u")).otherwise(F.col("w")).alias("u"), "v")
+        both = cut(moved.filter("u <> v").coalesce(tasks).distinct())
+        now = both.coalesce(tasks).agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
-            return both.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(both.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
-        before = now
+            here = both.coalesce(tasks)
+            return here.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(here.select(F.col("v").alias("node"), F.col("v").alias("root"))).coalesce(tasks).distinct()
+        rows, before = now[0], now
 
 
 def groups(docs: DataFrame, row_id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
