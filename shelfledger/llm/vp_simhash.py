@@ -2,13 +2,16 @@
 
 Fingerprints within Hamming distance ``d`` agree on at least one of ``d + 1`` blocks of bits.  In the space of one block the
 two have distance 0, so by the triangle bound they have the same distance to every vantage point: the vector of those distances
-names a shard, each pair meets in at least one shard, and a shard's boundary needs no overlap.  Inside a shard a vantage-point
+names a shard, each pair meets in at least one shard, and a shard's boundary needs no overlap.  Of ``d + k`` smaller blocks they agree on
+at least ``k``; the more fingerprints there are, the more blocks a shard agrees on, so shards stay small.  Inside a shard a vantage-point
 tree on all 64 bits cuts cells ``d + 1`` wide; a cell is compared with itself and the neighbours its boundary overlaps, nothing else.
 A shard yields a spanning forest of its links, never all pairs, and components are joined by alternating stars in Spark.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,12 +26,14 @@ from shelfledger.llm.shared import cut
 SHINGLE = 4
 SEED = 42
 DISTANCE = 4
-LEVELS = 6  # vantage points of a block; each distance takes four bits of the shard's key
+LEVELS = 9  # vantage points of a block; each distance takes five bits of the shard's key
+MOST_AGREED = 4  # 70 keys at most; shards of 32 agreed bits
+KEY_COST, SPLIT = 20, 0.9  # a key costs as much as so many comparisons; the part of a block's bits that its distances tell apart
 SMALL = 128  # shards up to this size are compared directly
 TASK_EDGES = 250_000  # edges that one task of the components writes
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_VANTAGE = np.random.default_rng(64).integers(0, 1 << 64, 64, dtype=np.uint64)
+_VANTAGE = np.random.default_rng(64).integers(0, 1 << 64, 96, dtype=np.uint64)
 
 
 # -- fingerprints ----------------------------------------------------------------------------------------------------------
@@ -87,19 +92,34 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def shard_keys(fp: Column, distance: int = DISTANCE) -> Column:
-    """One key per block: the block's number and its distances to the block's vantage points."""
-    blocks = distance + 1
+def agreed_blocks(rows: int, distance: int = DISTANCE) -> int:
+    """How many blocks a shard agrees on, so that the comparisons of a fingerprint stay about the same however many there are.
+
+    Of ``distance + agreed`` blocks two linked fingerprints share at least ``agreed`` whole ones.  More blocks mean more keys for each
+    fingerprint, but each has more bits, which splits the shards: the cheapest choice for ``rows`` unrelated fingerprints is taken.
+    """
+    def cost(agreed: int) -> float:
+        bits = agreed * 64 // (distance + agreed)
+        return math.comb(distance + agreed, agreed) * (KEY_COST + rows / 2 ** (bits * SPLIT))
+
+    return min(range(1, MOST_AGREED + 1), key=cost)
+
+
+def shard_keys(fp: Column, distance: int = DISTANCE, agreed: int = 1) -> Column:
+    """One key for each choice of ``agreed`` blocks: the choice and the distances of its blocks to their vantage points."""
+    blocks = distance + agreed
     edges = [64 * j // blocks for j in range(blocks + 1)]
-    keys = []
+    places = []
     for j in range(blocks):
         mask = ((1 << edges[j + 1]) - 1) ^ ((1 << edges[j]) - 1)
-        key = F.lit(j).cast("bigint")
+        place = F.lit(j).cast("bigint")
         for level in range(LEVELS):
             seen = F.lit(_signed(int(_VANTAGE[j * LEVELS + level]) & mask))
-            key = F.shiftleft(key, 5) + F.bit_count(fp.bitwiseAND(F.lit(_signed(mask))).bitwiseXOR(seen))
-        keys.append(key)
-    return F.array(*keys)
+            place = F.shiftleft(place, 5) + F.bit_count(fp.bitwiseAND(F.lit(_signed(mask))).bitwiseXOR(seen))
+        places.append(place)
+    if agreed == 1:
+        return F.array(*places)
+    return F.array(*[F.xxhash64(F.lit(i), *chosen) for i, chosen in enumerate(itertools.combinations(places, agreed))])
 
 
 class Forest:
@@ -164,6 +184,7 @@ def shard_links(fps: np.ndarray, keys: np.ndarray, distance: int) -> tuple[np.nd
 
 def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(a, b) links that connect all fingerprints within ``distance`` of each other; ``distinct`` has one row per ``fp``."""
+    agreed = agreed_blocks(distinct.count(), distance)
     def emit(fps: list[np.ndarray], keys: list[np.ndarray]) -> pa.RecordBatch:
         a, b = shard_links(np.concatenate(fps).view(np.uint64), np.concatenate(keys), distance)
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
@@ -184,7 +205,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
         if fps:
             yield emit(fps, keys)
 
-    return (distinct.select("fp", F.explode(shard_keys(F.col("fp"), distance)).alias("key"))
+    return (distinct.select("fp", F.explode(shard_keys(F.col("fp"), distance, agreed)).alias("key"))
             .repartition("key").sortWithinPartitions("key").mapInArrow(work, "a bigint, b bigint").distinct())
 
 

@@ -1,8 +1,11 @@
 """SimHash groups and pattern packing against plain Python."""
 
+import math
+import random
 import re
 import zlib
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 import public_tokenizers
@@ -153,3 +156,46 @@ def test_plan_is_close_to_the_bound():
     runs, sequences = pattern_packing.plan_runs(histogram)
     assert {int(k): int(runs[runs[:, 0] == k, 2].sum()) for k in histogram} == histogram
     assert sequences <= 1.001 * -(-lengths.sum() // 1024)
+
+
+def test_shards_split_as_fingerprints_grow():
+    """Comparisons of a fingerprint inside its shards stay few from a hundred thousand to four million random ones."""
+    rng = np.random.default_rng(1)
+
+    def key_of(fp, blocks, j):
+        mask = np.uint64(((1 << 64 * (j + 1) // blocks) - 1) ^ ((1 << 64 * j // blocks) - 1))
+        seen = [np.bitwise_count((fp & mask) ^ (v & mask)).astype(np.uint64) for v in vp_simhash._VANTAGE[j * vp_simhash.LEVELS:(j + 1) * vp_simhash.LEVELS]]
+        return reduce(lambda key, d: key * np.uint64(65) + d, seen, np.zeros(len(fp), np.uint64))
+
+    for rows in (10 ** 5, 10 ** 6, 4 * 10 ** 6):
+        agreed = vp_simhash.agreed_blocks(rows)
+        fp = rng.integers(0, 1 << 64, rows, dtype=np.uint64)
+        parts = [key_of(fp, vp_simhash.DISTANCE + agreed, j) for j in range(agreed)]  # one of the choices; all are alike
+        _, counts = np.unique(reduce(lambda a, b: a * np.uint64(0x9E3779B97F4A7C15) + b, parts), return_counts=True)
+        pairs = (counts * (counts - 1) // 2).sum() * math.comb(vp_simhash.DISTANCE + agreed, agreed)
+        assert pairs < 40 * rows and counts.max() < 1000
+    assert [vp_simhash.agreed_blocks(n) for n in (1000, 10 ** 6, 10 ** 9)] == [1, 2, 4]
+
+
+@pytest.mark.parametrize("agreed", [1, 2, 3])
+def test_links_at_every_width_of_shards(spark, monkeypatch, agreed):
+    monkeypatch.setattr(vp_simhash, "agreed_blocks", lambda rows, distance: agreed)
+    rng = random.Random(agreed)
+    fps = {rng.getrandbits(64) for _ in range(60)}
+    for f in list(fps):
+        for _ in range(rng.randrange(4)):
+            for bit in rng.sample(range(64), rng.randrange(1, 6)):
+                f ^= 1 << bit
+            fps.add(f)
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    df = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
+    got = {(r["node"], r["root"]) for r in vp_simhash.components(vp_simhash.links(df)).collect()}
+    roots = {}
+    for f in fps:
+        near = [g for g in roots if (f ^ g).bit_count() <= 4]
+        merged = {roots[g] for g in near}
+        roots = {g: f if r in merged else r for g, r in roots.items()} | {f: f}
+    groups = {}
+    for f, r in roots.items():
+        groups.setdefault(r, []).append(signed(f))
+    assert got == {(n, min(g)) for g in groups.values() if len(g) > 1 for n in g}
