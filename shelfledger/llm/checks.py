@@ -15,7 +15,7 @@ WORD_DEDUP = f"""WITH {WORDS},
  one AS (SELECT doc_id, p, ws[p] AS word FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS p FROM w)),
  kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS words FROM one ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
- sha256(coalesce(words, '')) AS kept_sha256 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id"""
+ sha256(coalesce(words, '')) AS kept_sha256, coalesce(words, '') AS text FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id"""
 
 _R = quality_lines.LineRules()
 _BOILER = " OR ".join(f"contains(lower(x), '{p}')" for p in quality_lines.BOILERPLATE)

@@ -78,14 +78,14 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op2_rlz_dedup", checks.WORD_DEDUP)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rlz_dedup.dedup(read_documents(spark, sf_dir).select("doc_id", "text"))
-    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_words", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_words", 256).alias("kept_sha256"), F.col("kept_words").alias("text"))
 
 
 @register("op1_suffix_dedup")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.dedup(read_documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("bigint").alias("n_spans"),
-                        F.sha2("kept", 256).alias("kept_sha256"))
+                        F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 @register("op5_pii_boost")

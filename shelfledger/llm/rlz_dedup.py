@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from shelfledger.llm import rounds as R
 from shelfledger.llm import textblock as B
-from shelfledger.llm.shared import text_of
+from shelfledger.llm.shared import free_name, text_of
 
 WINDOW = 13
 ANCHOR = 7
@@ -25,17 +25,13 @@ ANCHOR_BYTES, CONTEXT_BYTES = 6, 8
 LAST = np.iinfo(np.int64).max  # stands for a NULL id: no document is later
 
 
-def spread(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((hashes >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int64)
-
-
 class Parse:
     """Words, windows, anchors and contexts of a chunk's texts."""
 
-    def __init__(self, rows: pa.Table, window: int):
-        self.block, self.bounds = B.utf8(rows["_text"])
+    def __init__(self, rows: pa.Table, window: int, row_id: str, text: str):
+        self.block, self.bounds = B.utf8(rows[text])
         self.starts, self.ends, self.first = B.words(self.block, self.bounds)
-        ids = rows["_id"].combine_chunks() if isinstance(rows["_id"], pa.ChunkedArray) else rows["_id"]
+        ids = rows[row_id].combine_chunks() if isinstance(rows[row_id], pa.ChunkedArray) else rows[row_id]
         self.ids = ids.fill_null(LAST).to_numpy()
         self.word_row = B.row_numbers(self.first)
         values = B.range_hashes(B.BYTE_VALUE[self.block], self.starts, self.ends)
@@ -64,7 +60,7 @@ class Parse:
 
     def bucket(self, buckets: int) -> np.ndarray:
         """An anchor is the least of several hashes, so its own high bits crowd near zero; they are mixed again to spread."""
-        return spread(B.mix(self.anchor[self.asker]), buckets)
+        return R.spread(B.mix(self.anchor[self.asker]), buckets)
 
 
 def _doc_bytes(ids: np.ndarray) -> bytes:
@@ -76,26 +72,13 @@ def _docs(body: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(8, -1).T).view("<i8").ravel()
 
 
-def _pack(*parts: bytes) -> bytes:
-    return b"".join([len(p).to_bytes(8, "little") + p for p in parts])
-
-
-def _unpack(body: bytes) -> list[bytes]:
-    out, at = [], 0
-    while at < len(body):
-        n = int.from_bytes(body[at:at + 8], "little")
-        out.append(body[at + 8:at + 8 + n])
-        at += 8 + n
-    return out
-
-
 def _split(values: np.ndarray, sizes: list[int]) -> list[bytes]:
     return [part.tobytes() for part in np.split(values, np.cumsum(sizes)[:-1])]
 
 
 def answer_contexts(bodies: list[bytes]) -> list[bytes]:
     """Per context: 1 if an earlier document has it; 2 if its first document must show its windows; else 0."""
-    parts = [_unpack(b) for b in bodies]
+    parts = [R.unpack(b) for b in bodies]
     anchor = np.concatenate([R.long(p[0], ANCHOR_BYTES) for p in parts])
     context = np.concatenate([R.long(p[1], CONTEXT_BYTES) for p in parts])
     doc = np.concatenate([_docs(p[2]) for p in parts])
@@ -112,7 +95,7 @@ def answer_contexts(bodies: list[bytes]) -> list[bytes]:
 
 def answer_windows(bodies: list[bytes]) -> list[bytes]:
     """Per window: 1 if an earlier document has it."""
-    parts = [_unpack(b) for b in bodies]
+    parts = [R.unpack(b) for b in bodies]
     window = np.concatenate([R.long(p[0], 8) for p in parts])
     doc = np.concatenate([_docs(p[1]) for p in parts])
     order = np.lexsort((doc, window))
@@ -145,34 +128,35 @@ def dedup(docs: DataFrame, row_id: str = "doc_id", text: str = "text", window: i
 
     A word goes if a window of ``window`` words that covers it also starts in a document with a smaller id; windows are judged on
     the input.  A NULL text has no words.  Rows with the same id never remove each other's words; a NULL id counts as the latest.
-    Input columns with the names of the new ones are replaced; an empty table gives an empty table.
+    Input columns with the names of the new ones are replaced, all others are kept whatever their names; an empty table gives an empty
+    table.  A text is read in one piece, so a very long one takes memory in proportion to its words.
     """
-    made = ["n_words", "n_removed", "factors", "kept_words", "kept_text", "_chunk", "_id", "_text"]
-    docs = docs.drop(*made)
+    docs = docs.drop("n_words", "n_removed", "factors", "kept_words", "kept_text")
     names = docs.columns
-    base = docs.select("*", F.col(row_id).cast("bigint").alias("_id"), text_of(text).alias("_text"))
+    id_name, text_name = free_name(docs, "_id"), free_name(docs, "_text")
+    base = docs.select("*", F.col(row_id).cast("bigint").alias(id_name), text_of(text).alias(text_name))
 
     def ask_contexts(rows: pa.Table, answers: dict, buckets: int) -> dict[int, bytes]:
-        p = Parse(rows, window)
+        p = Parse(rows, window, id_name, text_name)
         anchor, context, doc = p.anchor[p.asker], p.context[p.asker], p.ids[p.run_row[p.asker]]
-        return {b: _pack(R.short(anchor[part], ANCHOR_BYTES), R.short(context[part], CONTEXT_BYTES), _doc_bytes(doc[part]))
+        return {b: R.pack(R.short(anchor[part], ANCHOR_BYTES), R.short(context[part], CONTEXT_BYTES), _doc_bytes(doc[part]))
                 for b, part in R.by_bucket(p.bucket(buckets))}
 
     def ask_windows(rows: pa.Table, answers: dict, buckets: int) -> dict[int, bytes]:
-        p = Parse(rows, window)
+        p = Parse(rows, window, id_name, text_name)
         index, asker = _shown(p, _verdicts(p, answers.get(0, {}), buckets), window)
         at = p.window_start[index]
         hashes, doc = B.range_hashes(p.values, at, at + window), p.ids[p.word_row[at]]
         # By the window's own hash: the contexts of one anchor may be many, their windows are dealt evenly.
-        return {b: _pack(R.short(hashes[part], 8), _doc_bytes(doc[part])) for b, part in R.by_bucket(spread(hashes, buckets))}
+        return {b: R.pack(R.short(hashes[part], 8), _doc_bytes(doc[part])) for b, part in R.by_bucket(R.spread(hashes, buckets))}
 
     def finish(rows: pa.Table, answers: dict, buckets: int) -> pa.Table:
-        p = Parse(rows, window)
+        p = Parse(rows, window, id_name, text_name)
         verdict = _verdicts(p, answers.get(0, {}), buckets)
         index, asker = _shown(p, verdict, window)
         seen = np.zeros(len(index), np.uint8)
         shown_at = p.window_start[index]
-        for bucket, part in R.by_bucket(spread(B.range_hashes(p.values, shown_at, shown_at + window), buckets)):
+        for bucket, part in R.by_bucket(R.spread(B.range_hashes(p.values, shown_at, shown_at + window), buckets)):
             seen[part] = np.frombuffer(answers[1][bucket], np.uint8)
         # A context is earlier than this occurrence if another chunk has it earlier, or an earlier document of this chunk.
         early = (verdict == 1)[p.of_asker] | (p.ids[p.run_row] > p.ids[p.run_row[p.asker]][p.of_asker])
@@ -192,7 +176,7 @@ def dedup(docs: DataFrame, row_id: str = "doc_id", text: str = "text", window: i
         return _result(rows, names, p, gone)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return R.converse(base, "_id", "_text", [R.Step(ask_contexts, answer_contexts), R.Step(ask_windows, answer_windows)], finish,
+    return R.converse(base, id_name, text_name, [R.Step(ask_contexts, answer_contexts), R.Step(ask_windows, answer_windows)], finish,
                       f"{schema}, n_words bigint, n_removed bigint, factors array<struct<start:int,end:int>>, kept_words string, kept_text string")
 
 

@@ -3,7 +3,8 @@
 A chunk is a set of documents of bounded bytes; it asks each bucket one list of questions per step, with repeated questions sent
 once, so a passage that fills a third of the corpus costs a bucket one entry per chunk.  A bucket answers by position.  All steps
 read the same exchange of the documents (Spark reuses it), nothing is kept outside Spark, and a lost task is computed again from
-its inputs: chunks are sorted by id, so the order of questions is always the same.
+its inputs: chunks are sorted by id, so the order of questions is always the same.  Rows are dealt by id and text, so NULL or repeated ids
+spread; only rows that are alike in both share a chunk.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfledger.llm.shared import free_name
+
 CHUNK_FLOOR, CHUNK_CEILING, CHUNK_FACTOR = 256 << 10, 8 << 20, 32  # bytes of text in a chunk: factor * sqrt(total), within bounds
 BUCKET_CHUNKS = 4  # a bucket indexes the share of so many chunks
 ASKED = "bucket int, chunk int, step int, body binary"
@@ -44,7 +47,8 @@ def chunk_counts(docs: DataFrame, text: str) -> tuple[int, int]:
 def converse(docs: DataFrame, row_id: str, text: str, steps: Sequence[Step], finish: Finish, schema: str) -> DataFrame:
     """``docs`` by chunk through all steps; ``finish`` sees the chunk's rows, sorted by id and text, and all answers."""
     chunks, buckets = chunk_counts(docs, text)
-    base = docs.withColumn("_chunk", F.pmod(F.xxhash64(row_id), F.lit(chunks)).cast("int"))
+    place = free_name(docs, "_chunk")
+    base = docs.withColumn(place, F.pmod(F.xxhash64(row_id, text), F.lit(chunks)).cast("int"))
 
     def ordered(table: pa.Table) -> pa.Table:
         return table.sort_by([(row_id, "ascending"), (text, "ascending")])
@@ -64,7 +68,7 @@ def converse(docs: DataFrame, row_id: str, text: str, steps: Sequence[Step], fin
         def work(rows: pa.Table, answers: pa.Table | None = None) -> pa.Table:
             if not rows.num_rows:
                 return sent(step, 0, {})
-            return sent(step, rows["_chunk"][0].as_py(), ask(ordered(rows), heard(answers) if answers is not None else {}, buckets))
+            return sent(step, rows[place][0].as_py(), ask(ordered(rows), heard(answers) if answers is not None else {}, buckets))
         return work if step else lambda rows: work(rows)
 
     def answerer(step: int, answer: Answer):
@@ -80,15 +84,33 @@ def converse(docs: DataFrame, row_id: str, text: str, steps: Sequence[Step], fin
     answers = None
     for number, step in enumerate(steps):
         if answers is None:
-            asked = base.groupBy("_chunk").applyInArrow(asker(number, step.ask), ASKED)
+            asked = base.groupBy(place).applyInArrow(asker(number, step.ask), ASKED)
         else:
-            asked = base.groupBy("_chunk").cogroup(answers.groupBy("chunk")).applyInArrow(asker(number, step.ask), ASKED)
+            asked = base.groupBy(place).cogroup(answers.groupBy("chunk")).applyInArrow(asker(number, step.ask), ASKED)
         new = asked.groupBy("bucket").applyInArrow(answerer(number, step.answer), ANSWERED)
         answers = new if answers is None else answers.unionByName(new)
-    return base.groupBy("_chunk").cogroup(answers.groupBy("chunk")).applyInArrow(closing, schema)
+    return base.groupBy(place).cogroup(answers.groupBy("chunk")).applyInArrow(closing, schema)
+
+
+# -- buckets and lists in bodies -------------------------------------------------------------------------------------------------------
+
+def spread(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each hash, by its upper 32 bits: as many buckets as asked for, up to four billion."""
+    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def pack(*parts: bytes) -> bytes:
+    return b"".join([len(p).to_bytes(8, "little") + p for p in parts])
+
 
+def unpack(body: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(body):
+        n = int.from_bytes(body[at:at + 8], "little")
+        out.append(body[at + 8:at + 8 + n])
+        at += 8 + n
+    return out
 
-# -- lists in bodies -------------------------------------------------------------------------------------------------------
 
 def short(values: np.ndarray, width: int) -> bytes:
     """The low ``width`` bytes of each number."""

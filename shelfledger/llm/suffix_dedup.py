@@ -8,7 +8,9 @@ so a shard may be far larger than memory.
 Step one counts contexts (the bytes that an anchor's strings cover).  A context found twice is repeated whole.  Step two takes one
 copy of each context whose anchor has several: their suffix tuples are sorted, neighbours carry the length of their common
 prefix, and the order one byte further left is induced from the order at hand (stable by the new byte; the common prefix of new
-neighbours is one more than the least value between them).  A 400-byte string is repeated where that length reaches 400.
+neighbours is one more than the least value between them).  A 400-byte string is repeated where that length reaches 400.  A passage
+with very many different surroundings crowds its anchors; such contexts are not sorted in one place, their 400-byte strings are dealt
+one by one by their own hash and counted.
 """
 
 from __future__ import annotations
@@ -20,11 +22,12 @@ from pyspark.sql import functions as F
 
 from shelfledger.llm import rounds as R
 from shelfledger.llm import textblock as B
-from shelfledger.llm.shared import text_of
+from shelfledger.llm.shared import free_name, text_of
 
 LENGTH = 400
 ANCHOR = 300
 ANCHOR_BYTES, CONTEXT_BYTES = 6, 8
+CROWD = 4096  # different contexts of one anchor that are sorted together, about 2 MB
 
 
 def gram_hashes(block: np.ndarray, width: int) -> np.ndarray:
@@ -36,8 +39,8 @@ def gram_hashes(block: np.ndarray, width: int) -> np.ndarray:
 class Sample:
     """Anchors and contexts of a chunk's texts.  Texts never share a string: windows stay inside a row."""
 
-    def __init__(self, rows: pa.Table, length: int, anchor: int):
-        self.block, self.bounds = B.utf8(rows["_text"])
+    def __init__(self, rows: pa.Table, length: int, anchor: int, text: str):
+        self.block, self.bounds = B.utf8(rows[text])
         n_windows = max(0, len(self.block) - length + 1)
         row_end = np.repeat(self.bounds[1:], np.diff(self.bounds))
         start = np.flatnonzero(np.arange(n_windows) + length <= row_end[:n_windows])
@@ -60,11 +63,18 @@ class Sample:
 
     def bucket(self, buckets: int) -> np.ndarray:
         """An anchor is the least of many hashes, so its own high bits crowd near zero; they are mixed again to spread."""
-        return ((B.mix(self.anchor[self.asker]) >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int64)
+        return R.spread(B.mix(self.anchor[self.asker]), buckets)
 
+    def strings(self, asker: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all strings of the given askers' contexts, and the asker (its place in ``asker``) of each."""
+        run = self.asker[asker]
+        sizes = self.size[run]
+        at = np.repeat(self.begin[run] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        return B.range_hashes(B.BYTE_VALUE[self.block], at, at + length), np.repeat(np.arange(len(asker)), sizes)
 
-def answer_contexts(bodies: list[bytes]) -> list[bytes]:
-    """Per context: bit 0 if it occurs twice or more, bit 1 if this chunk must show it in step two."""
+
+def answer_contexts(bodies: list[bytes], crowd: int = CROWD) -> list[bytes]:
+    """Per context: bit 0 if it occurs twice or more; if this chunk must show it in step two, bit 1, or bit 2 where its anchor is crowded."""
     step = ANCHOR_BYTES + CONTEXT_BYTES + 1
     sizes = [len(b) // step for b in bodies]
     anchor = np.concatenate([R.long(b[:n * ANCHOR_BYTES], ANCHOR_BYTES) for b, n in zip(bodies, sizes)])
@@ -74,9 +84,9 @@ def answer_contexts(bodies: list[bytes]) -> list[bytes]:
     group, cls = R.ordinals(order, anchor), R.ordinals(order, anchor, context)
     firsts = np.flatnonzero(np.diff(cls, prepend=-1))
     times = np.bincount(cls, 1 + often[order])
-    contested = np.bincount(group[firsts], minlength=group[-1] + 1) > 1
+    kinds = np.bincount(group[firsts], minlength=group[-1] + 1)  # different contexts of each anchor
     code = (times[cls] > 1).astype(np.uint8)
-    code[firsts] |= np.where(contested[group[firsts]], 2, 0).astype(np.uint8)
+    code[firsts] |= np.where(kinds[group[firsts]] > crowd, 4, np.where(kinds[group[firsts]] > 1, 2, 0)).astype(np.uint8)
     out = np.empty(len(order), np.uint8)
     out[order] = code
     return [part.tobytes() for part in np.split(out, np.cumsum(sizes)[:-1])]
@@ -150,6 +160,19 @@ def repeated_starts(group: np.ndarray, texts: list[bytes], place: np.ndarray, le
     return first, last
 
 
+def answer_strings(bodies: list[bytes]) -> list[bytes]:
+    """Per string hash: 1 if it was sent twice or more."""
+    sizes = [len(b) // 8 for b in bodies]
+    _, which, counts = np.unique(np.concatenate([R.long(b, 8) for b in bodies]), return_inverse=True, return_counts=True)
+    return [part.tobytes() for part in np.split((counts[which] > 1).astype(np.uint8), np.cumsum(sizes)[:-1])]
+
+
+def answer_shown(bodies: list[bytes], length: int) -> list[bytes]:
+    """Answers to the contexts that are sorted here and to the strings of crowded anchors, which are dealt by their own hash."""
+    both = [R.unpack(b) for b in bodies]
+    return [R.pack(*pair) for pair in zip(answer_starts([b[0] for b in both], length), answer_strings([b[1] for b in both]))]
+
+
 def answer_starts(bodies: list[bytes], length: int) -> list[bytes]:
     """Per shown context: first and last repeated start as two 16-bit numbers."""
     anchors, places, texts, sizes = [], [], [], []
@@ -168,16 +191,19 @@ def answer_starts(bodies: list[bytes], length: int) -> list[bytes]:
 
 
 def dedup(docs: DataFrame, row_id: str = "doc_id", text: str = "text", length: int = LENGTH,
-          anchor: int = ANCHOR) -> DataFrame:
+          anchor: int = ANCHOR, crowd: int = CROWD) -> DataFrame:
     """``docs`` with ``n_bytes``, ``n_removed``, ``removed`` (byte spans [start, end)) and ``kept`` (the remaining bytes).
 
     A byte goes if a ``length``-byte string that covers it starts anywhere else too, the same text included; strings are judged on
-    the input and never cross rows.  ``anchor`` (at most ``length``) changes the work, not the result.  A NULL text is empty.
-    Repeated rows repeat each other.  Input columns with the names of the new ones are replaced; an empty table gives an empty table.  ``kept`` is binary: a cut may fall inside a character.
+    the input and never cross rows.  ``anchor`` (at most ``length``) and ``crowd`` change the work, not the result.  A NULL text is empty.
+    Repeated rows repeat each other, ties don't arise.  Input columns with the names of the new ones are replaced, all others are kept
+    whatever their names; an empty table gives an empty table.  ``kept`` is binary: a cut may fall inside a character.  A text is read in
+    one piece, so a very long one takes memory in proportion to its bytes.
     """
-    docs = docs.drop("n_bytes", "n_removed", "removed", "kept", "_chunk", "_id", "_text")
+    docs = docs.drop("n_bytes", "n_removed", "removed", "kept")
     names = docs.columns
-    base = docs.select("*", F.col(row_id).cast("bigint").alias("_id"), text_of(text).alias("_text"))
+    id_name, text_name = free_name(docs, "_id"), free_name(docs, "_text")
+    base = docs.select("*", F.col(row_id).cast("bigint").alias(id_name), text_of(text).alias(text_name))
 
     def codes(s: Sample, answers: dict[int, bytes], buckets: int) -> np.ndarray:
         out = np.zeros(len(s.asker), np.uint8)
@@ -186,7 +212,7 @@ def dedup(docs: DataFrame, row_id: str = "doc_id", text: str = "text", length: i
         return out
 
     def ask_contexts(rows: pa.Table, answers: dict, buckets: int) -> dict[int, bytes]:
-        s = Sample(rows, length, anchor)
+        s = Sample(rows, length, anchor, text_name)
         grams, context = s.anchor[s.asker], s.context[s.asker]
         return {b: R.short(grams[part], ANCHOR_BYTES) + R.short(context[part], CONTEXT_BYTES) + s.often[part].astype(np.uint8).tobytes()
                 for b, part in R.by_bucket(s.bucket(buckets))}
@@ -195,25 +221,39 @@ def dedup(docs: DataFrame, row_id: str = "doc_id", text: str = "text", length: i
         at = np.flatnonzero(code & 2)
         return [(b, at[part]) for b, part in R.by_bucket(s.bucket(buckets)[at])]
 
-    def ask_starts(rows: pa.Table, answers: dict, buckets: int) -> dict[int, bytes]:
-        s = Sample(rows, length, anchor)
+    def ask_shown(rows: pa.Table, answers: dict, buckets: int) -> dict[int, bytes]:
+        s = Sample(rows, length, anchor, text_name)
         data = s.block.tobytes()
-        out = {}
-        for bucket, part in shown(s, codes(s, answers.get(0, {}), buckets), buckets):
+        code = codes(s, answers.get(0, {}), buckets)
+        sorted_here = {}
+        for bucket, part in shown(s, code, buckets):
             run = s.asker[part]
             sizes = s.size[run] - 1 + length
-            out[bucket] = b"".join([len(part).to_bytes(8, "little"), R.short(s.anchor[run], 8), s.place[run].astype("<u2").tobytes(),
+            sorted_here[bucket] = b"".join([len(part).to_bytes(8, "little"), R.short(s.anchor[run], 8), s.place[run].astype("<u2").tobytes(),
                                     sizes.astype("<u2").tobytes(),
-                                    *[data[a:a + n] for a, n in zip(s.begin[run].tolist(), sizes.tolist())]])
-        return out
+                                            *[data[a:a + n] for a, n in zip(s.begin[run].tolist(), sizes.tolist())]])
+        hashes, _ = s.strings(np.flatnonzero(code & 4), length)
+        dealt = {b: R.short(hashes[part], 8) for b, part in R.by_bucket(R.spread(B.mix(hashes), buckets))}
+        nothing = (0).to_bytes(8, "little")
+        return {b: R.pack(sorted_here.get(b, nothing), dealt.get(b, b"")) for b in sorted_here.keys() | dealt.keys()}
 
     def finish(rows: pa.Table, answers: dict, buckets: int) -> pa.Table:
-        s = Sample(rows, length, anchor)
+        s = Sample(rows, length, anchor, text_name)
         code = codes(s, answers.get(0, {}), buckets)
         first, last = np.full(len(s.asker), -1, np.int64), np.full(len(s.asker), -1, np.int64)
+        replies = {bucket: R.unpack(body) for bucket, body in answers.get(1, {}).items()}
         for bucket, part in shown(s, code, buckets):
-            both = np.frombuffer(answers[1][bucket], "<i2").reshape(-1, 2)
+            both = np.frombuffer(replies[bucket][0], "<i2").reshape(-1, 2)
             first[part], last[part] = both[:, 0], both[:, 1]
+        crowded = np.flatnonzero(code & 4)
+        hashes, owner = s.strings(crowded, length)
+        again = np.zeros(len(hashes), bool)
+        for bucket, part in R.by_bucket(R.spread(B.mix(hashes), buckets)):
+            again[part] = np.frombuffer(replies[bucket][1], np.uint8) > 0
+        inner = np.arange(len(hashes)) - np.searchsorted(owner, owner)
+        who = owner[again]
+        last[crowded[who]] = inner[again]  # ascending, so the last one stays
+        first[crowded[who[::-1]]] = inner[again][::-1]
         whole = (code & 1) > 0
         first[whole], last[whole] = 0, s.size[s.asker][whole] - 1
         first, last = first[s.of_asker], last[s.of_asker]
@@ -235,6 +275,6 @@ def dedup(docs: DataFrame, row_id: str = "doc_id", text: str = "text", length: i
                          "kept": pa.array(kept, pa.binary())})
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    steps = [R.Step(ask_contexts, answer_contexts), R.Step(ask_starts, lambda bodies: answer_starts(bodies, length))]
-    return R.converse(base, "_id", "_text", steps, finish,
+    steps = [R.Step(ask_contexts, lambda bodies: answer_contexts(bodies, crowd)), R.Step(ask_shown, lambda bodies: answer_shown(bodies, length))]
+    return R.converse(base, id_name, text_name, steps, finish,
                       f"{schema}, n_bytes bigint, n_removed bigint, removed array<struct<start:bigint,end:bigint>>, kept binary")

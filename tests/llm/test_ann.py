@@ -33,7 +33,7 @@ def test_curve_visits_neighbours():
 
 
 def test_query_recall(spark):
-    folder = "/root/testdata/check_s"
+    folder = "/root/testdata/sf0.1"
     rows = spark.read.parquet(f"{folder}/embeddings.parquet").orderBy("vec_id").collect()
     ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
     want = brute(ids, x, np.flatnonzero(ids % 100 == 0))

@@ -4,10 +4,12 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from shelfledger.llm import rlz_dedup, rounds, suffix_dedup
 from shelfledger.llm import queries as Q
+from shelfledger.llm import textblock as B
 
 SF = "/root/testdata/sf0.01"
 GAP = re.compile(r"[^\x20\x09-\x0D]+")
@@ -111,8 +113,9 @@ def test_byte_dedup_query(spark, texts):
     assert sum(w[2] for w in want.values()) > 50
 
 
-@pytest.mark.parametrize("seed,letters,length", [(1, "ab", 40), (2, "abcdefgh", 40), (3, "a", 40), (4, "abé", 400)])
-def test_byte_dedup_random(spark, monkeypatch, seed, letters, length):
+@pytest.mark.parametrize("seed,letters,length,crowd", [(1, "ab", 40, 4096), (2, "abcdefgh", 40, 4096), (3, "a", 40, 4096), (4, "abé", 400, 4096), (1, "ab", 40, 2),
+                                                       (2, "abcdefgh", 40, 3), (4, "abé", 400, 0)])
+def test_byte_dedup_random(spark, monkeypatch, seed, letters, length, crowd):
     monkeypatch.setattr(rounds, "CHUNK_FLOOR", 4000)
     monkeypatch.setattr(rounds, "CHUNK_FACTOR", 1)
     rng = random.Random(seed)
@@ -127,7 +130,7 @@ def test_byte_dedup_random(spark, monkeypatch, seed, letters, length):
         rows.append((d, text))
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["removed"]), bytes(r["kept"])) for r in
            suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), length=length,
-                              anchor=length * 3 // 4).collect()}
+                              anchor=length * 3 // 4, crowd=crowd).collect()}
     assert got == {d: w for (d, _), w in zip(rows, brute_bytes([t for _, t in rows], length))}
 
 
@@ -138,3 +141,35 @@ def test_byte_dedup_odd_rows(spark):
     got = sorted((r["n_bytes"], r["n_removed"], len(r["removed"]), bytes(r["kept"])) for r in suffix_dedup.dedup(df).collect())
     assert got == sorted(brute_bytes([t for _, t in rows]))
     assert suffix_dedup.dedup(df.limit(0)).count() == 0
+
+
+def test_a_passage_in_a_third_of_all_documents(spark, monkeypatch):
+    """A passage just shorter, or a little longer, than a string, with other words around it each time: its anchors are crowded."""
+    monkeypatch.setattr(rounds, "CHUNK_FLOOR", 20_000)
+    monkeypatch.setattr(rounds, "CHUNK_FACTOR", 1)
+    rng = random.Random(7)
+    letters = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    short, long = letters(395), letters(430)
+    rows = [(i, letters(rng.randint(0, 300)) + (short if i % 3 == 0 else long if i % 3 == 1 else letters(200)) + letters(rng.randint(0, 300))) for i in range(600)]
+    rows += [(1000 + i, letters(50) + short + "z" * 20) for i in range(20)]
+    want = {d: w for (d, _), w in zip(rows, brute_bytes([t for _, t in rows]))}
+    for crowd in (50, 10 ** 6):
+        got = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), crowd=crowd).collect()
+        assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["removed"]), bytes(r["kept"])) for r in got} == want
+    assert sum(w[1] for w in want.values()) > 200 * 430
+
+
+def test_buckets_are_all_used():
+    hashes = B.mix(np.arange(3_000_000, dtype=np.uint64))
+    assert len(np.unique(rounds.spread(hashes, 1_000_000))) > 900_000
+    assert rounds.spread(hashes, 3).max() == 2
+
+
+def test_clashing_names_and_ids(spark):
+    """Columns with the names of helpers come back; many NULL or equal ids spread over the chunks."""
+    shared = " ".join(f"s{i}" for i in range(200))
+    df = spark.createDataFrame([(None if i < 40 else 7, f"t{i} {shared}", i, i, i) for i in range(80)], "doc_id long, text string, _chunk int, _id int, _text int")
+    for module in (rlz_dedup, suffix_dedup):
+        got = module.dedup(df).collect()
+        assert sorted((r["_chunk"], r["_id"], r["_text"]) for r in got) == [(i, i, i) for i in range(80)]
+    assert all(r["n_removed"] > 400 for r in got)
