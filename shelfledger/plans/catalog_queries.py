@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from shelfledger import fixed_values as V
@@ -10,6 +12,7 @@ from shelfledger.operators import catalog as K
 from shelfledger.operators.skew import attach
 from shelfledger.plans.carriers import catalog, run_headers, run_rows
 from shelfledger.plans.registry import query
+from shelfledger.session import shared_folder
 from shelfledger.sources import runs as R
 from shelfledger.sources import seeds as S
 
@@ -26,7 +29,12 @@ SELECT chain, category, b AS brand, listing_url AS url, min(input_row) AS input_
  WHERE b <> '' AND bad = '' GROUP BY ALL
 UNION ALL SELECT chain, category, b, listing_url, input_row, 'reject' FROM r WHERE b = '' OR bad <> ''""", "cat")
 def _(spark, sf):
-    seeds, rejects = S.seed_sources(seed_rows(spark, sf))
+    path = f"{shared_folder(spark)}/seeds-{uuid.uuid4().hex}"
+    listed = seed_rows(spark, sf).select("chain", "category", "brand", "url", F.lit("sheet").alias("input_sheet"), "input_row")
+    listed.filter("input_row % 2 = 0").write.option("header", True).option("ignoreLeadingWhiteSpace", False).option(
+        "ignoreTrailingWhiteSpace", False).csv(f"{path}/seeds.csv")
+    listed.filter("input_row % 2 <> 0").write.json(f"{path}/seeds.jsonl")
+    seeds, rejects = S.seed_sources(S.read_seeds(spark, f"{path}/seeds.csv").unionByName(S.read_seeds(spark, f"{path}/seeds.jsonl")))
     columns = ["chain", "category", "brand", "url", "input_row"]
     fixed = rejects.withColumn("url", F.regexp_replace("url", "^http:", "https:"))
     return seeds.select(*columns, F.lit("seed").alias("kind")).union(fixed.select(*columns, F.lit("reject")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from shelfledger import fixed_values as V
 from shelfledger.functions import calendar as cal
 from shelfledger.operators import quality as Q
+from shelfledger.operators.latest import first_per_key
 from shelfledger.operators.rule_index import rule_index
 from shelfledger.plans.audit_queries import issues
 from shelfledger.plans.carriers import catalog, observations, run_headers, run_rows
@@ -58,9 +59,9 @@ def _(spark, sf):
  CAST(CAST(date_trunc('week', completed_at + INTERVAL 7 HOUR) AS DATE) AS VARCHAR) AS week_start FROM run_rows r JOIN runs h ON h.run_id = r.run_id""",
        "runs")
 def _(spark, sf):
-    path, rows = folder(spark), S.history_rows(run_rows(spark, sf), run_headers(spark, sf)).withColumn("bucket", F.col("run_id") % 8)
+    path, rows = folder(spark), S.history_rows(run_rows(spark, sf), run_headers(spark, sf))
     for _ in range(2):
-        S.write_parts(rows.repartition("bucket"), path, "bucket")
+        S.write_parts(rows, path, "week_start", "chain")
     return spark.read.parquet(path).select("run_id", "part", "price", "chain", text_date("business_date"), text_date("week_start"))
 
 
@@ -71,8 +72,10 @@ FROM w JOIN h ON h.run_id = w.seq""", "obs", "runs")
 def _(spark, sf):
     rows = weekly(spark, sf)
     kept = S.weekly_upsert(rows.limit(0), rows).select("seq", "sku", F.col("seq").alias("run_id"), F.col("chain").alias("row_chain"))
-    out = S.history_rows(kept, run_headers(spark, sf))
-    return out.select("seq", F.col("row_chain").alias("chain"), "sku", "run_id", text_date("business_date"))
+    path, out = folder(spark), S.history_rows(kept, run_headers(spark, sf))
+    for _ in range(2):
+        S.write_parts(out, path, "week_start", "chain")
+    return spark.read.parquet(path).select("seq", F.col("row_chain").alias("chain"), "sku", "run_id", text_date("business_date"))
 
 
 @query("snk5_issue_append", """SELECT seq, CASE WHEN seq % 3 = 0 THEN '' ELSE sku END AS sku, CASE WHEN seq % 5 = 0 THEN '' ELSE product_name END
@@ -94,13 +97,25 @@ def _(spark, sf):
     return S.catalog_publish_gate(catalog(spark, sf).withColumn("source_url", F.col("raw_url")))
 
 
+@query("snk6_published_catalog", """SELECT chain AS run_id, chain, arg_min(seq, seq) AS seq, arg_min(status, seq) AS status FROM cat
+WHERE starts_with(raw_url, 'https://') GROUP BY chain, raw_url""", "cat")
+def _(spark, sf):
+    """Each chain's run is gated, published and published again; what is read back is one row per link."""
+    path, rows = folder(spark), catalog(spark, sf).withColumn("source_url", F.col("raw_url")).filter("startswith(raw_url, 'https://')")
+    rows = first_per_key(rows, ["chain", "source_url"], [F.col("seq").asc()]).withColumn("run_id", F.col("chain"))
+    for chain in V.CHAIN_NAMES:
+        for _ in range(2):
+            S.publish_catalog(rows.filter(F.col("chain") == chain), path)
+    return spark.read.parquet(path).select("run_id", "chain", "seq", "status")
+
+
 @query("snk7_snapshot_publish", """WITH d AS (SELECT DISTINCT business_date, chain FROM obs WHERE k > 96)
 SELECT seq, 'old' AS part FROM obs ANTI JOIN d USING (business_date, chain) WHERE k <= 96
 UNION ALL SELECT seq, 'new' FROM obs WHERE k > 96""", "obs")
 def _(spark, sf):
     rows = observations(spark, sf)
     path = folder(spark)
-    S.publish_snapshot(rows.filter("k <= 96").withColumn("part", F.lit("old")).repartition("business_date"), path)
+    S.publish_snapshot(rows.filter("k <= 96").withColumn("part", F.lit("old")), path)
     for _ in range(2):
         S.publish_snapshot(rows.filter("k > 96").withColumn("part", F.lit("new")), path)
     return spark.read.parquet(path).select("seq", "part")
@@ -133,6 +148,14 @@ def _(spark, sf):
     return spark.read.schema(good.schema).parquet(path).select("seq")
 
 
+def exported(spark, df):
+    """``df`` as read back from its export, written twice."""
+    path = folder(spark)
+    for _ in range(2):
+        S.export(df, path, "parquet")
+    return spark.read.parquet(path)
+
+
 @query("snk9_flat_export", f"""WITH {LAST_DAY}, e AS (SELECT week_start, chain, sku, arg_max(seq, business_date) AS z,
  {', '.join(f"max(CASE WHEN isodow(business_date) = {i} THEN promo_price END) AS price{i}" for i in range(1, 8))} FROM last_day GROUP BY ALL)
 SELECT CAST(e.week_start AS VARCHAR) AS week_start, 'W' || CAST(o - 13 * floor(o / 13) + 1 AS BIGINT) || 'Q'
@@ -141,7 +164,7 @@ SELECT CAST(e.week_start AS VARCHAR) AS week_start, 'W' || CAST(o - 13 * floor(o
  strftime(observed_at, '%Y-%m-%d %H:%M:%S.%f') AS observed_at, CASE WHEN starts_with(promo_text, '{V.STATUS_PREFIX}') THEN 'Hết hàng' ELSE '' END AS status
 FROM (SELECT *, CAST(date_diff('day', DATE '2026-09-28', week_start) / 7 AS DOUBLE) AS o FROM e) e JOIN last_day l ON l.seq = e.z""", "obs")
 def _(spark, sf):
-    return S.flat_prices(observations(spark, sf)).withColumns({"week_start": text_date("week_start"), "observed_at": stamp("observed_at")})
+    return exported(spark, S.flat_prices(observations(spark, sf))).withColumns({"week_start": text_date("week_start"), "observed_at": stamp("observed_at")})
 
 
 @query("snk9_flat_statuses", f"""WITH {LAST_DAY}, s AS (SELECT *, CASE WHEN starts_with(promo_text, '{V.STATUS_PREFIX}') THEN 'Hết hàng'
@@ -149,28 +172,29 @@ def _(spark, sf):
  {', '.join(f"coalesce(max(CASE WHEN isodow(business_date) = {i} THEN st END), '{V.NO_DATA}') AS status{i}" for i in range(1, 8))}
 FROM s GROUP BY ALL""", "obs")
 def _(spark, sf):
-    return S.flat_statuses(observations(spark, sf)).withColumn("week_start", text_date("week_start"))
+    return exported(spark, S.flat_statuses(observations(spark, sf))).withColumn("week_start", text_date("week_start"))
 
 
 @query("snk9_flat_links", """SELECT chain, category, brand, product_name, sku, source_url, CASE WHEN status = 'ready' THEN 'Đọc được giá'
  ELSE 'Cần kiểm tra: ' || reason END AS state, reason, listing_url AS listing_urls FROM cat""", "cat")
 def _(spark, sf):
-    path = folder(spark)
-    for _ in range(2):
-        S.export(S.flat_links(catalog(spark, sf).withColumn("listing_urls", F.array("listing_url"))), path, "parquet")
-    return spark.read.parquet(path)
+    return exported(spark, S.flat_links(catalog(spark, sf).withColumn("listing_urls", F.array("listing_url"))))
 
 
 @query("src5_artifact_scan", """SELECT seq, CAST(CAST(t + INTERVAL 7 HOUR AS DATE) AS VARCHAR) AS business_date,
  CAST(CAST(date_trunc('week', t + INTERVAL 7 HOUR) AS DATE) AS VARCHAR) AS week_start FROM (SELECT seq, slug,
  CASE WHEN k % 9 = 0 THEN TIMESTAMP '2024-02-04 18:30:00' ELSE observed_at END AS t FROM obs) WHERE slug NOT IN ('fpt', 'phongvu')""", "obs")
 def _(spark, sf):
-    rows = observations(spark, sf).withColumn("observed_at", F.expr("CASE WHEN k % 9 <> 0 THEN observed_at END"))
-    heads = rows.groupBy("slug").agg(F.count(F.lit(1)).alias("prices")).selectExpr(
-        "slug", "CASE WHEN slug = 'fpt' THEN 'discovery' ELSE 'prices' END AS stage",
-        "CASE slug WHEN 'phongvu' THEN 'failed' WHEN 'viettel' THEN 'degraded' ELSE 'ok' END AS status",
-        "timestamp_ntz '2024-02-04 18:30:00' AS finished_at")
-    return artifacts.attach_run(rows, heads).select("seq", text_date("business_date"), text_date("week_start"))
+    path, observed = folder(spark), observations(spark, sf)
+    text = F.when(F.col("k") % 9 != 0, F.concat(F.date_format("observed_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z")))
+    for slug, name in ((c.slug, c.name) for c in V.CHAINS):  # one folder of result files per chain, as its run leaves them
+        rows = observed.filter(F.col("slug") == slug).select("seq", text.alias("observed_at"))
+        rows.write.mode("overwrite").json(f"{path}/{slug}/rows.jsonl")
+        head = {"chain": name, "stage": "discovery" if slug == "fpt" else "prices",
+                "status": {"phongvu": "failed", "viettel": "degraded"}.get(slug, "ok"), "finished_at": "2024-02-04T18:30:00Z"}
+        spark.createDataFrame([tuple(head.values())], ", ".join(f"{k} string" for k in head)).write.mode("overwrite").json(f"{path}/{slug}/summary.json")
+    schema = spark.createDataFrame([], "seq bigint, observed_at string").schema
+    return artifacts.read_results(spark, path, schema, "rows.jsonl").select("seq", text_date("business_date"), text_date("week_start"))
 
 
 def rule_files(spark):

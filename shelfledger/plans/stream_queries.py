@@ -20,7 +20,7 @@ FLAT = ["seq", "chain", "sku", "model", "storage", "display_variant", "color", "
 def stream(spark, sf):
     events, path = table(spark, sf, "events"), f"{shared_folder(spark)}/arrivals-{uuid.uuid4().hex}"
     for part in (2, 0, 1):  # each holds rows of all days
-        events.filter(F.col("event_id") % 3 == part).coalesce(1).write.mode("append").parquet(path)
+        events.filter(F.col("event_id") % 3 == part).write.mode("append").parquet(path)
     return observation_view(J.read_stream(spark, path, events.schema, files_per_batch=1)).select(*FLAT)
 
 

@@ -48,8 +48,11 @@ def history_rows(rows: DataFrame, headers: DataFrame) -> DataFrame:
 
 
 def write_parts(rows: DataFrame, path: str, *parts: str) -> None:
-    """Replace exactly the partitions that ``rows`` has."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+    """Replace exactly the partitions that ``rows`` has.
+
+    Rows are rebalanced by partition: small ones share a task, one that holds a third of all rows is written by as many as its size needs.
+    """
+    rows.hint("rebalance", *parts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
 
 
 def append_history(rows: DataFrame, path: str) -> None:

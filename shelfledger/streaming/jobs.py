@@ -1,13 +1,14 @@
 """Streaming forms of the history merge, the price alerts and the rule labels.
 
 State is a table, not a per-key Python object: every micro-batch is first reduced to one row per (series, day) with
-map-side combine, so a series that dominates a batch is never handled by one task row by row.  A batch writes only its own
-``batch=<id>`` folder and may be repeated after a failure with the same result; readers merge the batches.
+map-side combine, so a series that dominates a batch is never handled by one task row by row.  A batch writes its own folder and may be
+repeated after a failure with the same result; closed batches are merged level by level (``batches``), and readers merge the rest.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import datetime as dt
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from shelfledger.operators.history import FULL_SERIES, SERIES
 from shelfledger.operators.latest import first_per_key
 from shelfledger.operators.movement import movement_columns
 from shelfledger.sources.rules import label_by_brand
-
+from shelfledger.streaming.batches import Batches
 
 
 def read_stream(spark: SparkSession, folder: str, schema: StructType, files: str | None = None,
@@ -31,14 +32,9 @@ def read_stream(spark: SparkSession, folder: str, schema: StructType, files: str
     return reader.parquet(folder)
 
 
-def _newest(df: DataFrame, keys: list[str], batch: str = "batch") -> DataFrame:
+def _newest(df: DataFrame, keys: list[str]) -> DataFrame:
     """Later instant first; ties go to the later batch, then to the later row."""
-    return first_per_key(df, keys, [F.col("observed_at").desc(), F.col(batch).desc(), F.col("seq").desc()])
-
-
-def _write(df: DataFrame, batch_id: int, path: str, *partitions: str) -> None:
-    df.write.mode("overwrite").partitionBy(*partitions).parquet(f"{path}/batch={batch_id}") if partitions else (
-        df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}"))
+    return first_per_key(df, keys, [F.col("observed_at").desc(), F.col("batch").desc(), F.col("seq").desc()])
 
 
 def _start(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, once: bool) -> StreamingQuery:
@@ -46,66 +42,79 @@ def _start(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 minute")).start()
 
 
+def history_batches(path: str) -> Batches:
+    return Batches(path, lambda df: _newest(df, [*SERIES, "business_date"]), ("business_date",))
+
+
 def stream_history(stream: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Merge new observations into the per-day history; a late older record never replaces a newer one."""
-    keys = [*SERIES, "business_date"]
+    store = history_batches(path)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        reduced = _newest(batch.withColumn("batch", F.lit(batch_id)), keys).drop("batch")
-        _write(reduced, batch_id, path, "business_date")
+        store.add(store.merge(batch.withColumn("batch", F.lit(batch_id))).drop("batch"), batch_id)
     return _start(stream, merge, checkpoint, once)
 
 
 def read_history(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """The merged history of all batches so far."""
-    parts = spark.read.schema(StructType(schema.fields).add("batch", "long")).parquet(path)
-    return _newest(parts, [*SERIES, "business_date"]).drop("batch")
+    store = history_batches(path)
+    return store.merge(store.read(spark, schema)).drop("batch")
+
+
+def state_batches(path: str) -> Batches:
+    """Within one day the first of two equal instants stays."""
+    return Batches(path, lambda df: first_per_key(df, [*FULL_SERIES, "business_date"], [
+        F.col("observed_at").desc(), F.col("batch").asc(), F.col("seq").asc()]), ("business_date",))
+
+
+def alert_batches(path: str) -> Batches:
+    """The newest judgement per series and day; one without a movement withdraws what an earlier batch said."""
+    return Batches(path, lambda df: first_per_key(df, [*FULL_SERIES, "business_date"], [F.col("batch").desc(), F.col("seq").desc()]))
 
 
-def compact_history(spark: SparkSession, path: str, schema: StructType, out: str) -> None:
-    """Write the merged history as one batch of a new folder, to be read instead of the parts."""
-    _write(read_history(spark, path, schema), 0, out, "business_date")
+def days_around(days: Iterable[dt.date]) -> list[dt.date]:
+    """The days themselves and those next to them."""
+    return sorted({day + dt.timedelta(step) for day in days for step in (-1, 0, 1)})
 
 
 def stream_alerts(stream: DataFrame, state: str, alerts: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Judge again every day whose movement a batch can change: the days it brings prices for and the days after them.
 
-    Each judged day gets a row; one without a movement has no ``delta`` and withdraws what an earlier batch said.
+    Each judged day gets a row; one without a movement has no ``delta`` and withdraws what an earlier batch said.  Only the partitions
+    of those days and the days before them are read, so a single late row of last year reads three days.
     """
     keys = [*FULL_SERIES, "business_date"]
     columns = [*keys, "promo_price", "observed_at", "seq"]
+    store, judgements = state_batches(state), alert_batches(alerts)
 
     def emit(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        # within one day the first of two equal instants stays
-        reduced = first_per_key(batch.select(*columns), keys, [F.col("observed_at").desc(), F.col("seq").asc()])
-        _write(reduced, batch_id, state, "business_date")
-        now = spark.read.parquet(f"{state}/batch={batch_id}")
-        days = now.agg(F.min("business_date"), F.max("business_date")).first()
-        if days[0] is None:
-            return
-        known = (spark.read.schema(StructType(now.schema.fields).add("batch", "long")).parquet(state)
-                 .filter(F.col("batch") <= batch_id)
-                 .filter(F.col("business_date").between(F.date_sub(F.lit(days[0]), 1), F.date_add(F.lit(days[1]), 1))))
-        last = first_per_key(known, keys, [F.col("observed_at").desc(), F.col("batch").asc(), F.col("seq").asc()])
+        reduced = store.merge(batch.select(*columns).withColumn("batch", F.lit(batch_id))).drop("batch")
+        store.add(reduced, batch_id)
+        known = store.read(spark, reduced.schema, batch_id + 1)
+        now = known.filter(F.col("batch") == batch_id)
+        days = days_around(r.business_date for r in reduced.select("business_date").distinct().collect())  # at most one row a day
+        last = store.merge(known.filter(F.col("business_date").isin(days)))
+        now = now.filter(F.col("business_date").isin(days))
         following = now.select(*FULL_SERIES, F.date_add("business_date", 1).alias("business_date"))
         judged = now.select(keys).unionByName(following).distinct()
         touched = last.join(judged, keys, "left_semi").withColumnRenamed("promo_price", "after_price").drop("batch")
         before = last.select(*FULL_SERIES, F.date_add("business_date", 1).alias("business_date"),
                              F.col("promo_price").alias("before_price"))
-        pairs = touched.join(before, keys, "left")
-        moves = movement_columns(pairs)
+        moves = movement_columns(touched.join(before, keys, "left"))
         withdrawn = touched.join(moves.select(keys), keys, "left_anti").withColumn("before_price", F.lit(None).cast("bigint"))
-        _write(moves.unionByName(withdrawn, allowMissingColumns=True), batch_id, alerts)
+        judgements.add(moves.unionByName(withdrawn, allowMissingColumns=True), batch_id)
     return _start(stream, emit, checkpoint, once)
 
 
 def read_alerts(spark: SparkSession, path: str) -> DataFrame:
     """The newest judgement per series and day, where it is a movement."""
-    newest = first_per_key(spark.read.parquet(path), [*FULL_SERIES, "business_date"], [F.col("batch").desc(), F.col("seq").desc()])
-    return newest.filter("delta IS NOT NULL")
+    store = alert_batches(path)
+    folders = store.folders(store.written(spark))
+    return store.merge(spark.read.option("basePath", path).parquet(*folders).drop("level", "from")).filter("delta IS NOT NULL")
 
 
 def stream_labels(stream: DataFrame, index: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Label each batch by the rule index of its brand; a repeated batch replaces its own rows."""
-    return _start(stream, lambda batch, batch_id: _write(label_by_brand(batch, index), batch_id, path), checkpoint, once)
+    return _start(stream, lambda batch, batch_id: label_by_brand(batch, index).write.mode("overwrite").parquet(f"{path}/batch={batch_id}"),
+                  checkpoint, once)

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from shelfledger.operators.quality import GateFailed
 from shelfledger.sinks import tables as S
 from shelfledger.sources import artifacts, rules, seeds
 from shelfledger.streaming import jobs as J
+from shelfledger.streaming.batches import Batches
 
 PRICES = ("seq bigint, chain string, sku string, product_name string, promo_price bigint, original_price bigint, promo_text string, "
           "source_url string")
@@ -129,8 +131,6 @@ def test_stream_history_equals_batch_merge(spark, tmp_path):
         merged = H.merge_history(merged, batch(spark, rows))
     want = {r.seq for r in merged.collect()}
     assert {r.seq for r in J.read_history(spark, path, schema).collect()} == want == {1, 3, 5, 6}
-    J.compact_history(spark, path, schema, str(tmp_path / "compact"))
-    assert {r.seq for r in J.read_history(spark, str(tmp_path / "compact"), schema).collect()} == want
 
 
 def test_stream_alerts(spark, tmp_path):
@@ -158,3 +158,49 @@ def test_alerts_follow_late_corrections(spark, tmp_path):
         assert got == {(str(r.business_date), r.delta) for r in M.day_movements(batch(spark, rows)).collect()}
         seen.append(got)
     assert seen == [{("2024-01-02", 100_000)}, {("2024-01-02", 50_000)}, set()]
+
+
+def test_batches_are_merged_level_by_level(spark, tmp_path):
+    """Thirteen batches with a fan of three: few folders, the same rows, and a repeated batch changes nothing."""
+    path = str(tmp_path / "table")
+    store = Batches(path, J.history_batches(path).merge, ("business_date",), fan=3)
+    rng, merged, schema = random.Random(1), None, None
+    for i in range(13):
+        rows = batch(spark, [(100 * i + j, rng.choice("abc"), f"2024-01-0{rng.randint(1, 4)} {rng.randint(0, 9):02d}:00", rng.randint(1, 99)) for j in range(4)])
+        schema = rows.schema
+        reduced = store.merge(rows.withColumn("batch", F.lit(i))).drop("batch")
+        for _ in range(2 if i == 8 else 1):
+            store.add(reduced, i)
+        merged = reduced if merged is None else H.merge_history(merged, rows)
+        merged = spark.createDataFrame(merged.select(schema.names).collect(), schema)
+        assert len(store.folders(i + 1)) <= 2 * 3
+    assert store.written(spark) == 13 and store.folders(13) == [f"{path}/level=2/from=0", f"{path}/level=1/from=9", f"{path}/level=0/from=12"]
+    assert {r.seq for r in store.merge(store.read(spark, schema)).collect()} == {r.seq for r in merged.collect()}
+    assert len(list((tmp_path / "table" / "level=0").iterdir())) <= 7 and len(Batches("p", None).folders(1000)) == 3 + 14 + 8
+
+
+def test_a_late_row_reads_its_own_days_only(spark, tmp_path):
+    """One row of last year beside rows of today: the state is read for the days around both, not for the year between."""
+    assert J.days_around([dt.date(2024, 3, 1), dt.date(2023, 3, 1)]) == [
+        dt.date(2023, 2, 28), dt.date(2023, 3, 1), dt.date(2023, 3, 2), dt.date(2024, 2, 29), dt.date(2024, 3, 1), dt.date(2024, 3, 2)]
+    store = J.state_batches(str(tmp_path / "state"))
+    rows = batch(spark, [(i, "a", f"2024-0{1 + i // 28}-{1 + i % 28:02d} 03:00", i + 1) for i in range(200)])
+    store.add(rows, 0)
+    found = store.read(spark, rows.schema).filter(F.col("business_date").isin(J.days_around([dt.date(2024, 1, 5), dt.date(2024, 6, 5)])))
+    scan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [business_date" in scan and found.count() == 6
+
+
+def test_a_hot_day_is_written_by_several_tasks(spark, tmp_path):
+    """A day with a third of all rows, or all of them, is no single task's file."""
+    keep = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        rows = spark.range(60_000).selectExpr("id AS seq", "'TGDD' AS chain", "date_add(date'2024-01-01', int(if(id % 3 = 0, 0, id % 30))) AS business_date",
+                                              "cast(rand(1) AS string) AS text")
+        S.publish_snapshot(rows, str(tmp_path / "days"))
+        hot = list((tmp_path / "days" / "business_date=2024-01-01" / "chain=TGDD").glob("*.parquet"))
+        assert len(hot) > 4
+        assert spark.read.parquet(str(tmp_path / "days")).count() == 60_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", keep)
