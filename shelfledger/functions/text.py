@@ -17,17 +17,30 @@ UNICODE = "(?iU)"  # case and word classes over all letters, on every JDK
 
 
 @F.pandas_udf(StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    """Compose accents.  Used once, at ingest; Spark SQL has no normalisation function."""
+def _composed(text: pd.Series) -> pd.Series:
     return text.map(lambda value: unicodedata.normalize("NFC", value), na_action="ignore")
 
 
 @F.pandas_udf(StringType())
-def unescape(text: pd.Series) -> pd.Series:
+def _resolved(text: pd.Series) -> pd.Series:
     """Resolve character references; the standard library holds the full table."""
     return text.map(html.unescape, na_action="ignore")
 
 
+# Blocks without combining marks or characters that composing replaces: Latin and its extensions, Cyrillic, dashes, quotes, the dong sign.
+COMPOSED = r"^[\x{0000}-\x{02FF}\x{0400}-\x{0482}\x{048A}-\x{052F}\x{1E00}-\x{1EFF}\x{2010}-\x{2027}\x{20AB}]*$"
+
+
+def nfc(text: Column) -> Column:
+    """Compose accents; Spark SQL has no normalisation function, so texts outside ``COMPOSED``, and only those, go through Python."""
+    return F.coalesce(_composed(F.when(~text.rlike(COMPOSED), text)), text)
+
+
+def unescape(text: Column) -> Column:
+    """Resolve character references; only texts with an ampersand go through Python."""
+    return F.coalesce(_resolved(F.when(F.contains(text, F.lit("&")), text)), text)
+
+
 def matches(text: Column, pattern: str) -> Column:
     return F.coalesce(text.rlike(UNICODE + pattern), F.lit(False))
 

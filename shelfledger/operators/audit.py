@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfledger import fixed_values as V
 from shelfledger.functions import text as T
+from shelfledger.operators.distinct import exact_counts
 from shelfledger.operators.history import SERIES, week_change
 from shelfledger.operators.latest import latest_per_key
 from shelfledger.operators.rule_index import with_hits
@@ -185,12 +186,11 @@ def coverage_audit(sources: DataFrame, catalog: DataFrame, prices: DataFrame, is
     """One wide row per chain.  Each input is aggregated on its own before the joins over the chain dimension."""
     parts = [
         sources.groupBy("chain").agg(F.count(F.lit(1)).alias("sources_total"), count_if(F.col("ok")).alias("sources_ok")),
-        catalog.groupBy("chain").agg(
-            F.count(F.lit(1)).alias("links"), F.countDistinct("source_url").alias("urls"),
-            F.countDistinct("sku").alias("skus"), F.countDistinct("model").alias("models"),
-            count_if(F.col("model").isNull()).alias("unknown_models")),
+        catalog.groupBy("chain").agg(F.count(F.lit(1)).alias("links"), count_if(F.col("model").isNull()).alias("unknown_models")),
+        exact_counts(catalog, ["chain"], urls="source_url", skus="sku", models="model"),
+        exact_counts(prices, ["chain"], price_skus="sku"),
         prices.groupBy("chain").agg(
-            F.countDistinct("sku").alias("price_skus"), F.count("promo_price").alias("priced"),
+            F.count("promo_price").alias("priced"),
             count_if(F.col("promo_price").isNull()).alias("status_only"),
             F.min("observed_at").alias("observed_from"), F.max("observed_at").alias("observed_to")),
         issues.groupBy("chain").agg(F.count(F.lit(1)).alias("issues"),

@@ -75,18 +75,21 @@ def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def catalog_gate(items: DataFrame, review: DataFrame) -> DataFrame:
-    """One row of counters; a batch passes when all are zero."""
-    base = items.agg(count_if(~F.col("verified")).alias("unverified"),
-                     count_if(missing(F.col("product_name"))).alias("unnamed"),
-                     count_if(F.size("verify_tokens") < 1).alias("untokened"))
-    links = items.select("chain", F.col("source_url"))
-    total = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    parts = [total(duplicates(items, ["chain", "sku"]), "shared_sku"), total(duplicates(links, ["source_url"]), "shared_link"),
-             total(duplicates(review, ["source_url"]), "shared_review_link"),
-             total(links.select("source_url").intersect(review.select("source_url")), "ready_and_review")]
-    for part in parts:
-        base = base.withColumn(part.columns[0], part.scalar())
-    return base
+    """One row of counters; a batch passes when all are zero.
+
+    Items are grouped by SKU, with their own counters, and links of both inputs by link: two scans of the items, one of the review.
+    """
+    skus = items.groupBy("chain", "sku").agg(
+        F.count(F.lit(1)).alias("_n"), count_if(~F.col("verified")).alias("_unverified"),
+        count_if(missing(F.col("product_name"))).alias("_unnamed"), count_if(F.size("verify_tokens") < 1).alias("_untokened"))
+    total = lambda name: F.coalesce(F.sum(f"_{name}"), F.lit(0)).alias(name)
+    by_sku = skus.agg(*(total(n) for n in ("unverified", "unnamed", "untokened")), count_if(F.col("_n") > 1).alias("shared_sku"))
+    links = items.select("source_url", F.lit(1).alias("_ready")).unionByName(review.select("source_url", F.lit(0).alias("_ready")))
+    each = links.groupBy("source_url").agg(F.sum("_ready").alias("_ready"), F.sum(1 - F.col("_ready")).alias("_review"))
+    by_link = each.agg(count_if(F.col("_ready") > 1).alias("shared_link"), count_if(F.col("_review") > 1).alias("shared_review_link"),
+                       count_if((F.col("_ready") > 0) & (F.col("_review") > 0)).alias("ready_and_review"))
+    both = by_sku.unionByName(by_link, allowMissingColumns=True)  # two rows, each with its own counters
+    return both.agg(*(F.max(c).alias(c) for c in both.columns))
 
 
 def enforce(counters: DataFrame, allowed: Sequence[str] = ()) -> None:

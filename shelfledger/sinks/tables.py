@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from shelfledger import fixed_values as V
 from shelfledger.functions import calendar as cal
@@ -55,6 +57,16 @@ def write_parts(rows: DataFrame, path: str, *parts: str) -> None:
     rows.hint("rebalance", *parts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
 
 
+def read_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The table at ``path``, without rows before it is first written."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def append_history(rows: DataFrame, path: str) -> None:
     """Add a run's rows (with ``run_id``); written again, the run replaces itself."""
     write_parts(rows.withColumn("run", F.col("run_id")), path, "week_start", "chain", "run")
@@ -85,13 +97,7 @@ def commit_run(spark: SparkSession, rows: DataFrame, issues: DataFrame, header:
     dated = lambda df: df.withColumn("business_date", cal.business_date(F.col("captured_at"))).withColumn(
         "week_start", cal.monday(F.col("business_date")))
     weekly = stamp(rows).withColumns({"year": F.lit(header["year"]), "week": F.lit(header["week"])})
-    try:
-        existing = spark.read.schema(weekly.schema).parquet(paths["weekly"])
-    except Exception as problem:  # the first run finds no table
-        if "PATH_NOT_FOUND" not in str(problem):
-            raise
-        existing = weekly.limit(0)
-    write_weekly(existing, weekly, paths["weekly"])
+    write_weekly(read_or_empty(spark, paths["weekly"], weekly.schema), weekly, paths["weekly"])
     append_history(dated(stamp(rows)), paths["history"])
     append_history(dated(stamp(issue_rows(issues))), paths["issues"])
     counts = rows.agg(F.count(F.lit(1)).alias("product_count"))
