@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfledger.llm.shared import cut, text_of
+from shelfledger.llm.shared import cut, sheltering, text_of
 
 KEY_END = 1 << 63
 PROBES = 4096
@@ -66,6 +66,7 @@ def find_splitters(sizes: DataFrame, shards: int, probes: int = PROBES, toleranc
     return [min(done[s], KEY_END - 1) for s in sorted(done)]
 
 
+@sheltering("_key", "_list", "_before", "_n")
 def shard(docs: DataFrame, shards: int = 8, row_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``size``, ``shard`` and ``slot`` (gapless from 0 in each shard).
 
@@ -73,7 +74,7 @@ def shard(docs: DataFrame, shards: int = 8, row_id: str = "doc_id", text: str =
     Rows alike in id and text share a key and so a shard.  Own columns replace input columns of the same name; an empty table
     gives an empty table.
     """
-    docs = docs.drop("size", "shard", "slot", "_key", "_list", "_before")
+    docs = docs.drop("size", "shard", "slot")
     size = (F.octet_length(text_of(text)) + F.lit(1)).cast("bigint")
     keyed = docs.withColumns({"size": size, "_key": sort_key(text_of(text), F.col(row_id))})
     splitters = find_splitters(cut(keyed.select(F.col("_key").alias("key"), "size")), shards)

@@ -69,7 +69,8 @@ def tokenize(docs: DataFrame, ranks_path: str, pattern: str, json_path: str, row
              capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """One row per piece: row_id, piece, start, length, ids_crc32 and, if asked for, ids.
 
-    A NULL text counts as empty and gives one piece with the end id alone.
+    A NULL text counts as empty and gives one piece with the end id alone.  Repeated rows are cut alike, once each; an empty table gives no
+    piece; other columns, whatever their names, are not read.  A very long text is encoded in one piece of work and cut into many.
     """
     kind = docs.schema[row_id].dataType.simpleString()
 

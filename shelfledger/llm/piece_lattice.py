@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfledger.llm.rounds import chunk_counts
-from shelfledger.llm.shared import text_of
+from shelfledger.llm.shared import sheltering, text_of
 
 MARK = "▁"  # stands for a blank
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -173,17 +173,20 @@ def viterbi_long(word: str, table: dict[str, tuple[int, float]], longest: int, u
 
 # -- documents -------------------------------------------------------------------------------------------------------------
 
+@sheltering("_chunk", "chunk")
 def encode(docs: DataFrame, model: Model, row_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with ``ids``.  A NULL or empty text has none; repeated rows are encoded alike; an input column ``ids`` is replaced."""
+    """``docs`` with ``ids``.  A NULL or empty text has none; repeated rows are encoded alike; an input column ``ids`` is replaced, all
+    others are kept.  An empty table gives an empty table.  A very long text is cut into words in one piece, each of which is looked up once.
+    """
     spark = docs.sparkSession
-    docs = docs.drop("ids", "_chunk")
+    docs = docs.drop("ids")
     names = docs.columns
     pieces = model.pieces()
     longest = max(len(p) for p, _, _ in pieces)
     table = {p: (i, s) for p, i, s in pieces}
     byte_ids, unknown_id, unknown = model.bytes(), _processor(model.path).unk_id(), min(s for _, _, s in pieces) - 10
     chunks, _ = chunk_counts(docs, text)
-    base = docs.withColumn("_chunk", F.pmod(F.xxhash64(row_id), F.lit(chunks)).cast("int"))
+    base = docs.withColumn("_chunk", F.pmod(F.xxhash64(row_id, text), F.lit(chunks)).cast("int"))
     prefix, kind = model.dummy_prefix, model.kind
 
     def ask(rows: pa.Table) -> pa.Table:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfledger.llm.shared import WORD, text_of, words_of
+from shelfledger.llm.shared import WORD, sheltering, text_of, words_of
 
 WINDOW = 8  # words of a window whose repetition counts
 MIN_WORDS = 20
@@ -94,6 +94,7 @@ def _repeated_words(docs: DataFrame) -> DataFrame:
             .drop("_hash", "_win", "_sorted", "_starts"))
 
 
+@sheltering("_words", "_lines", "_judged", "_spoken", "_facts", "_row", "_hash", "_win", "_sorted", "_starts")
 def judge(docs: DataFrame, rules: LineRules | None = None) -> DataFrame:
     """``docs`` with counts, ``clean_text``, ``line_faults``, ``lost_chars``, ``base_failed`` and ``kept``.
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,3 +55,14 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def sheltering(*helpers: str) -> Callable:
+    """Makes an operator give back columns of the caller's that have the names of its helper columns: they are renamed meanwhile."""
+    def wrap(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @wraps(operator)
+        def work(docs: DataFrame, *args, **options) -> DataFrame:
+            away = {c: free_name(docs, f"_own{c}") for c in docs.columns if c.lower() in helpers}
+            return operator(docs.withColumnsRenamed(away), *args, **options).withColumnsRenamed({v: k for k, v in away.items()})
+        return work
+    return wrap

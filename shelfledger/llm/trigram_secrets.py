@@ -15,7 +15,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfledger.llm.shared import text_of
+from shelfledger.llm.shared import sheltering, text_of
 
 MOST_STRINGS = 64  # exact alternatives followed through a sequence; beyond them the query is only weaker
 ROWS_PER_BLOCK = 1024
@@ -191,12 +191,13 @@ def _labelled(spans: Column, order: int, named: list[Column]) -> Column:
     return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(order).alias("order"), x["end"].alias("end"), *named))
 
 
+@sheltering("_key", "kinds")
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, row_id: str = "doc_id") -> DataFrame:
     """``docs`` with ``spans``, an array of (start, end, kind, base) ordered by start, then by the rules' order.
 
     A NULL or empty text has no spans.  Repeated rows are scanned alike.  Own columns replace input columns of the same name.
     """
-    docs = docs.drop("_key", "kinds", "spans").withColumn("_key", row_key(row_id))
+    docs = docs.drop("spans").withColumn("_key", row_key(row_id))
     found = candidates(postings(docs, needed_trigrams(rules), row_id), rules)
     joined = docs.join(found, "_key", "left")
     text = text_of()

@@ -154,3 +154,13 @@ def test_trigram_queries():
     assert query["access"] == [[frozenset({"aki", "kia"})]]
     assert frozenset({"tok", "oke", "ken"}) in query["assign"][0]
     assert query["url_login"] == [[frozenset({"://"})]]
+
+
+@pytest.mark.parametrize("operator", [quality_lines.judge, lambda df: histogram_sort.shard(df, 3), trigram_secrets.scan])
+def test_columns_with_the_names_of_helpers_come_back(spark, operator):
+    names = ["_words", "_lines", "_key", "kinds", "_list", "_before", "_n", "_row", "_sorted"]
+    df = spark.createDataFrame([(i, "some text with token=abcdefghijkl " * 3, *[100 * i + j for j in range(len(names))]) for i in range(9)],
+                               "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    got = operator(df)
+    assert [c for c in got.columns if c in df.columns] == df.columns
+    assert sorted(tuple(r) for r in got.select("doc_id", *names).collect()) == [(i, *[100 * i + j for j in range(len(names))]) for i in range(9)]
