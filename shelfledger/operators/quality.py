@@ -100,25 +100,36 @@ def enforce(counters: DataFrame, allowed: Sequence[str] = ()) -> None:
         raise GateFailed(", ".join(f"{n}={v}" for n, v in broken.items()))
 
 
-def run_gate(rows: DataFrame, issues: DataFrame, chain: str, year: int, week: int, expected: int | None) -> DataFrame:
-    """Counters of everything that forbids writing a chain's run, one pass over each input."""
+def row_counters(chain: str) -> list[Column]:
+    """Aggregates over a run's rows that its gate needs."""
     no_price = F.col("promo_price").isNull()
     bad_status = no_price & (F.col("original_price").isNotNull() | ~T.has_status(F.col("promo_text")))
-    prices = rows.agg(
-        F.count(F.lit(1)).alias("row_count"), count_if(~F.col("chain").eqNullSafe(F.lit(chain))).alias("other_chain"),
-        count_if(F.col("promo_price") <= 0).alias("bad_price"), count_if(bad_status).alias("bad_status"))
-    broken = issues.agg(F.count(F.lit(1)).alias("issue_count"),
-                        count_if(~F.col("chain").eqNullSafe(F.lit(chain))).alias("other_chain_issues"))
-    for name in ("issue_count", "other_chain_issues"):
-        prices = prices.withColumn(name, broken.select(name).scalar())
+    return [F.count(F.lit(1)).alias("row_count"), count_if(~F.col("chain").eqNullSafe(F.lit(chain))).alias("other_chain"),
+            count_if(F.col("promo_price") <= 0).alias("bad_price"), count_if(bad_status).alias("bad_status")]
+
+
+def issue_counters(chain: str) -> list[Column]:
+    return [F.count(F.lit(1)).alias("issue_count"), count_if(~F.col("chain").eqNullSafe(F.lit(chain))).alias("other_chain_issues")]
+
+
+def judged_counters(counters: DataFrame, year: int, week: int, expected: int | None) -> DataFrame:
+    """One row of what forbids a run, from one row of the counters above."""
     wanted = F.lit(expected).cast("bigint")
     valid_week = cal.iso_week_exists(F.lit(year), F.lit(week))
-    return prices.select(
+    return counters.select(
         (F.col("row_count") == 0).cast("bigint").alias("empty"), "other_chain", "other_chain_issues", "bad_price",
         "bad_status", F.coalesce((F.col("row_count") + F.col("issue_count") != wanted).cast("bigint"), F.lit(1)).alias(
             "unreconciled"), (~F.coalesce(valid_week, F.lit(False))).cast("bigint").alias("bad_week"))
 
 
+def run_gate(rows: DataFrame, issues: DataFrame, chain: str, year: int, week: int, expected: int | None) -> DataFrame:
+    """Counters of everything that forbids writing a chain's run, one pass over each input."""
+    prices, broken = rows.agg(*row_counters(chain)), issues.agg(*issue_counters(chain))
+    for name in broken.columns:
+        prices = prices.withColumn(name, broken.select(name).scalar())
+    return judged_counters(prices, year, week, expected)
+
+
 # --- evidence --------------------------------------------------------------------------------------------------------
 
 

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -20,7 +21,7 @@ from shelfledger.functions import text as T
 from shelfledger.operators.audit import count_if
 from shelfledger.operators.catalog import last_write
 from shelfledger.operators.history import SERIES, week_cells
-from shelfledger.operators.quality import duplicates, enforce, run_gate
+from shelfledger.operators.quality import duplicates, enforce, issue_counters, judged_counters, row_counters
 
 WEEKLY_KEY = ["chain", "sku", "year", "week"]
 
@@ -86,23 +87,41 @@ def issue_rows(issues: DataFrame) -> DataFrame:
     return issues.na.fill("", ["sku", "product_name", "category", "brand", "error_kind"])
 
 
+def gathered(seen: Observation, *names: str) -> dict[str, int]:
+    """Counters of a finished write; all zero where the optimizer knew that there was nothing to write and dropped them."""
+    try:
+        return seen.get
+    except Py4JJavaError as problem:
+        if "toPyRow" not in str(problem):
+            raise
+        return dict.fromkeys(names, 0)
+
+
 def commit_run(spark: SparkSession, rows: DataFrame, issues: DataFrame, header: dict, paths: dict[str, str]) -> None:
-    """Check a chain's run, then write weekly rows, history, issues and, last, the header; a known run is left as it is."""
+    """Write a chain's history and issues, judge the run by counters gathered while they were written, then write its weekly rows and,
+    last, the header; a known run is left as it is.
+
+    Rows and issues are computed once.  A run that fails leaves partitions of its own without a header, which readers don't see and its
+    next try replaces.
+    """
     if committed(spark, header["run_id"], paths["runs"]):
         return
-    enforce(run_gate(rows, issues, header["chain"], header["year"], header["week"], header["expected_count"]))
-    enforce(duplicates(rows, SERIES).agg(F.count(F.lit(1)).alias("shared_sku")))
     stamp = lambda df: df.withColumns({"run_id": F.lit(header["run_id"]), "captured_at": F.lit(header["completed_at"])
                                        .cast("timestamp_ntz")})
     dated = lambda df: df.withColumn("business_date", cal.business_date(F.col("captured_at"))).withColumn(
         "week_start", cal.monday(F.col("business_date")))
-    weekly = stamp(rows).withColumns({"year": F.lit(header["year"]), "week": F.lit(header["week"])})
+    whole, seen_rows, seen_issues = dated(stamp(rows)), Observation(), Observation()
+    append_history(whole.observe(seen_rows, *row_counters(header["chain"])), paths["history"])
+    append_history(dated(stamp(issue_rows(issues))).observe(seen_issues, *issue_counters(header["chain"])), paths["issues"])
+    counters = {**gathered(seen_rows, "row_count", "other_chain", "bad_price", "bad_status"), **gathered(seen_issues, "issue_count", "other_chain_issues")}
+    names = ", ".join(f"{n} bigint" for n in counters)
+    enforce(judged_counters(spark.createDataFrame([tuple(counters.values())], names), header["year"], header["week"], header["expected_count"]))
+    written = read_or_empty(spark, paths["history"], whole.withColumn("run", F.col("run_id")).schema).filter(F.col("run") == header["run_id"])
+    enforce(duplicates(written, SERIES).agg(F.count(F.lit(1)).alias("shared_sku")))
+    weekly = written.select(*rows.columns, "run_id", "captured_at").withColumns({"year": F.lit(header["year"]), "week": F.lit(header["week"])})
     write_weekly(read_or_empty(spark, paths["weekly"], weekly.schema), weekly, paths["weekly"])
-    append_history(dated(stamp(rows)), paths["history"])
-    append_history(dated(stamp(issue_rows(issues))), paths["issues"])
-    counts = rows.agg(F.count(F.lit(1)).alias("product_count"))
-    head = counts.select("product_count", *(F.lit(v).alias(k) for k, v in header.items()))
-    write_parts(head.withColumn("run", F.col("run_id")), paths["runs"], "run")
+    head = spark.createDataFrame([(counters["row_count"],)], "product_count bigint")
+    write_parts(head.select("product_count", *(F.lit(v).alias(k) for k, v in header.items())).withColumn("run", F.col("run_id")), paths["runs"], "run")
 
 
 def catalog_publish_gate(rows: DataFrame, keys: Sequence[str] = ("chain",)) -> DataFrame:

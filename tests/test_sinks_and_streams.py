@@ -51,6 +51,29 @@ def test_commit_run(spark, tmp_path):
     assert spark.read.parquet(paths["runs"]).count() == 2
 
 
+def test_a_run_is_computed_once_and_a_failing_one_has_no_header(spark, tmp_path):
+    paths = {n: str(tmp_path / n) for n in ("weekly", "history", "issues", "runs")}
+    issues = spark.createDataFrame([], "chain string, sku string, product_name string, category string, brand string, error_kind string, reason string")
+    passes = spark.sparkContext.accumulator(0)
+
+    def counted(df):
+        def work(batches):
+            for batch in batches:
+                passes.add(batch.num_rows)
+                yield batch
+        return df.mapInArrow(work, df.schema)
+
+    good = [(f"k{i}", 10 + i) for i in range(6)]
+    for bad, expected in (([("a", 0)], 7), ([("k0", 5)], 7), ([], 9), ([("z", -5)], 7), (None, 0)):  # no row at all, no price, a repeated SKU, a wrong number, a negative price
+        with pytest.raises(GateFailed):
+            S.commit_run(spark, prices(spark, *good, *bad) if bad is not None else prices(spark, *good).limit(0), issues, header("7", "2024-01-08 20:00:00", expected), paths)
+        assert not S.committed(spark, "7", paths["runs"]) and not (tmp_path / "weekly").exists()
+    S.commit_run(spark, counted(prices(spark, *good)), issues, header("7", "2024-01-08 20:00:00", 6), paths)
+    assert passes.value == 6 and S.committed(spark, "7", paths["runs"])
+    assert spark.read.parquet(paths["runs"]).first().product_count == 6
+    assert spark.read.parquet(paths["history"]).count() == spark.read.parquet(paths["weekly"]).count() == 6  # what failed is replaced
+
+
 def test_snapshot_replaces_only_its_days(spark, tmp_path):
     path = str(tmp_path / "snap")
     rows = lambda day, price: prices(spark, ("a", price)).withColumn("business_date", F.lit(day).cast("date"))
