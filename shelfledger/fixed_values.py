@@ -109,7 +109,7 @@ BRAND_TOKENS = [
     ("Samsung", r"\b(samsung|galaxy)\b"),
     ("Xiaomi", r"\b(xiaomi|redmi|poco)\b"),
 ]
-BRAND_NAMES = ["oppo", "asus", "hp", "dell", "lenovo", "huawei", "garmin", "acer", "msi"]
+BRAND_NAMED = r"\b(oppo|asus|hp|dell|lenovo|huawei|garmin|acer|msi)\b"
 BRAND_SCOPE = ["Apple"]
 
 # --- fixed values: scope words ---------------------------------------------------------------------------------------
@@ -229,9 +229,6 @@ LINK_CHANNELS = [
     Channel("phongvu", "Phong Vũ", ["phongvu.vn"], r"/[a-z0-9-]+--[sp]\d+", "sku"),
 ]
 
-_HTML_PAGE = r"^https://(?:www\.)?cellphones\.com\.vn/[^/?#]+\.html(?:\?.*)?$"
-_PID_PAGE = r"^https://(?:www\.)?viettelstore\.vn/[^?#]*-pid[0-9]+(?:\.html)?/?(?:\?.*)?$"
-_SKU_PAGE = r"^https://(?:www\.)?phongvu\.vn/[^?#]*--s[0-9]+(?:\.html)?/?(?:\?.*)?$"
 CATEGORY_URL_PATTERNS = {
     "TGDD": {
         PHONE: r"^https://(?:www\.)?thegioididong\.com/dtdd/[^/?#]+/?(?:\?.*)?$",
@@ -247,9 +244,26 @@ CATEGORY_URL_PATTERNS = {
         WATCH: r"^https://(?:www\.)?fptshop\.com\.vn/smartwatch/[^/?#]+/?(?:\?.*)?$",
         "Airpods": r"^https://(?:www\.)?fptshop\.com\.vn/tai-nghe/[^/?#]+/?(?:\?.*)?$",
     },
-    "CellphoneS": {c: _HTML_PAGE for c in (PHONE, TABLET, LAPTOP, WATCH, "Airpods")},
-    "Viettel Store": {c: _PID_PAGE for c in (PHONE, TABLET, WATCH, "Airpods")},
-    "Phong Vũ": {c: _SKU_PAGE for c in (PHONE, TABLET, LAPTOP, WATCH, "Airpods")},
+    "CellphoneS": {
+        PHONE: r"^https://(?:www\.)?cellphones\.com\.vn/[^/?#]+\.html(?:\?.*)?$",
+        TABLET: r"^https://(?:www\.)?cellphones\.com\.vn/[^/?#]+\.html(?:\?.*)?$",
+        LAPTOP: r"^https://(?:www\.)?cellphones\.com\.vn/[^/?#]+\.html(?:\?.*)?$",
+        WATCH: r"^https://(?:www\.)?cellphones\.com\.vn/[^/?#]+\.html(?:\?.*)?$",
+        "Airpods": r"^https://(?:www\.)?cellphones\.com\.vn/[^/?#]+\.html(?:\?.*)?$",
+    },
+    "Viettel Store": {
+        PHONE: r"^https://(?:www\.)?viettelstore\.vn/[^?#]*-pid[0-9]+(?:\.html)?/?(?:\?.*)?$",
+        TABLET: r"^https://(?:www\.)?viettelstore\.vn/[^?#]*-pid[0-9]+(?:\.html)?/?(?:\?.*)?$",
+        WATCH: r"^https://(?:www\.)?viettelstore\.vn/[^?#]*-pid[0-9]+(?:\.html)?/?(?:\?.*)?$",
+        "Airpods": r"^https://(?:www\.)?viettelstore\.vn/[^?#]*-pid[0-9]+(?:\.html)?/?(?:\?.*)?$",
+    },
+    "Phong Vũ": {
+        PHONE: r"^https://(?:www\.)?phongvu\.vn/[^?#]*--s[0-9]+(?:\.html)?/?(?:\?.*)?$",
+        TABLET: r"^https://(?:www\.)?phongvu\.vn/[^?#]*--s[0-9]+(?:\.html)?/?(?:\?.*)?$",
+        LAPTOP: r"^https://(?:www\.)?phongvu\.vn/[^?#]*--s[0-9]+(?:\.html)?/?(?:\?.*)?$",
+        WATCH: r"^https://(?:www\.)?phongvu\.vn/[^?#]*--s[0-9]+(?:\.html)?/?(?:\?.*)?$",
+        "Airpods": r"^https://(?:www\.)?phongvu\.vn/[^?#]*--s[0-9]+(?:\.html)?/?(?:\?.*)?$",
+    },
 }
 
 # --- letters that search keys drop the accent of, built from the Unicode decompositions ------------------------------
