@@ -2,31 +2,32 @@
 
 Base matches (strict patterns with their checks) always stay.  Wide patterns propose further, overlapping spans; a gradient-boosted
 ensemble scores each by its shape and the text around it, and a span is added when its score reaches the threshold of its kind.
-The ensemble is fitted once on a bounded sample of documents, on candidates like those it will score: none overlaps a base match.
+The ensemble is fitted on all documents, on candidates like those it will score: none overlaps a base match.
 Positive are base matches written again, where they stand, in forms that the base patterns miss; negative are the other candidates.
-Thresholds are calibrated on documents that the fit has not seen, so that at least ``PRECISION`` of what passes is confirmed.
+Candidates become counted rows of bins; each level of a tree is chosen by histograms that the tasks sum over their own rows.
+Thresholds are calibrated on the third of the documents that the fit leaves out, so that at least ``PRECISION`` of what passes is confirmed.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfledger.llm import textblock as B
-from shelfledger.llm.shared import hash_sample
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_DOCUMENTS = 4000  # documents, about, that the trees are fitted on
-SAMPLE_CANDIDATES = 20_000  # bound of the candidates taken from it
+DRIVER_ROWS = 20_000  # different rows of bins that are fitted in one place; more stay with the tasks, with the same result
+KEEP_TREES = 10  # trees after which the blocks' scores are kept anew
+SCALE, GRID = 2.0 ** 20, 2.0 ** 16  # gradients are summed, and scores compared, as whole numbers: no sum depends on its order
 TREES, DEPTH, RATE, BINS = 60, 3, 0.2, 32
 PRECISION = 0.98
 LEAST_CONFIRMED = 20  # confirmed candidates above a threshold before it may be used
@@ -133,66 +134,80 @@ def features(text: str, start: int, end: int, kind: int) -> list[float]:
 
 # -- boosted trees ---------------------------------------------------------------------------------------------------------
 
+Tree = tuple[np.ndarray, np.ndarray, np.ndarray]  # feature, bin, value by node
+Sums = Callable[[Tree, int], np.ndarray]
+
+
 @dataclass
 class Trees:
     """Depth-limited regression trees on binned features, fitted to the logistic loss."""
 
     edges: list[np.ndarray] = field(default_factory=list)
     start: float = 0.0
-    trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)  # feature, bin, value by node
+    trees: list[Tree] = field(default_factory=list)
 
     def bins(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(self.edges)], 1)
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
-        self.edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]
-        b = self.bins(x)
-        rate = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-        self.start = float(np.log(rate / (1 - rate)))
-        score = np.full(len(y), self.start)
-        for _ in range(TREES):
-            p = 1 / (1 + np.exp(-score))
-            tree = self._grow(b, y - p, p * (1 - p))
-            self.trees.append(tree)
-            score += self._walk(b, tree)
-        return self
-
-    def _grow(self, b: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        nodes = 2 ** (DEPTH + 1) - 1
-        feature, cut, value = np.full(nodes, -1), np.zeros(nodes, np.int64), np.zeros(nodes)
-        node = np.zeros(len(b), np.int64)
-        for k in range(nodes):
-            here = node == k
-            if not here.any():
-                continue
-            gs, hs = g[here], h[here]
-            value[k] = RATE * gs.sum() / (hs.sum() + 1)
-            if k >= 2 ** DEPTH - 1 or here.sum() < 10:
-                continue
-            best = 1e-6
-            for j in range(b.shape[1]):
-                left_g = np.cumsum(np.bincount(b[here, j], gs, BINS + 1))[:-1]
-                left_h = np.cumsum(np.bincount(b[here, j], hs, BINS + 1))[:-1]
-                gain = left_g ** 2 / (left_h + 1) + (gs.sum() - left_g) ** 2 / (hs.sum() - left_h + 1) - gs.sum() ** 2 / (hs.sum() + 1)
-                at = int(gain.argmax())
-                if gain[at] > best:
-                    best, feature[k], cut[k] = gain[at], j, at
-            if feature[k] >= 0:
-                node[here] = np.where(b[here, feature[k]] <= cut[k], 2 * k + 1, 2 * k + 2)
-        return feature, cut, value
-
-    @staticmethod
-    def _walk(b: np.ndarray, tree: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-        feature, cut, value = tree
-        node = np.zeros(len(b), np.int64)
-        for _ in range(DEPTH):
-            f = feature[node]
-            node = np.where(f < 0, node, np.where(b[np.arange(len(b)), np.maximum(f, 0)] <= cut[node], 2 * node + 1, 2 * node + 2))
-        return value[node]
-
     def predict(self, x: np.ndarray) -> np.ndarray:
-        b = self.bins(x)
-        return 1 / (1 + np.exp(-(self.start + sum(self._walk(b, t) for t in self.trees))))
+        return 1 / (1 + np.exp(-raised(np.full(len(x), self.start), self.bins(x), self.trees)))
+
+
+def nodes_at(b: np.ndarray, tree: Tree, level: int) -> np.ndarray:
+    """The node that each row has reached after ``level`` questions."""
+    feature, cut, _ = tree
+    node, rows = np.zeros(len(b), np.int64), np.arange(len(b))
+    for _ in range(level):
+        f = feature[node]
+        node = np.where(f < 0, node, np.where(b[rows, np.maximum(f, 0)] <= cut[node], 2 * node + 1, 2 * node + 2))
+    return node
+
+
+def raised(score: np.ndarray, b: np.ndarray, trees: list[Tree]) -> np.ndarray:
+    for tree in trees:
+        score = score + tree[2][nodes_at(b, tree, DEPTH)]
+    return score
+
+
+def level_sums(b: np.ndarray, y: np.ndarray, n: np.ndarray, score: np.ndarray, tree: Tree, level: int) -> np.ndarray:
+    """(node of the level, feature, bin, 3): how many rows, and their whole-number gradients of first and second order."""
+    p, first = 1 / (1 + np.exp(-score)), 2 ** level - 1
+    node = nodes_at(b, tree, level) - first
+    live = node >= 0
+    at, b, n, p, y = node[live] * (BINS + 1), b[live], n[live], p[live], y[live]
+    each = (n, np.rint((y - p) * SCALE) * n, np.rint(p * (1 - p) * SCALE) * n)
+    shape = (first + 1, BINS + 1)
+    return np.stack([np.stack([np.bincount(at + b[:, j], v, shape[0] * shape[1]).reshape(shape) for v in each], -1) for j in range(b.shape[1])], 1)
+
+
+def grow(sums: Sums) -> Tree:
+    size = 2 ** (DEPTH + 1) - 1
+    feature, cut, value = tree = np.full(size, -1), np.zeros(size, np.int64), np.zeros(size)
+    for level in range(DEPTH):
+        for k, found in enumerate(sums(tree, level), 2 ** level - 1):
+            n, (g, h) = found[0, :, 0].sum(), found[0, :, 1:].sum(0) / SCALE
+            if not k:
+                value[k] = RATE * g / (h + 1)
+            if n < 10:
+                continue
+            left_g, left_h = np.moveaxis(found[:, :, 1:].cumsum(1)[:, :-1] / SCALE, -1, 0)
+            gain = left_g ** 2 / (left_h + 1) + (g - left_g) ** 2 / (h - left_h + 1) - g ** 2 / (h + 1)
+            j, at = np.unravel_index(gain.argmax(), gain.shape)
+            if gain[j, at] > 1e-6:
+                feature[k], cut[k] = j, at
+                value[2 * k + 1] = RATE * left_g[j, at] / (left_h[j, at] + 1)
+                value[2 * k + 2] = RATE * (g - left_g[j, at]) / (h - left_h[j, at] + 1)
+    return tree
+
+
+def quantile_edges(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Different inner quantiles of values that come ``counts`` times each, between neighbours in proportion."""
+    order = np.argsort(values)
+    values, ends = values[order], np.cumsum(counts[order])
+    at = np.linspace(0, 1, BINS + 1)[1:-1] * (ends[-1] - 1)
+    low = np.floor(at)
+    below, above = (values[np.minimum(np.searchsorted(ends, i, "right"), len(values) - 1)] for i in (low, low + 1))
+    return np.unique(below + (above - below) * (at - low))
 
 
 @dataclass
@@ -242,48 +257,185 @@ def labelled(text: str) -> list[list[float]]:
     return out
 
 
-def calibrate(kind: np.ndarray, score: np.ndarray, y: np.ndarray) -> dict[int, float]:
-    """For each kind the lowest score above which at least ``PRECISION`` of the candidates are confirmed, if enough are."""
+def on_grid(score: np.ndarray) -> np.ndarray:
+    return np.floor(score * GRID) / GRID
+
+
+def calibrate(kind: np.ndarray, score: np.ndarray, hits: np.ndarray, n: np.ndarray) -> dict[int, float]:
+    """For each kind the lowest score above which at least ``PRECISION`` of the candidates are confirmed, if enough are.
+
+    A row stands for ``n`` candidates of which ``hits`` are confirmed.
+    """
     out = {}
     for k in range(len(KINDS)):
         order = np.argsort(-score[kind == k], kind="stable")
-        s, hits = score[kind == k][order], np.cumsum(y[kind == k][order])
-        good = np.flatnonzero((hits / np.arange(1, len(s) + 1) >= PRECISION) & (hits >= LEAST_CONFIRMED) & (np.append(s[1:], -1) < s))
+        s, right, seen = score[kind == k][order], np.cumsum(hits[kind == k][order]), np.cumsum(n[kind == k][order])
+        good = np.flatnonzero((right / np.maximum(seen, 1) >= PRECISION) & (right >= LEAST_CONFIRMED) & (np.append(s[1:], -1) < s))
         if len(good):
             out[k] = float(s[good[-1]])
     return out
 
 
+def first_score(fit: dict[float, int], held: dict[float, int]) -> float | None:
+    """The log-odds of the label, from candidates per label; None where there are too few of one label to fit."""
+    ones, total = fit.get(1.0, 0), sum(fit.values())
+    if total + sum(held.values()) < 60 or not 10 <= ones <= total - 10:
+        return None
+    rate = float(np.clip(ones / total, 1e-3, 1 - 1e-3))
+    return float(np.log(rate / (1 - rate)))
+
+
+def fit_bins(edges: list[np.ndarray], start: float, b: np.ndarray, y: np.ndarray, n: np.ndarray, held: np.ndarray, kind: np.ndarray) -> Model:
+    """The model from rows of bins that are all in one place."""
+    trees = Trees(edges, start)
+    fit, score = (b[~held], y[~held], n[~held]), np.full(int((~held).sum()), start)
+    for _ in range(TREES):
+        trees.trees.append(grow(lambda tree, level: level_sums(*fit, score, tree, level)))
+        score = raised(score, fit[0], trees.trees[-1:])
+    last = on_grid(1 / (1 + np.exp(-raised(np.full(int(held.sum()), start), b[held], trees.trees))))
+    return Model(trees, calibrate(kind[held], last, (y * n)[held], n[held]))
+
+
 def fit_model(rows: np.ndarray, held: np.ndarray | None = None) -> Model:
     """``rows``: features and label.  Those in ``held``, else every third, are kept for calibration; too few of one label give no trees."""
-    if len(rows) < 60:
-        return Model()
     held = np.arange(len(rows)) % 3 == 0 if held is None else held
     x, y = rows[:, :-1], rows[:, -1]
-    if not 10 <= y[~held].sum() <= (~held).sum() - 10:
+    start = first_score(*(Counter(y[part].tolist()) for part in (~held, held)))
+    if start is None:
         return Model()
-    trees = Trees().fit(x[~held], y[~held])
-    return Model(trees, calibrate(x[held, 0].astype(int), trees.predict(x[held]), y[held]))
-
+    edges = [quantile_edges(*np.unique(x[~held, j], return_counts=True)) for j in range(x.shape[1])]
+    return fit_bins(edges, start, Trees(edges).bins(x), y, np.ones(len(rows)), held, x[:, 0].astype(int))
 
-def train(docs: DataFrame, row_id: str = "doc_id", text: str = "text", documents: int = SAMPLE_DOCUMENTS,
-          most: int = SAMPLE_CANDIDATES) -> Model:
-    """The model from about ``documents`` documents chosen by id hash; what reaches the driver is bounded by ``most``.
 
-    NULL and empty texts give no candidates.  An empty table, or one with few candidates, gives a model that adds nothing to the base.
-    """
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+def counted(docs: DataFrame, text: str) -> DataFrame:
+    """(row, held, n): the different rows of features and label, as bytes, of all texts, and how often each comes."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in B.slabs(batches, "text"):
+            found: Counter = Counter()
             for value in batch["text"].to_pylist():
                 rows = labelled(value or "")
                 if rows:  # all rows of a text go to the same part, since its forms of one span are alike
-                    held = xxhash.xxh64_intdigest((value or "").encode()) % 3 == 0
-                    yield pa.RecordBatch.from_arrays([pa.array([[*r, float(held)] for r in rows], pa.list_(pa.float64()))], ["row"])
+                    held = xxhash.xxh64_intdigest((value or "").encode("utf-8", "replace")) % 3 == 0
+                    found.update((np.array(r).tobytes(), held) for r in rows)
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in found], pa.binary()), pa.array([h for _, h in found], pa.bool_()),
+                                              pa.array(list(found.values()), pa.int64())], ["row", "held", "n"])
+
+    found = docs.select(F.col(text).alias("text")).mapInArrow(work, "row binary, held boolean, n bigint")
+    return found.groupBy("row", "held").agg(F.sum("n").alias("n"))
+
 
-    chosen = hash_sample(docs, row_id, documents)
-    found = chosen.select(F.col(text).alias("text")).mapInArrow(work, "row array<double>").select(F.col("row"), F.xxhash64("row").alias("_order"))
-    rows = np.array([r["row"] for r in found.orderBy("_order", "row").limit(most).collect()], float).reshape(-1, FEATURES + 2)
-    return fit_model(rows[:, :-1], rows[:, -1] > 0)
+def _matrix(rows: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(rows.to_pylist()), float).reshape(-1, FEATURES + 1)
+
+
+def bin_edges(rows: DataFrame) -> list[np.ndarray]:
+    """The edges of each feature's bins.  Spans are of bounded length, so a feature has a bounded number of values."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, n = _matrix(batch["row"]), batch["n"].to_numpy()
+            for j in range(FEATURES if len(x) else 0):
+                values, at = np.unique(x[:, j], return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array([j] * len(values), pa.int32()), pa.array(values), pa.array(np.bincount(at, n).astype(np.int64))],
+                                                 ["feature", "value", "n"])
+
+    found = rows.filter("NOT held").mapInArrow(work, "feature int, value double, n bigint").groupBy("feature", "value").agg(F.sum("n").alias("n")).toArrow()
+    feature, value, n = (found[c].to_numpy() for c in ("feature", "value", "n"))
+    return [quantile_edges(value[feature == j], n[feature == j]) for j in range(FEATURES)]
+
+
+def binned(rows: DataFrame, edges: list[np.ndarray]) -> DataFrame:
+    """(bins, kind, y, held, n) of ``counted`` rows: different rows of bins."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch["row"])
+            bins = Trees(edges).bins(x[:, :-1]).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in bins], pa.binary()), pa.array(x[:, 0].astype(np.int32)),
+                                              pa.array(x[:, -1].astype(np.int32)), batch["held"], batch["n"]], ["bins", "kind", "y", "held", "n"])
+
+    keys = ["bins", "kind", "y", "held"]
+    return rows.mapInArrow(work, "bins binary, kind int, y int, held boolean, n bigint").groupBy(*keys).agg(F.sum("n").alias("n"))
+
+
+def _bins(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, FEATURES)
+
+
+def fit_blocks(rows: DataFrame, edges: list[np.ndarray], start: float) -> Model:
+    """The model of ``fit_bins`` from rows that stay with the tasks: each holds blocks with their scores and sums histograms over them;
+    a histogram's size is fixed, and the driver adds up one per task."""
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            body = [_bins(batch["bins"]), batch["y"].to_numpy().astype(float), batch["n"].to_numpy().astype(float), np.full(len(batch), start)]
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in body], names)
+
+    names = ["bins", "y", "n", "score"]
+    schema = ", ".join(f"{c} binary" for c in names)
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        for batch in batches:
+            for b, *others in zip(*(batch[c].to_pylist() for c in names)):
+                yield np.frombuffer(b, np.uint8).reshape(-1, FEATURES), *(np.frombuffer(x, float) for x in others)
+
+    def summed(new: list[Tree], tree: Tree, level: int) -> np.ndarray:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = sum(level_sums(b, y, n, raised(score, b, new), tree, level) for b, y, n, score in opened(batches))
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()] if isinstance(total, np.ndarray) else [], pa.binary())], ["sums"])
+
+        found = kept.mapInArrow(work, "sums binary").collect()
+        return sum(np.frombuffer(r["sums"], float) for r in found).reshape(2 ** level, FEATURES, BINS + 1, 3)
+
+    def rescored(new: list[Tree]) -> Callable:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b, y, n, score in opened(batches):
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (b, y, n, raised(score, b, new))], names)
+        return work
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b = _bins(batch["bins"])
+            score = on_grid(1 / (1 + np.exp(-raised(np.full(len(b), start), b, trees.trees))))
+            yield pa.RecordBatch.from_arrays([batch["kind"], pa.array(score), batch["y"], batch["n"]], ["kind", "score", "y", "n"])
+
+    trees, since = Trees(edges, start), 0
+    kept = rows.filter("NOT held").mapInArrow(packed, schema).persist()
+    for number in range(TREES):
+        if number - since == KEEP_TREES:
+            before, kept = kept, kept.mapInArrow(rescored(trees.trees[since:]), schema).persist()
+            kept.foreach(lambda row: None)
+            before.unpersist()
+            since = number
+        trees.trees.append(grow(lambda tree, level: summed(trees.trees[since:], tree, level)))
+    kept.unpersist()
+    scores = rows.filter("held").mapInArrow(judged, "kind int, score double, y int, n bigint").groupBy("kind", "score").agg(
+        F.sum(F.col("y") * F.col("n")).alias("hits"), F.sum("n").alias("n")).toArrow()  # at most GRID scores of a kind
+    return Model(trees, calibrate(*(scores[c].to_numpy() for c in ("kind", "score", "hits", "n"))))
+
+
+def train(docs: DataFrame, text: str = "text", most: int = DRIVER_ROWS) -> Model:
+    """The model from all texts.  Up to ``most`` different rows of bins are fitted in one place, more where they lie.
+
+    NULL and empty texts give no candidates.  An empty table, or one with few candidates, gives a model that adds nothing to the base.
+    """
+    rows = counted(docs, text).persist()
+    sizes = rows.groupBy("held", F.expr("substring(row, -8, 8)").alias("label")).agg(F.sum("n").alias("n"))
+    parts: tuple[dict, dict] = ({}, {})
+    for r in sizes.collect():
+        parts[r["held"]][float(np.frombuffer(bytes(r["label"]), float)[0])] = r["n"]
+    start = first_score(*parts)
+    if start is None:
+        rows.unpersist()
+        return Model()
+    edges = bin_edges(rows)
+    bins = binned(rows, edges).persist()
+    if bins.count() <= most:
+        table = bins.toArrow()
+        y, n, held, kind = (table[c].to_numpy() for c in ("y", "n", "held", "kind"))
+        model = fit_bins(edges, start, _bins(table["bins"]), y.astype(float), n.astype(float), held, kind)
+    else:
+        model = fit_blocks(bins, edges, start)
+    rows.unpersist()
+    bins.unpersist()
+    return model
 
 
 # -- search ----------------------------------------------------------------------------------------------------------------

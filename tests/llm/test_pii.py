@@ -124,3 +124,23 @@ def test_fitted_model_adds_wide_forms(spark):
         assert f"[{kind.upper()}]" in P.redact(spark.createDataFrame([(value,)], "text string"), model).first()["text"]
     decoys = [P.all_spans(f"some words order {n(16)} and token {n(11)} ended on {n(2)}.{n(2)}.20{n(2)} {n(2)} we", model) for _ in range(200)]
     assert sum(len(spans) - len(base) for base, spans in decoys) <= 12  # of 600; a tenth of the numbers pass Luhn's check and are base
+
+
+def test_model_is_fitted_on_all_documents(spark):
+    """What only documents outside a hash sample of 4000 hold still reaches the fit; where the rows lie does not change the model."""
+    n = 6000
+    limit = int((4000 / n - 0.5) * 2 ** 64)
+    ids = spark.range(n).selectExpr("id AS doc_id", f"xxhash64(id) >= {limit} AS late")
+    docs = ids.selectExpr("doc_id", """CASE WHEN late THEN concat('write to ann.', doc_id, '@mail', doc_id % 7, '.example.com, order ', doc_id * 7919 + 10000000)
+                          ELSE concat('order ', doc_id * 7919 + 10000000, ' went out') END AS text""")
+    model, spread_out = P.train(docs), P.train(docs, most=0)
+    assert 0 in model.thresholds
+    assert spread_out.thresholds == model.thresholds
+    for one, other in zip(model.trees.trees, spread_out.trees.trees, strict=True):
+        assert all((a == b).all() for a, b in zip(one, other))
+
+
+def test_counted_quantiles():
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 40, 500) / 7
+    assert np.allclose(P.quantile_edges(*np.unique(x, return_counts=True)), np.unique(np.quantile(x, np.linspace(0, 1, P.BINS + 1)[1:-1])))
