@@ -31,11 +31,14 @@ def weekly_upsert(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return last_write([existing, incoming], WEEKLY_KEY)
 
 
+def touched_weeks(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    weeks = F.broadcast(incoming.select("year", "week").distinct())  # one row a week; dealt by week, a task would read a week's whole history
+    return existing.join(weeks, ["year", "week"], "left_semi")
+
+
 def write_weekly(existing: DataFrame, incoming: DataFrame, path: str) -> None:
     """Upsert and replace only the (year, week) partitions the run touches."""
-    weeks = incoming.select("year", "week").distinct()
-    touched = existing.join(weeks, ["year", "week"], "left_semi")
-    (weekly_upsert(touched, incoming).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (weekly_upsert(touched_weeks(existing, incoming), incoming).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("year", "week").parquet(path))
 
 
