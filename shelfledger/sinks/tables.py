@@ -173,7 +173,8 @@ def import_gate(rows: DataFrame, history: DataFrame, now: Column) -> DataFrame:
 def import_history(rows: DataFrame, history: DataFrame, now: Column) -> DataFrame:
     """Rows of accepted days, at their own times."""
     keys = ["chain", "business_date"]
-    return rows.join(import_gate(rows, history, now).filter("verdict = 'accepted'").select(keys), keys, "left_semi")
+    days = import_gate(rows, history, now).filter("verdict = 'accepted'").select(keys)  # one row per chain and day: the rows stay where they are
+    return rows.join(F.broadcast(days), keys, "left_semi")
 
 
 # --- flat exports ----------------------------------------------------------------------------------------------------
