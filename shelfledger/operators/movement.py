@@ -44,11 +44,22 @@ def promo_changes(pairs: DataFrame, hot: str = V.HOT_PROMO) -> DataFrame:
     return pairs.filter(F.col("matched") & (text != "") & (fold(text) != fold(F.col("before_text"))) & matches(text, hot))
 
 
+def moved() -> Column:
+    both = (F.col("before_price") > 0) & (F.col("after_price") > 0)
+    return F.coalesce(both & (F.col("after_price") != F.col("before_price")), F.lit(False))
+
+
+def judged_movements(df: DataFrame) -> DataFrame:
+    """All pairs, those that are no movement without price before, delta, percent and shock mark."""
+    before = F.when(moved(), F.col("before_price"))
+    delta = F.col("after_price") - before
+    return df.withColumns({"delta": delta, "percent": delta / before * 100, "shock": large(delta, before), "before_price": before})
+
+
 def movement_columns(df: DataFrame) -> DataFrame:
     """Pairs of positive prices that differ, with delta, percent and shock mark."""
-    both = (F.col("before_price") > 0) & (F.col("after_price") > 0)
     delta = F.col("after_price") - F.col("before_price")
-    return (df.filter(both & (F.col("after_price") != F.col("before_price"))).withColumn("delta", delta)
+    return (df.filter(moved()).withColumn("delta", delta)
             .withColumn("percent", F.col("delta") / F.col("before_price") * 100)
             .withColumn("shock", large(F.col("delta"), F.col("before_price"))))
 

@@ -21,7 +21,8 @@ def stream(spark, sf):
     events, path = table(spark, sf, "events"), f"{shared_folder(spark)}/arrivals-{uuid.uuid4().hex}"
     for part in (2, 0, 1):  # each holds rows of all days
         events.filter(F.col("event_id") % 3 == part).write.mode("append").parquet(path)
-    return observation_view(J.read_stream(spark, path, events.schema, files_per_batch=1)).select(*FLAT)
+    files = len(spark.read.schema(events.schema).parquet(path).inputFiles())  # an arrival of a large table is several files, but one batch
+    return observation_view(J.read_stream(spark, path, events.schema, files_per_batch=max(1, -(-files // 3)))).select(*FLAT)
 
 
 def folders(spark, *names: str) -> list[str]:

@@ -66,6 +66,8 @@ class Batches:
         return spark.read.schema(schema).option("basePath", self.path).parquet(*folders).select(schema.names)
 
     def _write(self, rows: DataFrame, level: int, start: int) -> None:
+        if self.partitions:  # else each task would write a file into each partition
+            rows = rows.hint("rebalance", *self.partitions)
         writer = rows.write.mode("overwrite")
         (writer.partitionBy(*self.partitions) if self.partitions else writer).parquet(self._folder(level, start))
 

@@ -17,7 +17,7 @@ from pyspark.sql.types import StructType
 
 from shelfledger.operators.history import FULL_SERIES, SERIES
 from shelfledger.operators.latest import first_per_key
-from shelfledger.operators.movement import movement_columns
+from shelfledger.operators.movement import judged_movements
 from shelfledger.sources.rules import label_by_brand
 from shelfledger.streaming.batches import Batches
 
@@ -38,7 +38,12 @@ def _newest(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _start(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, once: bool) -> StreamingQuery:
-    writer = stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
+    def adaptive(batch: DataFrame, batch_id: int) -> None:
+        # A stream's session plans without adaptive execution, but each batch is a job like any other.
+        batch.sparkSession.conf.set("spark.sql.adaptive.enabled", "true")
+        work(batch, batch_id)
+
+    writer = stream.writeStream.foreachBatch(adaptive).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 minute")).start()
 
 
@@ -93,7 +98,7 @@ def stream_alerts(stream: DataFrame, state: str, alerts: str, checkpoint: str, o
         store.add(reduced, batch_id)
         known = store.read(spark, reduced.schema, batch_id + 1)
         now = known.filter(F.col("batch") == batch_id)
-        days = days_around(r.business_date for r in reduced.select("business_date").distinct().collect())  # at most one row a day
+        days = days_around(r.business_date for r in now.select("business_date").distinct().collect())  # at most one row a day, from what is written
         last = store.merge(known.filter(F.col("business_date").isin(days)))
         now = now.filter(F.col("business_date").isin(days))
         following = now.select(*FULL_SERIES, F.date_add("business_date", 1).alias("business_date"))
@@ -101,9 +106,7 @@ def stream_alerts(stream: DataFrame, state: str, alerts: str, checkpoint: str, o
         touched = last.join(judged, keys, "left_semi").withColumnRenamed("promo_price", "after_price").drop("batch")
         before = last.select(*FULL_SERIES, F.date_add("business_date", 1).alias("business_date"),
                              F.col("promo_price").alias("before_price"))
-        moves = movement_columns(touched.join(before, keys, "left"))
-        withdrawn = touched.join(moves.select(keys), keys, "left_anti").withColumn("before_price", F.lit(None).cast("bigint"))
-        judgements.add(moves.unionByName(withdrawn, allowMissingColumns=True), batch_id)
+        judgements.add(judged_movements(touched.join(before, keys, "left")), batch_id)
     return _start(stream, emit, checkpoint, once)
 
 
