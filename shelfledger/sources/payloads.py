@@ -383,13 +383,13 @@ def page_cards(pages: DataFrame, html: str = "html") -> DataFrame:
     others = [c for c in pages.columns if c != html]
     schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in others)
     read = pages.select(*others, html).mapInArrow(cards.read_batches, f"{schema}, _cards array<{cards.FACTS_DDL}>")
-    rows = read.select(*others, F.inline("_cards"))
-    sale, old = T.parse_money(F.col("price")), T.parse_money(F.col("price_old"))
+    rows = read.select(*others, F.inline("_cards")).withColumns({"_sale": T.parse_money(F.col("price")), "_old": T.parse_money(F.col("price_old"))})
+    sale, old = F.col("_sale"), F.col("_old")
     error = (F.when(F.col("page_error").isNotNull(), None).when(sale.isNull(), "price")
              .when((F.col("price_old") != "") & old.isNull(), "list_price").when(old < sale, "list_below_price").otherwise(""))
     return rows.withColumn("price_error", error).withColumns({
         "promo_price": F.when(F.col("price_error") == "", sale), "original_price": F.when(F.col("price_error") == "", old)}).drop(
-        "price", "price_old")
+        "price", "price_old", "_sale", "_old")
 
 
 def child_codes(html: Column) -> Column:
