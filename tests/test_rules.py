@@ -321,3 +321,28 @@ def test_all_status_fields_are_read(spark):
         got = reader(row).first()
         assert got.issue is None and "gừng kinh doanh" in got.quoted_text
 
+
+
+def test_each_rule_is_tried_once(spark):
+    """A pattern stands once in the label's expression; texts without its words are not searched, whatever their letters' case."""
+    texts = ["iPhone 17 Pro 256GB", "\u0130Phone 17", "\u0131phone 17", "Ipad air \u212anob m3", "MACBOO\u212a Pro M5", "airpod\u017f pro 3", "iPhone 17 iPhone 16", "x", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.array_compact(F.array(*(F.when(T.matches(F.col("t"), p), F.lit(n)) for n, p in V.MODEL_RULES)))
+    for r in df.select("t", P.rule_hits(F.col("t"), V.MODEL_RULES).alias("got"), plain.alias("want"), P.rule_label(F.col("t")).alias("label")).collect():
+        assert r["got"] == r["want"], r["t"]
+        assert r["label"] == (r["want"][0] if len(r["want"]) == 1 else None)
+    assert str(P.rule_label(F.col("t"))).lower().count("rlike(") == len(V.MODEL_RULES)
+
+
+def test_plain_pages_need_no_parser(monkeypatch):
+    """Pages of plain tags are read without the standard parser, with the same rows; others are left to it."""
+    from shelfledger.sources import cards
+
+    plain = ('<html><input id="RecordCountSP" value="1"><DIV class="product-item x"><a data-id="1" data-name="A &amp; B" href="/a"></a>'
+             '<b class="price">1.000 &amp; &#39; &ampx</b><p class="promotion-text"> q  <i>r</i></p></div>')
+    other = plain.replace('<html>', "<html><!-- <div class='product-item'> --><script>if (a < b) '</div>'</script>")
+    want = [{"published_total": 1, "position": 0, "card_id": "1", "name": "A & B", "href": "/a", "brand": "", "price": "1.000 & ' &x", "price_old": "", "promo_text": "q r"}]
+    assert cards.read_page(other) == want
+    monkeypatch.setattr(cards._Reader, "feed", None)
+    assert cards.read_page(plain) == want
+    assert cards.read_page(plain.replace("</div>", "")) == [{"published_total": 1, "page_error": "unfinished_card"}]

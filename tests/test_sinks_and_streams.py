@@ -227,3 +227,46 @@ def test_a_hot_day_is_written_by_several_tasks(spark, tmp_path):
         assert spark.read.parquet(str(tmp_path / "days")).count() == 60_000
     finally:
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", keep)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_keys_are_broadcast(spark):
+    """A week's history or a day's load is not dealt by its week or day, whatever the planner thinks of the sizes."""
+    rows = spark.range(100).selectExpr("concat('a', id % 2) AS chain", "id AS seq", "2024 + id % 3 AS year", "id % 3 AS week", "date'2024-01-03' AS business_date",
+                                       "timestamp_ntz'2024-01-03 05:00:00' AS observed_at")
+    weeks = S.touched_weeks(rows, rows.filter("week = 1"))
+    assert "LeftSemi, BuildRight" in plan(weeks) and weeks.count() == 33
+    good = S.import_history(rows, rows.limit(0), F.lit("2024-02-01").cast("timestamp_ntz"))
+    assert "LeftSemi, BuildRight" in plan(good) and good.count() == 100
+
+
+def test_state_has_few_files_a_day(spark, tmp_path):
+    store = J.state_batches(str(tmp_path))
+    rows = spark.range(400).repartition(8).selectExpr("id AS seq", "date_add(date'2024-01-01', cast(id % 3 AS int)) AS business_date")
+    store.add(rows, 0)
+    assert [len(list(day.glob("*.parquet"))) for day in (tmp_path / "level=0" / "from=0").glob("business_date=*")] == [1, 1, 1]
+    assert store.read(spark, rows.schema).count() == 400
+
+
+def test_an_arrival_is_one_batch(spark, tmp_path, monkeypatch):
+    from shelfledger.plans import stream_queries
+
+    spark.range(90).selectExpr("id AS event_id", "timestamp_ntz'2024-01-03 05:00:00' AS ts", "id AS user_id", "'click' AS event_type", "1D AS value",
+                               """'{"k": 1}' AS props""").repartition(6).write.parquet(f"{tmp_path}/events.parquet")
+    seen = {}
+    read = J.read_stream
+
+    def kept(session, path, schema, files_per_batch):
+        seen.update(files=len(session.read.parquet(path).inputFiles()), most=files_per_batch)
+        return read(session, path, schema, files_per_batch=files_per_batch)
+    monkeypatch.setattr(J, "read_stream", kept)
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "134217728")  # each file is a task, so an arrival has several files
+    try:
+        stream_queries.stream(spark, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    assert seen["files"] > 3 and -(-seen["files"] // seen["most"]) == 3
