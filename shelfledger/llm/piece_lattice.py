@@ -4,30 +4,36 @@ Words (a run of word marks and the characters up to the next mark) are encoded o
 are exploded and joined to the piece table, the edges are grouped by word, and a higher-order ``aggregate`` folds them.  For a unigram
 model the fold is Viterbi's: the best score and the last edge at each position.  A BPE model's scores are merge ranks, not
 probabilities, and the best path is not what the model means; there the fold merges the neighbours of best score until none is
-left.  Documents meet the encoded words in chunks that ask for each different word once.
+left.  Documents are packed into chunks, compressed once for their only exchange.  A chunk asks buckets of words for each of its
+different words once, as one row for each bucket, and hears their ids by position.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfledger.llm import textblock as B
 from shelfledger.llm.rounds import chunk_counts
-from shelfledger.llm.shared import sheltering, text_of
 
 MARK = "▁"  # stands for a blank
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 LONG = 48  # longer words are folded where they stand, on a heap; a grouped lattice row stays small
 NONE = -1e18
+CHUNK = 4 << 20  # bytes of text in a chunk; the larger, the fewer words are asked for twice and the more memory it takes
+ZSTD = pa.Codec("zstd", 6)
 
 
 @dataclass(frozen=True)
@@ -64,17 +70,15 @@ def split_words(text: str, dummy_prefix: bool = True) -> list[str]:
 # -- lattice ---------------------------------------------------------------------------------------------------------------
 
 def edges(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """(word, chunks, lattice): for each row of ``words`` a map from ``start * 64 + length`` to (score, id).
+    """(bucket, word, lattice): for each row of ``words`` (bucket, word) a map from ``start * 64 + length`` to (score, id).
 
-    ``chunks`` rides along, so that the words need not be joined to their lattices again.  A word without any piece has no row; the
-    caller folds it where it stands.
+    Words dealt by their bucket are not dealt again.  A word without any piece has no row; the caller folds it where it stands.
     """
     substrings = F.expr(f"""flatten(transform(sequence(0, length(word) - 1), s ->
         transform(sequence(1, least({longest}, length(word) - s)), l -> struct(s * 64 + l AS place, substring(word, s + 1, l) AS piece))))""")
-    found = (words.select("word", "chunks", F.explode(substrings).alias("e")).select("word", "chunks", "e.place", "e.piece")
+    found = (words.select("bucket", "word", F.explode(substrings).alias("e")).select("bucket", "word", "e.place", "e.piece")
              .join(F.broadcast(pieces), "piece"))  # the piece table has as many rows as the model has pieces
-    return found.groupBy("word").agg(F.first("chunks").alias("chunks"), F.map_from_entries(
-        F.collect_list(F.struct("place", F.struct("score", "id")))).alias("lattice"))
+    return found.groupBy("bucket", "word").agg(F.map_from_entries(F.collect_list(F.struct("place", F.struct("score", "id")))).alias("lattice"))
 
 
 def _merge_fold(longest: int) -> Column:
@@ -102,7 +106,7 @@ VITERBI_CUTS = """aggregate(sequence(1, length(word)), array(length(word)), (cut
 
 
 def fold(lattices: DataFrame, model: Model, longest: int) -> DataFrame:
-    """(word, chunks, cuts, ids): piece ids between the cuts, NULL where no piece fits (the caller falls back to bytes).
+    """(bucket, word, cuts, ids): piece ids between the cuts, NULL where no piece fits (the caller falls back to bytes).
 
     ``cuts`` is NULL where all ids are known, since only the fallback needs it.
     """
@@ -112,7 +116,7 @@ def fold(lattices: DataFrame, model: Model, longest: int) -> DataFrame:
         least = min(s for _, _, s in model.pieces())
         cut = lattices.withColumn("best", _viterbi_fold(longest, least - 10)).withColumn("cuts", F.expr(VITERBI_CUTS)).drop("best")
     ids = F.expr("transform(slice(cuts, 1, size(cuts) - 1), (c, i) -> lattice[c * 64 + cuts[i + 1] - c].id)")
-    return cut.withColumn("ids", ids).select("word", "chunks", F.when(F.exists("ids", lambda i: i.isNull()), F.col("cuts")).alias("cuts"), "ids")
+    return cut.withColumn("ids", ids).select("bucket", "word", F.when(F.exists("ids", lambda i: i.isNull()), F.col("cuts")).alias("cuts"), "ids")
 
 
 def with_bytes(word: str, cuts: list[int] | None, ids: list[int | None], byte_ids: list[int], unknown: int) -> list[int]:
@@ -173,10 +177,43 @@ def viterbi_long(word: str, table: dict[str, tuple[int, float]], longest: int, u
 
 # -- documents -------------------------------------------------------------------------------------------------------------
 
-@sheltering("_chunk", "chunk")
+def packed(rows: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=ZSTD)) as out:
+        out.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(bodies: Iterable[bytes]) -> pa.Table:
+    return pa.concat_tables(pa.ipc.open_stream(body).read_all() for body in bodies)
+
+
+def questions(texts: pa.ChunkedArray, buckets: int, prefix: bool) -> dict[int, list[str]]:
+    """The different words of the texts by bucket, in order; long ones are not asked for."""
+    asked: dict[int, list[str]] = {}
+    for w in sorted({w for t in texts.to_pylist() for w in split_words(t, prefix) if len(w) <= LONG}):
+        asked.setdefault(zlib.crc32(w.encode()) % buckets, []).append(w)
+    return asked
+
+
+def reply(words: list[str], known: dict[str, list[int]], kind: np.dtype) -> bytes:
+    """Number of ids of each word (none: not known), then all ids.  A word of ``LONG`` characters has at most four times as many."""
+    found = [known.get(w, ()) for w in words]
+    plain = np.fromiter(map(len, found), np.uint8, len(words)).tobytes() + np.fromiter((i for ids in found for i in ids), kind).tobytes()
+    return len(plain).to_bytes(8, "little") + ZSTD.compress(plain, asbytes=True)
+
+
+def heard(words: list[str], body: bytes, kind: np.dtype) -> dict[str, list[int]]:
+    plain = ZSTD.decompress(body[8:], int.from_bytes(body[:8], "little"), asbytes=True)
+    counts = np.frombuffer(plain, np.uint8, len(words))
+    ids, ends = np.frombuffer(plain, kind, -1, len(words)).tolist(), np.cumsum(counts, dtype=np.int64).tolist()
+    return {w: ids[end - n:end] for w, n, end in zip(words, counts.tolist(), ends) if n}
+
+
 def encode(docs: DataFrame, model: Model, row_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``ids``.  A NULL or empty text has none; repeated rows are encoded alike; an input column ``ids`` is replaced, all
     others are kept.  An empty table gives an empty table.  A very long text is cut into words in one piece, each of which is looked up once.
+    Rows need no id: ``row_id`` may repeat or be NULL.
     """
     spark = docs.sparkSession
     docs = docs.drop("ids")
@@ -185,35 +222,54 @@ def encode(docs: DataFrame, model: Model, row_id: str = "doc_id", text: str = "t
     longest = max(len(p) for p, _, _ in pieces)
     table = {p: (i, s) for p, i, s in pieces}
     byte_ids, unknown_id, unknown = model.bytes(), _processor(model.path).unk_id(), min(s for _, _, s in pieces) - 10
-    chunks, _ = chunk_counts(docs, text)
-    base = docs.withColumn("_chunk", F.pmod(F.xxhash64(row_id, text), F.lit(chunks)).cast("int"))
-    prefix, kind = model.dummy_prefix, model.kind
+    kind = np.min_scalar_type(_processor(model.path).get_piece_size())
+    _, buckets = chunk_counts(docs, text)
+    prefix, bpe = model.dummy_prefix, model.kind == "bpe"
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A chunk's number is a hash of its rows, its task and its place there: rows dealt otherwise in a retry never meet its answers."""
+        task = TaskContext.get().partitionId()
+        for place, rows in enumerate(B.slabs(batches, text, CHUNK)):
+            body = packed(rows)
+            chunk = hashlib.blake2b(body, digest_size=8, salt=task.to_bytes(8, "little") + place.to_bytes(8, "little")).digest()
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([int.from_bytes(chunk, "little", signed=True)], pa.int64()), "body": pa.array([body], pa.binary())})
 
     def ask(rows: pa.Table) -> pa.Table:
-        words = {w for t in rows[text].to_pylist() for w in split_words(t, prefix) if len(w) <= LONG}
-        chunk = rows["_chunk"][0].as_py()
-        return pa.table({"chunk": pa.array([chunk] * len(words), pa.int32()), "word": pa.array(sorted(words), pa.string())})
+        asked = questions(unpacked(rows["body"].to_pylist())[text], buckets, prefix)
+        chunk = str(rows["chunk"][0].as_py())  # in front of the words, so that both readers of the list need the same columns of one exchange
+        return pa.table({"bucket": pa.array(list(asked), pa.int32()), "asked": pa.array([" ".join([chunk, *w]) for w in asked.values()], pa.string())})
+
+    def answer(asked: pa.Table, folded: pa.Table) -> pa.Table:
+        known = {w: with_bytes(w, c, i, byte_ids, unknown_id) for w, c, i in zip(*(folded[n].to_pylist() for n in ("word", "cuts", "ids")))}
+        lists = [words.split(" ") for words in asked["asked"].to_pylist()]
+        return pa.table({"chunk": pa.array([int(words[0]) for words in lists], pa.int64()), "bucket": asked["bucket"],
+                         "ids": pa.array([reply(words[1:], known, kind) for words in lists], pa.binary())})
 
     def finish(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        known = {w: with_bytes(w, c, i, byte_ids, unknown_id) for w, c, i in zip(*(answers[n].to_pylist() for n in ("word", "cuts", "ids")))}
+        docs = unpacked(rows["body"].to_pylist())
+        asked = questions(docs[text], buckets, prefix)
+        known: dict[str, list[int]] = {}
+        for bucket, body in zip(answers["bucket"].to_pylist(), answers["ids"].to_pylist()):
+            known |= heard(asked[bucket], body, kind)
         out = []
-        for value in rows[text].to_pylist():
+        for value in docs[text].to_pylist():
             ids: list[int] = []
             for w in split_words(value, prefix):
                 if w not in known:
-                    cuts = merge_long(w, table) if kind == "bpe" else viterbi_long(w, table, longest, unknown)
+                    cuts = merge_long(w, table) if bpe else viterbi_long(w, table, longest, unknown)
                     known[w] = with_bytes(w, cuts, [table.get(w[a:b], (None,))[0] for a, b in zip(cuts, cuts[1:])], byte_ids, unknown_id)
                 ids += known[w]
             out.append(np.array(ids, np.int32))
-        return pa.table({**{n: rows[n] for n in names}, "ids": pa.array(out, pa.list_(pa.int32()))})
+        return pa.table({**{n: docs[n] for n in names}, "ids": pa.array(out, pa.list_(pa.int32()))})
 
-    asked = base.groupBy("_chunk").applyInArrow(ask, "chunk int, word string")
-    waiting = asked.groupBy("word").agg(F.collect_list("chunk").alias("chunks"))  # at most one entry per chunk
-    table_rows = spark.createDataFrame(pieces, "piece string, id int, score double")
-    folded = fold(edges(waiting, table_rows, longest), model, longest)
-    answers = folded.select(F.explode("chunks").alias("chunk"), "word", "cuts", "ids")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return base.groupBy("_chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, f"{schema}, ids array<int>")
+    chunks = docs.mapInArrow(pack, "chunk bigint, body binary").groupBy("chunk")
+    asked = chunks.applyInArrow(ask, "bucket int, asked string").repartition(buckets, "bucket")
+    words = asked.select("bucket", F.explode(F.expr("slice(split(asked, ' '), 2, length(asked))")).alias("word")).distinct()  # they hold no blank
+    table_rows = spark.createDataFrame(pieces, "piece string, id int, score double")
+    folded = fold(edges(words, table_rows, longest), model, longest).withColumnRenamed("bucket", "word_bucket")
+    answers = asked.groupBy("bucket").cogroup(folded.groupBy("word_bucket")).applyInArrow(answer, "chunk bigint, bucket int, ids binary")
+    return chunks.cogroup(answers.groupBy("chunk")).applyInArrow(finish, f"{schema}, ids array<int>")
 
 
 def decode(rows: DataFrame, model: Model, ids: str = "ids") -> DataFrame:

@@ -1,10 +1,13 @@
 """Piece lattice against the library that the model files belong to."""
 
 import random
+import re
 import struct
 import zlib
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -38,6 +41,33 @@ def test_odd_rows(spark, library):
     assert L.encode(df.limit(0), model).count() == 0
 
 
+def test_exchanges_are_small(spark, library):
+    """Texts cross once and packed, words as one list for each chunk and bucket; helpers' names and odd ids do no harm."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 12))) for _ in range(900)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 400))) for _ in range(900)] + ["same again"] * 200 + [None]
+    df = spark.createDataFrame([(None if i % 3 else i % 7, t, i, "x") for i, t in enumerate(texts)], "doc_id long, text string, chunk int, body string")
+    got = L.encode(df, L.Model(BPE))
+    plan = got._jdf.queryExecution().explainString(got._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    exchanged = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+    assert exchanged and not [e for e in exchanged if "text#" in e or "word#" in e], exchanged
+    rows = got.collect()
+    assert sorted((r["chunk"], r["body"]) for r in rows) == [(i, "x") for i in range(len(texts))]
+    for r in rows:
+        assert r["text"] == texts[r["chunk"]]
+        assert r["ids"] == (library.encode(r["text"]) if r["text"] else []), r["text"]
+    batch = pa.RecordBatch.from_pydict({"text": [t or "" for t in texts]})
+    assert len(L.packed(batch)) < 0.6 * sum(len(t or "") for t in texts)
+    assert L.unpacked([L.packed(batch), L.packed(batch.slice(0, 0))])["text"].to_pylist() == [t or "" for t in texts]
+
+
+def test_replies():
+    asked = L.questions(pa.chunked_array([["b a a", None, "", "x" * (L.LONG + 1), "c a"]], pa.string()), 3, True)
+    assert sorted(w for ws in asked.values() for w in ws) == [L.MARK + c for c in "abc"]
+    words, known = ["a", "b", "c"], {"a": [70000, 1], "c": [5] * (4 * L.LONG)}
+    assert L.heard(words, L.reply(words, known, np.dtype("uint32")), np.dtype("uint32")) == known
+
+
 def field(number, payload):
     if isinstance(payload, bytes):
         return bytes([number << 3 | 2]) + varint(len(payload)) + payload
