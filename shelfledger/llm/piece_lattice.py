@@ -1,11 +1,12 @@
 """SentencePiece encoding over a relational lattice, and decoding.
 
-Words (a run of word marks and the characters up to the next mark) are encoded once each: their substrings up to the longest piece
-are exploded and joined to the piece table, the edges are grouped by word, and a higher-order ``aggregate`` folds them.  For a unigram
-model the fold is Viterbi's: the best score and the last edge at each position.  A BPE model's scores are merge ranks, not
-probabilities, and the best path is not what the model means; there the fold merges the neighbours of best score until none is
-left.  Documents are packed into chunks, compressed once for their only exchange.  A chunk asks buckets of words for each of its
-different words once, as one row for each bucket, and hears their ids by position.
+Words (a run of word marks and the characters up to the next mark) are cut where no piece can stand across two neighbouring
+characters, and the parts are encoded once each: their substrings up to the longest piece are exploded and joined to the piece table,
+the edges are grouped by part, and a higher-order ``aggregate`` folds them.  For a unigram model the fold is Viterbi's: the best score
+and the last edge at each position.  A BPE model's scores are merge ranks, not probabilities, and the best path is not what the model
+means; there the fold merges the neighbours of best score until none is left.  Documents are packed into chunks, compressed once for
+their only exchange.  A chunk asks buckets of words for each of its different parts once, as one row for each bucket, and hears their
+ids by position; numpy strings the ids of parts, words and texts together.
 """
 
 from __future__ import annotations
@@ -17,9 +18,11 @@ import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -30,8 +33,9 @@ from shelfledger.llm.rounds import chunk_counts
 
 MARK = "▁"  # stands for a blank
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-LONG = 48  # longer words are folded where they stand, on a heap; a grouped lattice row stays small
+LONG = 48  # longer words are folded where they stand, on a heap; a grouped lattice row stays small, and its cuts fit the bits of a long
 NONE = -1e18
+ROWS = 1024  # decoded at once
 CHUNK = 4 << 20  # bytes of text in a chunk; the larger, the fewer words are asked for twice and the more memory it takes
 ZSTD = pa.Codec("zstd", 6)
 
@@ -67,27 +71,39 @@ def split_words(text: str, dummy_prefix: bool = True) -> list[str]:
     return WORD.findall((MARK if dummy_prefix else "") + text.replace(" ", MARK))
 
 
+def neighbours(pieces: Iterable[str]) -> frozenset[str]:
+    """All two characters that stand side by side in a piece."""
+    return frozenset(p[i:i + 2] for p in pieces for i in range(len(p) - 1))
+
+
+def parted(word: str, pairs: frozenset[str] | None) -> list[str]:
+    """The word cut wherever no piece holds both neighbours: no edge crosses such a place, so the parts are folded by themselves."""
+    cuts = [] if pairs is None else [i for i in range(1, len(word)) if word[i - 1:i + 1] not in pairs]
+    return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])] if cuts else [word]
+
+
 # -- lattice ---------------------------------------------------------------------------------------------------------------
 
 def edges(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """(bucket, word, lattice): for each row of ``words`` (bucket, word) a map from ``start * 64 + length`` to (score, id).
+    """(bucket, word, lattice): for each row of ``words`` (bucket, word) its edges (score, before, size, ends, between, id).
 
-    Words dealt by their bucket are not dealt again.  A word without any piece has no row; the caller folds it where it stands.
+    ``before`` is the start, negated, so that the greatest edge is the leftmost of best score; ``ends`` and ``between`` are bits of places:
+    both ends, and all places between them.  Words dealt by their bucket are not dealt again, and are numbered, so that edges are grouped
+    by a number in their order.  A word without any piece has no row; the caller folds it where it stands.
     """
-    substrings = F.expr(f"""flatten(transform(sequence(0, length(word) - 1), s ->
-        transform(sequence(1, least({longest}, length(word) - s)), l -> struct(s * 64 + l AS place, substring(word, s + 1, l) AS piece))))""")
-    found = (words.select("bucket", "word", F.explode(substrings).alias("e")).select("bucket", "word", "e.place", "e.piece")
+    numbered = words.select("bucket", "word", F.monotonically_increasing_id().alias("number"))  # not beside an explode, whose rows it would number
+    starts = numbered.select("*", F.explode(F.expr("sequence(0, length(word) - 1)")).alias("start"))
+    places = starts.select("*", F.explode(F.expr(f"sequence(1, least({longest}, length(word) - start))")).alias("size"))
+    found = (places.withColumn("piece", F.expr("substring(word, start + 1, size)"))
              .join(F.broadcast(pieces), "piece"))  # the piece table has as many rows as the model has pieces
-    return found.groupBy("bucket", "word").agg(F.map_from_entries(F.collect_list(F.struct("place", F.struct("score", "id")))).alias("lattice"))
+    edge = F.expr("""struct(score, -start AS before, size, shiftleft(1L, start) | shiftleft(1L, start + size) AS ends,
+        shiftleft(shiftleft(1L, size - 1) - 1L, start + 1) AS between, id)""")
+    return found.groupBy("number", "bucket").agg(F.first("word").alias("word"), F.collect_list(edge).alias("lattice")).drop("number")
 
 
-def _merge_fold(longest: int) -> Column:
-    """Cuts of the word after merging the best neighbours, leftmost first, until no two form a piece."""
-    return F.expr(f"""aggregate(sequence(1, greatest(1, length(word) - 1)), sequence(0, length(word)), (cuts, n) ->
-        transform(array(array_max(transform(slice(cuts, 1, size(cuts) - 2), (c, i) -> struct(
-            CASE WHEN cuts[i + 2] - c <= {longest} THEN coalesce(lattice[c * 64 + cuts[i + 2] - c].score, {NONE}D) ELSE {NONE}D END AS score,
-            -i AS at)))), best -> CASE WHEN best IS NULL OR best.score <= {NONE}D THEN cuts
-            ELSE concat(slice(cuts, 1, 1 - best.at), slice(cuts, 3 - best.at, size(cuts))) END)[0])""")
+# cuts of the word, as bits, after merging the best neighbours, leftmost first, until no two form a piece
+MERGE_FOLD = """aggregate(sequence(1, greatest(1, length(word) - 1)), shiftleft(1L, length(word) + 1) - 1L, (cut, n) ->
+    cut & ~coalesce(array_max(filter(lattice, x -> (cut & x.ends) = x.ends AND bit_count(cut & x.between) = 1)).between, 0L))"""
 
 
 def _viterbi_fold(longest: int, unknown: float) -> Column:
@@ -97,7 +113,7 @@ def _viterbi_fold(longest: int, unknown: float) -> Column:
     """
     return F.expr(f"""aggregate(sequence(1, length(word)), array(struct(0D AS score, 0 AS back)), (state, e) -> concat(state, array(array_max(
         transform(sequence(1, least({longest}, e)), l -> struct(
-            state[e - l].score + coalesce(lattice[(e - l) * 64 + l].score, CASE WHEN l = 1 THEN {unknown}D ELSE {NONE}D END) AS score,
+            state[e - l].score + coalesce(scores[(e - l) * 64 + l], CASE WHEN l = 1 THEN {unknown}D ELSE {NONE}D END) AS score,
             l - e AS back))))))""")
 
 
@@ -111,12 +127,15 @@ def fold(lattices: DataFrame, model: Model, longest: int) -> DataFrame:
     ``cuts`` is NULL where all ids are known, since only the fallback needs it.
     """
     if model.kind == "bpe":
-        cut = lattices.withColumn("cuts", _merge_fold(longest))
+        cut = lattices.withColumn("cut", F.expr(MERGE_FOLD)).withColumn("cuts", F.expr("filter(sequence(0, length(word)), p -> (cut & shiftleft(1L, p)) != 0)"))
     else:
         least = min(s for _, _, s in model.pieces())
-        cut = lattices.withColumn("best", _viterbi_fold(longest, least - 10)).withColumn("cuts", F.expr(VITERBI_CUTS)).drop("best")
-    ids = F.expr("transform(slice(cuts, 1, size(cuts) - 1), (c, i) -> lattice[c * 64 + cuts[i + 1] - c].id)")
-    return cut.withColumn("ids", ids).select("bucket", "word", F.when(F.exists("ids", lambda i: i.isNull()), F.col("cuts")).alias("cuts"), "ids")
+        scored = lattices.withColumn("scores", F.expr("map_from_entries(transform(lattice, x -> struct(x.size - 64 * x.before, x.score)))"))
+        cut = (scored.withColumn("best", _viterbi_fold(longest, least - 10)).withColumn("cuts", F.expr(VITERBI_CUTS))
+               .withColumn("cut", F.expr("aggregate(cuts, 0L, (cut, c) -> cut | shiftleft(1L, c))")))
+    path = cut.withColumn("path", F.expr("filter(lattice, x -> (cut & x.ends) = x.ends AND (cut & x.between) = 0)")).select("bucket", "word", "cuts", "path")
+    ids = path.withColumn("ids", F.expr("transform(slice(cuts, 1, size(cuts) - 1), c -> get(filter(path, x -> x.before = -c), 0).id)"))
+    return ids.select("bucket", "word", F.when(F.size("path") < F.size("cuts") - 1, F.col("cuts")).alias("cuts"), "ids")
 
 
 def with_bytes(word: str, cuts: list[int] | None, ids: list[int | None], byte_ids: list[int], unknown: int) -> list[int]:
@@ -188,18 +207,32 @@ def unpacked(bodies: Iterable[bytes]) -> pa.Table:
     return pa.concat_tables(pa.ipc.open_stream(body).read_all() for body in bodies)
 
 
-def questions(texts: pa.ChunkedArray, buckets: int, prefix: bool) -> dict[int, list[str]]:
-    """The different words of the texts by bucket, in order; long ones are not asked for."""
+def spelled(texts: pa.ChunkedArray, prefix: bool) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The different words of the texts, in the order they are met; which of them the texts' words are, and the number of words of each text."""
+    lists = [split_words(t, prefix) for t in texts.to_pylist()]
+    place = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(lists)))}
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return list(place), np.fromiter(map(place.__getitem__, chain.from_iterable(lists)), np.int64, sizes.sum()), sizes
+
+
+def dealt(parts: Iterable[str], buckets: int) -> dict[int, list[str]]:
+    """Different parts by bucket, in order; long ones are not asked for."""
     asked: dict[int, list[str]] = {}
-    for w in sorted({w for t in texts.to_pylist() for w in split_words(t, prefix) if len(w) <= LONG}):
-        asked.setdefault(zlib.crc32(w.encode()) % buckets, []).append(w)
+    for w in parts:
+        if len(w) <= LONG:
+            asked.setdefault(zlib.crc32(w.encode()) % buckets, []).append(w)
     return asked
 
 
+def questions(texts: pa.ChunkedArray, buckets: int, prefix: bool, pairs: frozenset[str] | None = None) -> dict[int, list[str]]:
+    """The different words of the texts, or their parts, by bucket, in order; long ones are not asked for."""
+    return dealt(dict.fromkeys(chain.from_iterable(parted(w, pairs) for w in spelled(texts, prefix)[0])), buckets)
+
+
 def reply(words: list[str], known: dict[str, list[int]], kind: np.dtype) -> bytes:
     """Number of ids of each word (none: not known), then all ids.  A word of ``LONG`` characters has at most four times as many."""
     found = [known.get(w, ()) for w in words]
-    plain = np.fromiter(map(len, found), np.uint8, len(words)).tobytes() + np.fromiter((i for ids in found for i in ids), kind).tobytes()
+    plain = bytes(map(len, found)) + np.fromiter(chain.from_iterable(found), kind).tobytes()
     return len(plain).to_bytes(8, "little") + ZSTD.compress(plain, asbytes=True)
 
 
@@ -210,6 +243,22 @@ def heard(words: list[str], body: bytes, kind: np.dtype) -> dict[str, list[int]]
     return {w: ids[end - n:end] for w, n, end in zip(words, counts.tolist(), ends) if n}
 
 
+def lists(column: pa.ChunkedArray) -> list[list[int]]:
+    """Rows of numbers as Python lists; -1 for a NULL number."""
+    values = pc.fill_null(pc.list_flatten(column), -1).to_numpy().tolist()
+    sizes = pc.list_value_length(column).to_numpy()
+    return [values[end - n:end] for n, end in zip(sizes.tolist(), np.cumsum(sizes, dtype=np.int64).tolist())]
+
+
+def strung(ids: np.ndarray, sizes: np.ndarray, at: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``ids`` are lists of ``sizes`` end to end.  Those at ``at`` end to end, and how many ids each of ``groups`` (numbers of lists) has."""
+    n = sizes[at]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    found = ids[np.repeat((np.cumsum(sizes) - sizes)[at] - ends[:-1], n) + np.arange(ends[-1])]
+    last = np.cumsum(groups)
+    return found, ends[last] - ends[last - groups]
+
+
 def encode(docs: DataFrame, model: Model, row_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``ids``.  A NULL or empty text has none; repeated rows are encoded alike; an input column ``ids`` is replaced, all
     others are kept.  An empty table gives an empty table.  A very long text is cut into words in one piece, each of which is looked up once.
@@ -224,7 +273,7 @@ def encode(docs: DataFrame, model: Model, row_id: str = "doc_id", text: str = "t
     byte_ids, unknown_id, unknown = model.bytes(), _processor(model.path).unk_id(), min(s for _, _, s in pieces) - 10
     kind = np.min_scalar_type(_processor(model.path).get_piece_size())
     _, buckets = chunk_counts(docs, text)
-    prefix, bpe = model.dummy_prefix, model.kind == "bpe"
+    prefix, bpe, pairs = model.dummy_prefix, model.kind == "bpe", neighbours(table)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A chunk's number is a hash of its rows, its task and its place there: rows dealt otherwise in a retry never meet its answers."""
@@ -235,32 +284,44 @@ def encode(docs: DataFrame, model: Model, row_id: str = "doc_id", text: str = "t
             yield pa.RecordBatch.from_pydict({"chunk": pa.array([int.from_bytes(chunk, "little", signed=True)], pa.int64()), "body": pa.array([body], pa.binary())})
 
     def ask(rows: pa.Table) -> pa.Table:
-        asked = questions(unpacked(rows["body"].to_pylist())[text], buckets, prefix)
+        asked = questions(unpacked(rows["body"].to_pylist())[text], buckets, prefix, pairs)
         chunk = str(rows["chunk"][0].as_py())  # in front of the words, so that both readers of the list need the same columns of one exchange
         return pa.table({"bucket": pa.array(list(asked), pa.int32()), "asked": pa.array([" ".join([chunk, *w]) for w in asked.values()], pa.string())})
 
     def answer(asked: pa.Table, folded: pa.Table) -> pa.Table:
-        known = {w: with_bytes(w, c, i, byte_ids, unknown_id) for w, c, i in zip(*(folded[n].to_pylist() for n in ("word", "cuts", "ids")))}
-        lists = [words.split(" ") for words in asked["asked"].to_pylist()]
-        return pa.table({"chunk": pa.array([int(words[0]) for words in lists], pa.int64()), "bucket": asked["bucket"],
-                         "ids": pa.array([reply(words[1:], known, kind) for words in lists], pa.binary())})
+        known = dict(zip(folded["word"].to_pylist(), lists(folded["ids"])))
+        for row in folded.filter(pc.is_valid(folded["cuts"])).to_pylist():
+            known[row["word"]] = with_bytes(row["word"], row["cuts"], row["ids"], byte_ids, unknown_id)
+        replies = [(int((words := row.split(" "))[0]), reply(words[1:], known, kind)) for row in asked["asked"].to_pylist()]
+        return pa.table({"chunk": pa.array([c for c, _ in replies], pa.int64()), "bucket": asked["bucket"],
+                         "ids": pa.array([body for _, body in replies], pa.binary())})
 
     def finish(rows: pa.Table, answers: pa.Table) -> pa.Table:
         docs = unpacked(rows["body"].to_pylist())
-        asked = questions(docs[text], buckets, prefix)
+        words, at, sizes = spelled(docs[text], prefix)
+        parts = [parted(w, pairs) for w in words]
+        place = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(parts)))}
+        asked = dealt(place, buckets)
         known: dict[str, list[int]] = {}
         for bucket, body in zip(answers["bucket"].to_pylist(), answers["ids"].to_pylist()):
             known |= heard(asked[bucket], body, kind)
-        out = []
-        for value in docs[text].to_pylist():
-            ids: list[int] = []
-            for w in split_words(value, prefix):
-                if w not in known:
-                    cuts = merge_long(w, table) if bpe else viterbi_long(w, table, longest, unknown)
-                    known[w] = with_bytes(w, cuts, [table.get(w[a:b], (None,))[0] for a, b in zip(cuts, cuts[1:])], byte_ids, unknown_id)
-                ids += known[w]
-            out.append(np.array(ids, np.int32))
-        return pa.table({**{n: docs[n] for n in names}, "ids": pa.array(out, pa.list_(pa.int32()))})
+        for w in place.keys() - known.keys():
+            cuts = merge_long(w, table) if bpe else viterbi_long(w, table, longest, unknown)
+            known[w] = with_bytes(w, cuts, [table.get(w[a:b], (None,))[0] for a, b in zip(cuts, cuts[1:])], byte_ids, unknown_id)
+        of_parts = [known[w] for w in place]
+        ids = np.fromiter(chain.from_iterable(of_parts), np.int32)
+        ids, counts = strung(ids, np.fromiter(map(len, of_parts), np.int64, len(place)),
+                             np.fromiter(map(place.__getitem__, chain.from_iterable(parts)), np.int64), np.fromiter(map(len, parts), np.int64, len(parts)))
+        ids, counts = strung(ids, counts, at, sizes)
+        if not byte_ids:  # neighbouring unknown characters are one unknown piece, in different parts too
+            same = np.zeros(len(ids), bool)
+            same[1:] = (ids[1:] == unknown_id) & (ids[:-1] == unknown_id)
+            same[(np.cumsum(counts) - counts)[counts > 0]] = False
+            dropped = np.concatenate([[0], np.cumsum(same)])
+            ends = np.cumsum(counts)
+            ids, counts = ids[~same], counts - dropped[ends] + dropped[ends - counts]
+        out = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids, pa.int32()))
+        return pa.table({**{n: docs[n] for n in names}, "ids": out})
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     chunks = docs.mapInArrow(pack, "chunk bigint, body binary").groupBy("chunk")
@@ -291,9 +352,13 @@ def decode(rows: DataFrame, model: Model, ids: str = "ids") -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [b"".join([parts[i] for i in row or ()]).decode("utf-8", "replace") for row in batch[ids].to_pylist()]
-            texts = [t[1:] if prefix and t.startswith(" ") else t for t in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+            for low in range(0, batch.num_rows, ROWS):
+                some = batch.slice(low, ROWS)
+                flat, sizes = some[ids].flatten().to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(some[ids]), 0).to_numpy(zero_copy_only=False)
+                ends = np.cumsum(sizes, dtype=np.int64).tolist()
+                texts = [b"".join(map(parts.__getitem__, flat[end - n:end].tolist())).decode("utf-8", "replace") for n, end in zip(sizes.tolist(), ends)]
+                texts = [t[1:] if prefix and t.startswith(" ") else t for t in texts]
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(texts, pa.string())], [*some.schema.names, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInArrow(work, f"{schema}, decoded string")
