@@ -15,6 +15,7 @@ import hashlib
 import heapq
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -71,15 +72,39 @@ def split_words(text: str, dummy_prefix: bool = True) -> list[str]:
     return WORD.findall((MARK if dummy_prefix else "") + text.replace(" ", MARK))
 
 
-def neighbours(pieces: Iterable[str]) -> frozenset[str]:
-    """All two characters that stand side by side in a piece."""
-    return frozenset(p[i:i + 2] for p in pieces for i in range(len(p) - 1))
+class Neighbours:
+    """Which two characters stand side by side in a piece."""
 
+    def __init__(self, pieces: Iterable[str]):
+        pairs = np.array([[ord(c) for c in pair] for pair in sorted({p[i:i + 2] for p in pieces for i in range(len(p) - 1)})], np.int64).reshape(-1, 2)
+        self.limit = int(pairs.max(initial=0)) + 1
+        kinds = []
+        for column in pairs.T:
+            chars, kind = np.unique(column, return_inverse=True)
+            numbers = np.zeros(self.limit + 1, np.uint16)  # 0: in no pair
+            numbers[chars] = np.arange(1, len(chars) + 1)
+            kinds.append((numbers, kind + 1, len(chars) + 1))
+        (self.left, a, n), (self.right, b, m) = kinds
+        self.table = np.zeros((n, m), bool)
+        self.table[a, b] = True
 
-def parted(word: str, pairs: frozenset[str] | None) -> list[str]:
-    """The word cut wherever no piece holds both neighbours: no edge crosses such a place, so the parts are folded by themselves."""
-    cuts = [] if pairs is None else [i for i in range(1, len(word)) if word[i - 1:i + 1] not in pairs]
-    return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])] if cuts else [word]
+    def joined(self, codes: np.ndarray) -> np.ndarray:
+        """For each code point but the last, whether it and the next are neighbours in a piece."""
+        known = np.minimum(codes, self.limit)
+        return self.table[self.left[known[:-1]], self.right[known[1:]]]
+
+
+def parted(words: list[str], pairs: Neighbours | None) -> tuple[list[str], np.ndarray]:
+    """The words' parts and the number of each word's.  They are cut wherever no piece holds both neighbours: no edge crosses such a place,
+    so the parts are folded by themselves.  Words hold no blank.
+    """
+    if pairs is None or not words:
+        return words, np.ones(len(words), np.int64)
+    codes = np.frombuffer(" ".join(words).encode("utf-32-le"), np.uint32)
+    blank = codes == 32
+    cuts = np.flatnonzero(~(pairs.joined(codes) | blank[:-1] | blank[1:])) + 1
+    sizes = np.bincount(np.cumsum(blank)[cuts], minlength=len(words)) + 1
+    return np.insert(codes, cuts, 32).tobytes().decode("utf-32-le").split(" "), sizes
 
 
 # -- lattice ---------------------------------------------------------------------------------------------------------------
@@ -103,7 +128,7 @@ def edges(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
 
 # cuts of the word, as bits, after merging the best neighbours, leftmost first, until no two form a piece
 MERGE_FOLD = """aggregate(sequence(1, greatest(1, length(word) - 1)), shiftleft(1L, length(word) + 1) - 1L, (cut, n) ->
-    cut & ~coalesce(array_max(filter(lattice, x -> (cut & x.ends) = x.ends AND bit_count(cut & x.between) = 1)).between, 0L))"""
+    cut & ~coalesce(array_max(filter(merges, x -> (cut & x.ends) = x.ends AND bit_count(cut & x.between) = 1)).between, 0L))"""
 
 
 def _viterbi_fold(longest: int, unknown: float) -> Column:
@@ -127,7 +152,8 @@ def fold(lattices: DataFrame, model: Model, longest: int) -> DataFrame:
     ``cuts`` is NULL where all ids are known, since only the fallback needs it.
     """
     if model.kind == "bpe":
-        cut = lattices.withColumn("cut", F.expr(MERGE_FOLD)).withColumn("cuts", F.expr("filter(sequence(0, length(word)), p -> (cut & shiftleft(1L, p)) != 0)"))
+        merges = lattices.withColumn("merges", F.expr("filter(lattice, x -> x.size > 1)"))
+        cut = merges.withColumn("cut", F.expr(MERGE_FOLD)).withColumn("cuts", F.expr("filter(sequence(0, length(word)), p -> (cut & shiftleft(1L, p)) != 0)"))
     else:
         least = min(s for _, _, s in model.pieces())
         scored = lattices.withColumn("scores", F.expr("map_from_entries(transform(lattice, x -> struct(x.size - 64 * x.before, x.score)))"))
@@ -208,11 +234,19 @@ def unpacked(bodies: Iterable[bytes]) -> pa.Table:
 
 
 def spelled(texts: pa.ChunkedArray, prefix: bool) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The different words of the texts, in the order they are met; which of them the texts' words are, and the number of words of each text."""
-    lists = [split_words(t, prefix) for t in texts.to_pylist()]
-    place = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(lists)))}
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    return list(place), np.fromiter(map(place.__getitem__, chain.from_iterable(lists)), np.int64, sizes.sum()), sizes
+    """The words of the texts, in the order they are met; which of them the texts' words are, and the number of words of each text.
+
+    Where single blanks part a text, its words are told apart without their marks.  A word may be listed twice, by a plain text and another.
+    """
+    def keys(text: str | None) -> Iterable[str]:
+        plain = text and prefix and not (text[0] == " " or text[-1] == " " or "  " in text or MARK in text)
+        return text.split(" ") if plain else [" " + w for w in split_words(text, prefix)]
+
+    place: defaultdict[str, int] = defaultdict()
+    place.default_factory = place.__len__  # a new word gets the next number
+    at = [np.fromiter(map(place.__getitem__, keys(t)), np.int32) for t in texts.to_pylist()]
+    words = [k[1:] if k[0] == " " else MARK + k for k in place]
+    return words, np.concatenate([np.zeros(0, np.int32), *at]), np.fromiter(map(len, at), np.int64, len(at))
 
 
 def dealt(parts: Iterable[str], buckets: int) -> dict[int, list[str]]:
@@ -224,9 +258,9 @@ def dealt(parts: Iterable[str], buckets: int) -> dict[int, list[str]]:
     return asked
 
 
-def questions(texts: pa.ChunkedArray, buckets: int, prefix: bool, pairs: frozenset[str] | None = None) -> dict[int, list[str]]:
+def questions(texts: pa.ChunkedArray, buckets: int, prefix: bool, pairs: Neighbours | None = None) -> dict[int, list[str]]:
     """The different words of the texts, or their parts, by bucket, in order; long ones are not asked for."""
-    return dealt(dict.fromkeys(chain.from_iterable(parted(w, pairs) for w in spelled(texts, prefix)[0])), buckets)
+    return dealt(dict.fromkeys(parted(spelled(texts, prefix)[0], pairs)[0]), buckets)
 
 
 def reply(words: list[str], known: dict[str, list[int]], kind: np.dtype) -> bytes:
@@ -273,7 +307,7 @@ def encode(docs: DataFrame, model: Model, row_id: str = "doc_id", text: str = "t
     byte_ids, unknown_id, unknown = model.bytes(), _processor(model.path).unk_id(), min(s for _, _, s in pieces) - 10
     kind = np.min_scalar_type(_processor(model.path).get_piece_size())
     _, buckets = chunk_counts(docs, text)
-    prefix, bpe, pairs = model.dummy_prefix, model.kind == "bpe", neighbours(table)
+    prefix, bpe, pairs = model.dummy_prefix, model.kind == "bpe", Neighbours(table)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A chunk's number is a hash of its rows, its task and its place there: rows dealt otherwise in a retry never meet its answers."""
@@ -299,8 +333,8 @@ def encode(docs: DataFrame, model: Model, row_id: str = "doc_id", text: str = "t
     def finish(rows: pa.Table, answers: pa.Table) -> pa.Table:
         docs = unpacked(rows["body"].to_pylist())
         words, at, sizes = spelled(docs[text], prefix)
-        parts = [parted(w, pairs) for w in words]
-        place = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(parts)))}
+        parts, cut_in = parted(words, pairs)
+        place = {w: i for i, w in enumerate(dict.fromkeys(parts))}
         asked = dealt(place, buckets)
         known: dict[str, list[int]] = {}
         for bucket, body in zip(answers["bucket"].to_pylist(), answers["ids"].to_pylist()):
@@ -311,7 +345,7 @@ def encode(docs: DataFrame, model: Model, row_id: str = "doc_id", text: str = "t
         of_parts = [known[w] for w in place]
         ids = np.fromiter(chain.from_iterable(of_parts), np.int32)
         ids, counts = strung(ids, np.fromiter(map(len, of_parts), np.int64, len(place)),
-                             np.fromiter(map(place.__getitem__, chain.from_iterable(parts)), np.int64), np.fromiter(map(len, parts), np.int64, len(parts)))
+                             np.fromiter(map(place.__getitem__, parts), np.int64, len(parts)), cut_in)
         ids, counts = strung(ids, counts, at, sizes)
         if not byte_ids:  # neighbouring unknown characters are one unknown piece, in different parts too
             same = np.zeros(len(ids), bool)

@@ -68,6 +68,38 @@ def test_replies():
     assert L.heard(words, L.reply(words, known, np.dtype("uint32")), np.dtype("uint32")) == known
 
 
+def test_parts_are_folded_by_themselves(library):
+    """Words are cut exactly where no piece holds both neighbours; the parts' ids are the words' ids, and fewer different ones are asked for."""
+    pieces = [p for p, _, _ in L.Model(BPE).pieces()]
+    held = {p[i:i + 2] for p in pieces for i in range(len(p) - 1)}
+    rng = random.Random(5)
+    words = list({L.MARK + "".join(rng.choice("theandinéß\n$#,!9中\U0001F600") for _ in range(rng.randint(0, 14))) for _ in range(400)} | {L.MARK * 5, "x" * 3000})
+    parts, sizes = L.parted(words, L.Neighbours(pieces))
+    ends = np.cumsum(sizes)
+    assert ends[-1] == len(parts)
+    for w, n, end in zip(words, sizes.tolist(), ends.tolist()):
+        cuts = [0, *(i for i in range(1, len(w)) if w[i - 1:i + 1] not in held), len(w)]
+        assert parts[end - n:end] == [w[a:b] for a, b in zip(cuts, cuts[1:])], w
+    texts = pa.chunked_array([["the, the. the! the", "and, the? and"]])
+    asked = sum(L.questions(texts, 2, True, L.Neighbours(pieces)).values(), [])
+    assert sorted(w for w in asked if "the" in w or "and" in w) == [L.MARK + "and", L.MARK + "the"]
+    assert L.parted([], L.Neighbours(pieces))[0] == [] and L.parted(["a,"], L.Neighbours([]))[0] == ["a", ","]
+
+
+@pytest.mark.parametrize("prefix", [True, False])
+def test_spelled(prefix):
+    texts = [*ODD, "the cat the", "cat  the", "a b c a"]
+    words, at, sizes = L.spelled(pa.chunked_array([texts], pa.string()), prefix)
+    ends = np.cumsum(sizes)
+    assert [[words[i] for i in at[end - n:end]] for n, end in zip(sizes, ends)] == [L.split_words(t, prefix) for t in texts]
+
+
+def test_decode_in_slabs(spark, library):
+    df = spark.createDataFrame([(i, [1000 + i % 50, 300] if i % 7 else None) for i in range(3 * L.ROWS + 5)], "doc_id long, ids array<int>").coalesce(1)
+    for r in L.decode(df, L.Model(BPE)).collect():
+        assert r["decoded"] == library.decode(r["ids"] or [])
+
+
 def field(number, payload):
     if isinstance(payload, bytes):
         return bytes([number << 3 | 2]) + varint(len(payload)) + payload
