@@ -2,11 +2,13 @@
 
 import random
 import re
+import time
 
 import pytest
 
 import corpus_pipeline
 from shelfledger.llm import near_copies as N
+from shelfledger.llm.shared import FILE_CLEANUP, cut
 
 SF = "/root/testdata/sf0.01"
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -89,3 +91,22 @@ def test_tables(spark):
     got = {r["doc_id"]: r["component_id"] for r in N.groups(docs).collect()}
     assert got == {d: roots[shingles(t)] for d, t in rows}
     assert N.keep_one(docs.limit(0)).count() == 0
+
+
+def test_cut_leaves_no_shuffle_files(spark):
+    """What a job dealt out is removed from disk once its result is written, and the result can still be read."""
+    jvm = spark.sparkContext._jvm
+
+    def shuffled():
+        files = jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {f for f in files.split("\n") if "shuffle_" in f}
+
+    before, setting = shuffled(), spark.conf.get(FILE_CLEANUP, "false")
+    rows = spark.range(20000).selectExpr("id", "id % 1000 AS key").repartition(4, "key")
+    written = cut(rows.join(rows.groupBy("key").count(), "key"))
+    deadline = time.monotonic() + 20
+    while shuffled() - before and time.monotonic() < deadline:
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert written.count() == 20000 and written.agg({"count": "max"}).first()[0] == 20
+    assert written.groupBy("id").count().count() == 20000 and spark.conf.get(FILE_CLEANUP, "false") == setting
