@@ -16,7 +16,7 @@ import heapq
 import re
 import zlib
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
 from itertools import chain
@@ -270,13 +270,39 @@ def reply(words: list[str], known: dict[str, list[int]], kind: np.dtype) -> byte
     return len(plain).to_bytes(8, "little") + ZSTD.compress(plain, asbytes=True)
 
 
-def heard(words: list[str], body: bytes, kind: np.dtype) -> dict[str, list[int]]:
+def opened(n: int, body: bytes, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Number of ids of each of ``n`` words, and all ids."""
     plain = ZSTD.decompress(body[8:], int.from_bytes(body[:8], "little"), asbytes=True)
-    counts = np.frombuffer(plain, np.uint8, len(words))
-    ids, ends = np.frombuffer(plain, kind, -1, len(words)).tolist(), np.cumsum(counts, dtype=np.int64).tolist()
+    return np.frombuffer(plain, np.uint8, n), np.frombuffer(plain, kind, -1, n)
+
+
+def heard(words: list[str], body: bytes, kind: np.dtype) -> dict[str, list[int]]:
+    counts, ids = opened(len(words), body, kind)
+    ids, ends = ids.tolist(), np.cumsum(counts, dtype=np.int64).tolist()
     return {w: ids[end - n:end] for w, n, end in zip(words, counts.tolist(), ends) if n}
 
 
+def gathered(place: dict[str, int], asked: dict[int, list[str]], replies: Iterable[tuple[int, bytes]], kind: np.dtype,
+             alone: Callable[[str], list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lists of ids end to end, their sizes, and which list each word of ``place`` (by number) has; words without a reply are folded ``alone``.
+
+    The ids stay arrays: a list of numbers for each word takes many times their memory.
+    """
+    order, counts, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+    for bucket, body in replies:
+        n, some = opened(len(asked[bucket]), body, kind)
+        order.append(np.fromiter(map(place.__getitem__, asked[bucket]), np.int64, len(n)))
+        counts.append(n.astype(np.int64))
+        ids.append(some.astype(np.int32))
+    answered, sizes = np.concatenate(order), np.concatenate(counts)
+    at, known = np.zeros(len(place), np.int64), np.zeros(len(place), bool)
+    at[answered] = np.arange(len(answered))
+    known[answered[sizes > 0]] = True
+    rest = [np.array(alone(w), np.int32) for w, k in zip(place, known.tolist()) if not k]
+    at[~known] = len(answered) + np.arange(len(rest))
+    return np.concatenate([*ids, *rest]), np.concatenate([sizes, np.fromiter(map(len, rest), np.int64, len(rest))]), at
+
+
 def lists(column: pa.ChunkedArray) -> list[list[int]]:
     """Rows of numbers as Python lists; -1 for a NULL number."""
     values = pc.fill_null(pc.list_flatten(column), -1).to_numpy().tolist()
@@ -330,22 +356,19 @@ def encode(docs: DataFrame, model: Model, row_id: str = "doc_id", text: str = "t
         return pa.table({"chunk": pa.array([c for c, _ in replies], pa.int64()), "bucket": asked["bucket"],
                          "ids": pa.array([body for _, body in replies], pa.binary())})
 
+    def alone(word: str) -> list[int]:
+        cuts = merge_long(word, table) if bpe else viterbi_long(word, table, longest, unknown)
+        return with_bytes(word, cuts, [table.get(word[a:b], (None,))[0] for a, b in zip(cuts, cuts[1:])], byte_ids, unknown_id)
+
     def finish(rows: pa.Table, answers: pa.Table) -> pa.Table:
         docs = unpacked(rows["body"].to_pylist())
         words, at, sizes = spelled(docs[text], prefix)
         parts, cut_in = parted(words, pairs)
         place = {w: i for i, w in enumerate(dict.fromkeys(parts))}
-        asked = dealt(place, buckets)
-        known: dict[str, list[int]] = {}
-        for bucket, body in zip(answers["bucket"].to_pylist(), answers["ids"].to_pylist()):
-            known |= heard(asked[bucket], body, kind)
-        for w in place.keys() - known.keys():
-            cuts = merge_long(w, table) if bpe else viterbi_long(w, table, longest, unknown)
-            known[w] = with_bytes(w, cuts, [table.get(w[a:b], (None,))[0] for a, b in zip(cuts, cuts[1:])], byte_ids, unknown_id)
-        of_parts = [known[w] for w in place]
-        ids = np.fromiter(chain.from_iterable(of_parts), np.int32)
-        ids, counts = strung(ids, np.fromiter(map(len, of_parts), np.int64, len(place)),
-                             np.fromiter(map(place.__getitem__, parts), np.int64, len(parts)), cut_in)
+        ids, counts, lists_at = gathered(place, dealt(place, buckets), zip(answers["bucket"].to_pylist(), answers["ids"].to_pylist()), kind, alone)
+        part_at = lists_at[np.fromiter(map(place.__getitem__, parts), np.int64, len(parts))]
+        del words, parts, place
+        ids, counts = strung(ids, counts, part_at, cut_in)
         ids, counts = strung(ids, counts, at, sizes)
         if not byte_ids:  # neighbouring unknown characters are one unknown piece, in different parts too
             same = np.zeros(len(ids), bool)

@@ -3,6 +3,7 @@
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -68,6 +69,25 @@ def test_replies():
     assert L.heard(words, L.reply(words, known, np.dtype("uint32")), np.dtype("uint32")) == known
 
 
+def test_replies_stay_arrays():
+    """Ids are put together from the replies without a list of numbers for each word; what no reply knows is folded alone."""
+    asked = {b: [f"w{b}_{i}" for i in range(5000)] for b in range(4)}
+    known = {w: [300 + (7 * i + j) % 30000 for j in range(1 + i % 6)] for ws in asked.values() for i, w in enumerate(ws) if i % 10}
+    words = [w for pair in zip(*asked.values()) for w in pair] + ["x" * (L.LONG + 1)]
+    place, kind = {w: i for i, w in enumerate(words)}, np.dtype("uint16")
+    replies = [(b, L.reply(ws, known, kind)) for b, ws in asked.items()]
+    tracemalloc.start()
+    ids, sizes, at = L.gathered(place, asked, replies, kind, lambda w: [len(w), 1])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    found, counts = L.strung(ids, sizes, at, np.ones(len(words), np.int64))
+    want = [known.get(w, [len(w), 1]) for w in words]
+    assert found.tolist() == [i for w in want for i in w] and counts.tolist() == list(map(len, want))
+    assert peak < 130 * len(words), peak
+    none = L.gathered({}, {}, [], kind, len)
+    assert [len(x) for x in none] == [0, 0, 0]
+
+
 def test_parts_are_folded_by_themselves(library):
     """Words are cut exactly where no piece holds both neighbours; the parts' ids are the words' ids, and fewer different ones are asked for."""
     pieces = [p for p, _, _ in L.Model(BPE).pieces()]
